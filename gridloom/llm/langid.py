@@ -28,6 +28,8 @@ LEVEL = 6
 MIN_MATCH = 3
 #: A document is rejected where the margin over the runner-up, as a share of the best size, is less.
 MIN_MARGIN = 0.01
+#: A text of fewer bytes of letters can't show a margin and is not rejected for it.
+MIN_EVIDENCE = 64
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -73,7 +75,7 @@ def fit_dictionaries(
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "text"))), 1, docs).alias("rows"))
     )
     out = {}
-    for r in few.collect():
+    for r in sorted(few.collect(), key=lambda r: (-counts[r["lang"]], r["lang"])):
         texts = [letters(x["text"]) for x in r["rows"]]
         each = max(1, size // max(1, len(texts)))
         out[r["lang"]] = b" ".join(t[:each] for t in texts)[:size]
@@ -87,23 +89,23 @@ class Classifier:
         params = z.ZstdCompressionParameters.from_level(
             LEVEL, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
         )
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.by = []
         for lang in self.langs:
             d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             self.by.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
 
-    def classify(self, text: str | None) -> tuple[str, float]:
-        """The language and the margin: how much larger the runner-up is, as a share of the best size."""
+    def classify(self, text: str | None) -> tuple[str, float, int]:
+        """The language, the margin (how much larger the runner-up is, as a share of the best size), and the bytes."""
         if not text or not self.langs or not _LETTER.search(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         data = letters(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(c(b)) for b in blocks) for c in self.by]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-        return self.langs[best], (rest - sizes[best]) / sizes[best]
+        return self.langs[best], (rest - sizes[best]) / sizes[best], len(data)
 
 
 @functools.lru_cache(2)
@@ -122,21 +124,23 @@ def classify(
 
     A null text or one without a letter is ``und`` with score and margin 0 and is
     rejected; a text whose margin is under ``min_margin`` keeps its language but
-    is rejected. Ties between languages go to the first in sorted order. Whole
+    is rejected, if it has MIN_EVIDENCE bytes of letters. Ties go to the language
+    that comes first, the most frequent one when ``fit_dictionaries`` made them. Whole
     texts are read, in one narrow pass; repeated rows give equal rows.
     """
-    items = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))  # bounded by DICT_BYTES each
+    items = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))  # bounded by DICT_BYTES each
 
     def make():
         c = _classifier(items.value)
 
         def run(texts):
-            got = pd.DataFrame([c.classify(t) for t in texts], columns=["lang", "margin"])
+            got = pd.DataFrame([c.classify(t) for t in texts], columns=["lang", "margin", "bytes"])
+            narrow = (got["margin"] < min_margin) & (got["bytes"] >= MIN_EVIDENCE)
             return {
                 "lang_pred": got["lang"].tolist(),
                 "score": (got["margin"] / (got["margin"] + 0.05)).tolist(),
                 "margin": got["margin"].tolist(),
-                "lang_rejected": ((got["lang"] == UNKNOWN) | (got["margin"] < min_margin)).tolist(),
+                "lang_rejected": ((got["lang"] == UNKNOWN) | narrow).tolist(),
             }
 
         return run

@@ -27,7 +27,7 @@ SEED = 17
 BINS = 1000
 MIN_REPEAT = 8
 
-STATS = ["words", "word_length", "upper", "digit", "symbol", "shout", "bar", "stop", "lines", "dup_lines", "repeat3", "repeat8", "other"]
+STATS = ["words", "word_length", "upper", "symbol", "shout", "bar", "stop", "lines", "dup_lines", "repeat3", "repeat8"]
 
 
 def statistics(texts: list) -> np.ndarray:
@@ -36,17 +36,13 @@ def statistics(texts: list) -> np.ndarray:
     texts = [t or "" for t in texts]
     words, chars = np.maximum(m["n_words"], 1), np.maximum(m["word_chars"], 1)
     count = lambda f: np.fromiter(map(f, texts), float, len(texts))
-    lower = [t.lower() for t in texts]
     letters_up = np.fromiter((sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for t in texts), float, len(texts))
-    digits = np.fromiter((sum(map(t.count, "0123456789")) for t in texts), float, len(texts))
     lines = count(lambda t: t.count("\n") + 1)
-    plain = np.fromiter((sum(map(t.count, "etaoinsrhl ,.\n")) for t in lower), float, len(texts))
     return np.column_stack(
         [
             np.log1p(m["n_words"]) / 4,
             np.log1p(m["word_chars"] / words),
             letters_up / chars,
-            digits / chars,
             np.log1p(m["n_symbols"] / words),
             np.log1p(count(lambda t: t.count("!")) / words),
             np.log1p(count(lambda t: t.count("|")) / words),
@@ -55,7 +51,6 @@ def statistics(texts: list) -> np.ndarray:
             m["n_dup_lines"] / lines,
             m["n_repeat_words"] / words,
             m["repeated"] / words,
-            1 - plain / np.maximum(m["n_chars"], 1),
         ]
     )
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, repetition, secret_scan
+from . import bpe, langid, mixing, quality, repetition, secret_scan, toolcalls, topk
 from .common import table
 
 
@@ -37,8 +37,31 @@ def op10_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
 
 
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "text", "copy", "shuffle_key")
+
+
+def op7_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.chat_as_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.CHAT_SCHEMAS)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_repetition, op2_byte_bpe, op3_secret_ownership, op8_rff_quality, op10_zstd_langid)
+    for f in (
+        op1_suffix_repetition,
+        op2_byte_bpe,
+        op3_secret_ownership,
+        op5_poisson_mix,
+        op7_impact_topk,
+        op8_rff_quality,
+        op9_tool_links,
+        op10_zstd_langid,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_poisson_mix": mixing.MIX_SQL, "op7_impact_topk": topk.TOPK_SQL}
