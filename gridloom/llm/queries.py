@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, repetition, secret_scan, toolcalls, topk
+from . import bpe, langid, mixing, ngram_join, quality, repetition, secret_scan, toolcalls, topk
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op10_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "text", "copy", "shuffle_key")
@@ -57,6 +61,7 @@ QUERIES = {
         op1_suffix_repetition,
         op2_byte_bpe,
         op3_secret_ownership,
+        op4_ngram_jaccard,
         op5_poisson_mix,
         op7_impact_topk,
         op8_rff_quality,
