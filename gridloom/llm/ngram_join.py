@@ -10,7 +10,7 @@ verified on whole sets:
 1. each group against the first group of each of its shingles, each member
    against the first of its group; the links' components are found;
 2. where a shingle still has members of several components, all pairs of members
-   of different components.
+   of different components that a parity bitmap of each set does not rule out.
 
 A pair that is left out is of one component already, so no component is lost, and
 a large group of copies costs a number of pairs in proportion to its size.
@@ -36,6 +36,9 @@ COUNTED_AT_ONCE = 4 << 20
 #: Rows of a broadcast table at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Longs of a set's parity bitmap.
+BITMAP = 8
+
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN_WORDS = 500_000
 
@@ -121,7 +124,11 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
 
 
 def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked, keep: list[str]) -> DataFrame:
-    """Add ``n`` (set size), ``d1`` and ``d2`` (the set's digest), ``prefix`` and its digest ``group``."""
+    """Add ``n`` (set size), ``d1`` and ``d2`` (the set's digest), ``prefix`` and its digest ``group``, and ``bits``.
+
+    A bit is the parity of the set's hashes that fall on it: two bitmaps differ in
+    no more bits than the sets in elements.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def make():
@@ -132,11 +139,11 @@ def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked
 
         def run(texts):
             sets = shingle(texts)
-            out = {c: [] for c in ("n", "d1", "d2", "group", "prefix")}
+            out = {c: [] for c in ("n", "d1", "d2", "group", "prefix", "bits")}
             for s in sets:
                 out["n"].append(len(s))
                 if not len(s):
-                    for c in ("d1", "d2", "group", "prefix"):
+                    for c in ("d1", "d2", "group", "prefix", "bits"):
                         out[c].append(None)
                     continue
                 rank = np.zeros(len(s), np.int64)
@@ -153,16 +160,29 @@ def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked
                 out["d2"].append(int(d2))
                 out["group"].append(int(np.int64(np.uint64(xxhash.xxh64_intdigest(first.tobytes(), len(s))).view(np.int64))))
                 out["prefix"].append(first)
+                parity = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+                out["bits"].append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             return out
 
         return run
 
-    return map_text(docs, make, "n long, d1 long, d2 long, `group` long, prefix array<long>", text_col, keep)
+    return map_text(docs, make, "n long, d1 long, d2 long, `group` long, prefix array<long>, bits array<long>", text_col, keep)
+
+
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """Common shingles that sets of n and m need to link."""
+    return F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+
+
+def _bitmaps_allow(n: Column, m: Column, left: str, right: str, percent: int) -> Column:
+    """Whether the bitmaps differ in no more bits than linked sets of n and m may in elements."""
+    apart = sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(BITMAP)), F.lit(0))
+    return apart <= n + m - 2 * _need(n, m, percent)
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
     """Whether sets of n and m shingles, with a common one at these places of their orders, may be similar enough."""
-    need = F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+    need = _need(n, m, percent)
     sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     return sizes & (F.least(n - pos, m - at) + F.least(pos, at) >= need)
 
@@ -210,7 +230,9 @@ def jaccard_components(
     sets = staged(prefix_sets(docs, words, percent, "text", ranked, ["id"]))
     full = sets.where("n > 0 AND id IS NOT NULL")
     classes = staged(
-        full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("group").alias("group"), F.min("n").alias("n"))
+        full.groupBy("d1", "d2").agg(
+            F.min("id").alias("id"), F.min("group").alias("group"), F.min("n").alias("n"), F.min("bits").alias("bits")
+        )
     )
     places = full.select("group", "n", F.posexplode("prefix").alias("pos", "shingle"))
     live = staged(
@@ -223,47 +245,40 @@ def jaccard_components(
     texts = staged(docs.join(_small(ids), "id", "left_semi"))
 
     # 1: against the first group of each shingle, and of each group
-    firsts = shared.groupBy("shingle").agg(F.min(F.struct("group", "n", "pos")).alias("f"))
-    stars = (
+    named = groups.select("group", "first")
+    shared = staged(shared.join(named, "group"))
+    firsts = shared.groupBy("shingle").agg(F.min(F.struct("first", "group", "n", "pos")).alias("f"))
+    of_groups = (
         shared.join(firsts, "shingle")
         .where(F.col("group") != F.col("f.group"))
         .where(_may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), percent))
-        .select("group", F.col("f.group").alias("other"))
+        .select(F.col("f.first").alias("a"), F.col("first").alias("b"))
         .distinct()
     )
-    named = groups.select("group", "first")
-    of_groups = (
-        stars.join(named.withColumnRenamed("first", "a"), "group")
-        .join(named.select(F.col("group").alias("other"), F.col("first").alias("b")), "other")
-        .select("a", "b")
-    )
     of_members = classes.join(groups.where("size > 1"), "group").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     links = staged(verified(of_groups.unionByName(of_members), texts, words, percent))
     found = staged(connected_components(links))
 
     # 2: what still meets in a shingle from different components
-    labelled = classes.join(found, "id", "left").select("id", "group", F.coalesce("component", "id").alias("c"))
+    labelled = classes.join(found, "id", "left").select("id", "group", "n", "bits", F.coalesce("component", "id").alias("c"))
     labelled = staged(labelled.join(wanted, "group", "left_semi"))
     spread = labelled.groupBy("group").agg(F.min("c").alias("f"), F.max("c").alias("l"))
     open_ = (
         shared.join(spread, "group").groupBy("shingle").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").select("shingle")
     )
-    inside = spread.where("f <> l").select("group")
-    at = staged(shared.join(open_, "shingle", "left_semi").join(labelled, "group").select("shingle", "n", "pos", "id", "c"))
-    other = at.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("id").alias("b"), F.col("c").alias("e"))
+    at = staged(shared.join(open_, "shingle", "left_semi").join(labelled.drop("n"), "group"))
+    at = at.select("shingle", "n", "pos", "id", "c", "bits")
+    other = at.toDF("shingle", "m", "at", "b", "e", "bits2")
+    bitmaps = _bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent)
     apart = (
         at.join(other, "shingle")
         .where("c < e")
-        .where(_may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent))
+        .where(_may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent) & bitmaps)
         .select(F.col("id").alias("a"), "b")
     )
-    mixed = labelled.join(inside, "group", "left_semi")
-    apart = apart.unionByName(
-        mixed.select("group", F.col("id").alias("a"), "c")
-        .join(mixed.select("group", F.col("id").alias("b"), F.col("c").alias("e")), "group")
-        .where("c < e")
-        .select("a", "b")
-    ).distinct()
+    mixed = labelled.join(spread.where("f <> l").select("group"), "group", "left_semi").select("group", "n", "id", "c", "bits")
+    pairs_inside = mixed.join(mixed.toDF("group", "m", "b", "e", "bits2"), "group").where("c < e").where(bitmaps)
+    apart = apart.unionByName(pairs_inside.select(F.col("id").alias("a"), "b")).distinct()
     more = staged(verified(apart, texts, words, percent))
     joined = more.join(labelled.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
         labelled.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"
