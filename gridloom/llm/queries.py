@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_join, quality, repetition, secret_scan, toolcalls, topk
+from . import bpe, langid, mixing, ngram_join, passages, quality, repetition, secret_scan, toolcalls, topk
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "text", "copy", "shuffle_key")
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -63,6 +67,7 @@ QUERIES = {
         op3_secret_ownership,
         op4_ngram_jaccard,
         op5_poisson_mix,
+        op6_compact_windows,
         op7_impact_topk,
         op8_rff_quality,
         op9_tool_links,
