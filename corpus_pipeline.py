@@ -1,6 +1,82 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs. All but the last return the
+columns of their docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, langid, mixing, ngram_join, secret_scan
+from gridloom.llm.common import staged, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is recognised; ``lang`` becomes the recognised one.
+
+    Learns from the rows' own ``lang`` where it isn't null. A row that is rejected
+    goes: no text, no letter, or too narrow a margin between two languages.
+    """
+    dictionaries = langid.fit_dictionaries(docs.where(langid.remainder("doc_id", 5) != 0))
+    rows = langid.classify(docs, dictionaries).where("NOT lang_rejected").withColumn("lang", F.col("lang_pred"))
+    return rows.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that shingles of five words link at a similarity of 0.8: the smallest ``doc_id``.
+
+    Rows without words, or with a null id, are linked with nothing and stay. Rows
+    that repeat both id and text count once.
+    """
+    groups = ngram_join.jaccard_components(docs, words=5, percent=80)
+    gone = staged(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(ngram_join.small(gone), "doc_id", "left_anti").select(docs.columns)
+    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    return kept if again else kept.dropDuplicates(["doc_id", "text"])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; in ``text`` each secret is replaced by [secret:kind], or [example:kind] where many owners have it."""
+    key = F.xxhash64("doc_id", "text")
+    found = secret_scan.find_secrets(docs).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
+    rows = docs.withColumn("row_key", key).join(ngram_join.small(staged(found)), "row_key", "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("spans")))
+    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated or left out so that sources weigh the square root of their rows, in a shuffled order."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, intact): token ids of each row, and whether they decode to its text."""
+    vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.bpe_roundtrip(docs, vocab, public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("intact"))
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("secret scan", redact_secrets),
+    ("mixing to target weights", mix_sources),
+    ("byte-level BPE", encode_tokens),
+]
+
+#: Compression and similarity joins are out of SQL's reach; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else staged(docs), sf_dir)
+    return docs

@@ -75,7 +75,7 @@ class Shingler:
         return out
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a staged table, marked for broadcast if it has few rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -238,11 +238,11 @@ def jaccard_components(
     live = staged(
         places.groupBy("shingle").agg(F.min("group").alias("f"), F.max("group").alias("l")).where("f <> l").select("shingle")
     )
-    shared = staged(places.join(_small(live), "shingle").distinct())
+    shared = staged(places.join(small(live), "shingle").distinct())
     groups = staged(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
     wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
     ids = staged(classes.join(wanted, "group", "left_semi").select("id"))
-    texts = staged(docs.join(_small(ids), "id", "left_semi"))
+    texts = staged(docs.join(small(ids), "id", "left_semi"))
 
     # 1: against the first group of each shingle, and of each group
     named = groups.select("group", "first")
