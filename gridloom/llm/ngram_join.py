@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, map_text, staged
 from .components import connected_components
+from .shingles import Shingles
 
 #: Shingles whose corpus counts order the prefixes: a bound of the broadcast, never of the result.
 RANKED = 1 << 18
@@ -37,42 +38,7 @@ COUNTED_AT_ONCE = 4 << 20
 BROADCAST_ROWS = 500_000
 
 #: Longs of a set's parity bitmap.
-BITMAP = 8
-
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN_WORDS = 500_000
-
-
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-
-    def __init__(self, words: int):
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, texts: list) -> list[np.ndarray]:
-        cut = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # bytes: A-Z only
-        known = self.known
-        if len(known) > _KNOWN_WORDS:
-            known.clear()
-        for ws in cut:
-            for w in ws:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-        out = []
-        find = known.__getitem__
-        for ws in cut:
-            h = np.fromiter(map(find, ws), np.uint64, len(ws))
-            n = min(self.words, len(h))
-            if not n:
-                out.append(h)
-                continue
-            s = np.full(len(h) - n + 1, n, np.uint64)
-            for i in range(n):
-                s = (s ^ (s >> np.uint64(29))) * _MULTIPLY + h[i : len(h) - n + 1 + i]
-            s ^= s >> np.uint64(32)
-            out.append(np.unique((s * _MULTIPLY).view(np.int64)))
-        return out
+BITMAP = 32
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,7 +53,7 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
     """
 
     def count(batches):
-        shingle, held, size = Shingler(words), [], 0
+        held, size, sets = [], 0, Shingles(words).sets
 
         def repeats():
             if not held:
@@ -99,7 +65,7 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
 
         for b in batches:
             for i in range(0, len(b), 256):
-                got = shingle(b[text_col].iloc[i : i + 256].tolist())
+                got = sets(b[text_col].iloc[i : i + 256].tolist())
                 held += got
                 size += sum(map(len, got))
                 if size > COUNTED_AT_ONCE:
@@ -132,13 +98,13 @@ def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked
     shared = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def make():
-        shingle = Shingler(words)
+        sets_of = Shingles(words).sets
         known, counts = shared.value
         marked = np.zeros(1 << 22, bool)
         marked[known & (len(marked) - 1)] = True
 
         def run(texts):
-            sets = shingle(texts)
+            sets = sets_of(texts)
             out = {c: [] for c in ("n", "d1", "d2", "group", "prefix", "bits")}
             for s in sets:
                 out["n"].append(len(s))
@@ -176,7 +142,8 @@ def _need(n: Column, m: Column, percent: int) -> Column:
 
 def _bitmaps_allow(n: Column, m: Column, left: str, right: str, percent: int) -> Column:
     """Whether the bitmaps differ in no more bits than linked sets of n and m may in elements."""
-    apart = sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(BITMAP)), F.lit(0))
+    bits = F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
     return apart <= n + m - 2 * _need(n, m, percent)
 
 
@@ -191,11 +158,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """The rows of ``pairs`` (a, b) whose texts are similar enough; ``texts`` is (id, text)."""
 
     def check(batches):
-        shingle, seen = Shingler(words), OrderedDict()
+        sets, seen = Shingles(words).sets, OrderedDict()
 
         def of(i, text):
             if (i, text) not in seen:
-                seen[i, text] = shingle([text])[0]
+                seen[i, text] = sets([text])[0]
                 if len(seen) > 64:
                     seen.popitem(last=False)
             return seen[i, text]
@@ -248,15 +215,23 @@ def jaccard_components(
     named = groups.select("group", "first")
     shared = staged(shared.join(named, "group"))
     firsts = shared.groupBy("shingle").agg(F.min(F.struct("first", "group", "n", "pos")).alias("f"))
-    of_groups = (
+    stars = (
         shared.join(firsts, "shingle")
         .where(F.col("group") != F.col("f.group"))
         .where(_may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), percent))
         .select(F.col("f.first").alias("a"), F.col("first").alias("b"))
         .distinct()
     )
-    of_members = classes.join(groups.where("size > 1"), "group").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    links = staged(verified(of_groups.unionByName(of_members), texts, words, percent))
+    of_members = classes.join(groups.where("size > 1"), "group").where("id <> first")
+    near = stars.unionByName(of_members.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    marks = classes.join(small(ids), "id", "left_semi").select("id", "n", "bits")
+    near = (
+        near.join(marks.toDF("a", "n", "bits"), "a")
+        .join(marks.toDF("b", "m", "bits2"), "b")
+        .where(_bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent))
+        .select("a", "b")
+    )
+    links = staged(verified(near, texts, words, percent))
     found = staged(connected_components(links))
 
     # 2: what still meets in a shingle from different components
