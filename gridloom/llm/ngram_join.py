@@ -37,8 +37,8 @@ COUNTED_AT_ONCE = 4 << 20
 #: Rows of a broadcast table at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-#: Longs of a set's parity bitmap.
-BITMAP = 32
+#: Longs of a set's parity bitmap, and of its fold, which joins carry.
+BITMAP, FOLD = 32, 8
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -90,10 +90,10 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
 
 
 def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked, keep: list[str]) -> DataFrame:
-    """Add ``n`` (set size), ``d1`` and ``d2`` (the set's digest), ``prefix`` and its digest ``group``, and ``bits``.
+    """Add ``n`` (set size), ``d1`` and ``d2`` (the set's digest), ``prefix`` and its digest ``group``, ``bits`` and ``fold``.
 
     A bit is the parity of the set's hashes that fall on it: two bitmaps differ in
-    no more bits than the sets in elements.
+    no more bits than the sets in elements. ``fold`` is a shorter bitmap.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranked)
 
@@ -105,11 +105,11 @@ def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked
 
         def run(texts):
             sets = sets_of(texts)
-            out = {c: [] for c in ("n", "d1", "d2", "group", "prefix", "bits")}
+            out = {c: [] for c in ("n", "d1", "d2", "group", "prefix", "bits", "fold")}
             for s in sets:
                 out["n"].append(len(s))
                 if not len(s):
-                    for c in ("d1", "d2", "group", "prefix", "bits"):
+                    for c in ("d1", "d2", "group", "prefix", "bits", "fold"):
                         out[c].append(None)
                     continue
                 rank = np.zeros(len(s), np.int64)
@@ -127,12 +127,13 @@ def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked
                 out["group"].append(int(np.int64(np.uint64(xxhash.xxh64_intdigest(first.tobytes(), len(s))).view(np.int64))))
                 out["prefix"].append(first)
                 parity = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
-                out["bits"].append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                out["bits"].append(bits := np.packbits(parity.astype(np.uint8)).view(np.int64))
+                out["fold"].append(np.bitwise_xor.reduce(bits.reshape(-1, FOLD)))
             return out
 
         return run
 
-    return map_text(docs, make, "n long, d1 long, d2 long, `group` long, prefix array<long>, bits array<long>", text_col, keep)
+    return map_text(docs, make, "n long, d1 long, d2 long, `group` long, prefix array<long>, bits array<long>, fold array<long>", text_col, keep)
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -198,7 +199,7 @@ def jaccard_components(
     full = sets.where("n > 0 AND id IS NOT NULL")
     classes = staged(
         full.groupBy("d1", "d2").agg(
-            F.min("id").alias("id"), F.min("group").alias("group"), F.min("n").alias("n"), F.min("bits").alias("bits")
+            F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("group", "n", "bits", "fold")]
         )
     )
     places = full.select("group", "n", F.posexplode("prefix").alias("pos", "shingle"))
@@ -208,8 +209,19 @@ def jaccard_components(
     shared = staged(places.join(small(live), "shingle").distinct())
     groups = staged(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
     wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
-    ids = staged(classes.join(wanted, "group", "left_semi").select("id"))
-    texts = staged(docs.join(small(ids), "id", "left_semi"))
+    wanted = staged(wanted)
+    marks = staged(classes.join(wanted, "group", "left_semi").select("id", "n", "bits"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b): first by whole bitmaps, then by whole texts."""
+        near = (
+            pairs.join(marks.toDF("a", "n", "bits"), "a")
+            .join(marks.toDF("b", "m", "bits2"), "b")
+            .where(_bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent))
+        )
+        near = staged(near.select("a", "b"))
+        ids = staged(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        return staged(verified(near, docs.join(small(ids), "id", "left_semi"), words, percent))
 
     # 1: against the first group of each shingle, and of each group
     named = groups.select("group", "first")
@@ -224,37 +236,30 @@ def jaccard_components(
     )
     of_members = classes.join(groups.where("size > 1"), "group").where("id <> first")
     near = stars.unionByName(of_members.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    marks = classes.join(small(ids), "id", "left_semi").select("id", "n", "bits")
-    near = (
-        near.join(marks.toDF("a", "n", "bits"), "a")
-        .join(marks.toDF("b", "m", "bits2"), "b")
-        .where(_bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent))
-        .select("a", "b")
-    )
-    links = staged(verified(near, texts, words, percent))
+    links = check(near)
     found = staged(connected_components(links))
 
     # 2: what still meets in a shingle from different components
-    labelled = classes.join(found, "id", "left").select("id", "group", "n", "bits", F.coalesce("component", "id").alias("c"))
+    labelled = classes.join(found, "id", "left").select("id", "group", "n", "fold", F.coalesce("component", "id").alias("c"))
     labelled = staged(labelled.join(wanted, "group", "left_semi"))
     spread = labelled.groupBy("group").agg(F.min("c").alias("f"), F.max("c").alias("l"))
     open_ = (
         shared.join(spread, "group").groupBy("shingle").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").select("shingle")
     )
     at = staged(shared.join(open_, "shingle", "left_semi").join(labelled.drop("n"), "group"))
-    at = at.select("shingle", "n", "pos", "id", "c", "bits")
-    other = at.toDF("shingle", "m", "at", "b", "e", "bits2")
-    bitmaps = _bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent)
+    at = at.select("shingle", "n", "pos", "id", "c", "fold")
+    other = at.toDF("shingle", "m", "at", "b", "e", "fold2")
+    bitmaps = _bitmaps_allow(F.col("n"), F.col("m"), "fold", "fold2", percent)
     apart = (
         at.join(other, "shingle")
         .where("c < e")
         .where(_may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent) & bitmaps)
         .select(F.col("id").alias("a"), "b")
     )
-    mixed = labelled.join(spread.where("f <> l").select("group"), "group", "left_semi").select("group", "n", "id", "c", "bits")
-    pairs_inside = mixed.join(mixed.toDF("group", "m", "b", "e", "bits2"), "group").where("c < e").where(bitmaps)
+    mixed = labelled.join(spread.where("f <> l").select("group"), "group", "left_semi").select("group", "n", "id", "c", "fold")
+    pairs_inside = mixed.join(mixed.toDF("group", "m", "b", "e", "fold2"), "group").where("c < e").where(bitmaps)
     apart = apart.unionByName(pairs_inside.select(F.col("id").alias("a"), "b")).distinct()
-    more = staged(verified(apart, texts, words, percent))
+    more = check(apart)
     joined = more.join(labelled.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
         labelled.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"
     )
