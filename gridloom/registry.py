@@ -1,4 +1,9 @@
 """Queries over the driver's tables: name -> (spark, sf_dir) -> DataFrame, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from gridloom.plans import base, grids, similarity, statistics, tables
+
+QUERIES = dict(base.QUERIES)
+ORACLES = dict(base.ORACLES)
+assert all((similarity, tables, grids, statistics))  # importing them registers their queries
