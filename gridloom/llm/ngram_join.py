@@ -206,7 +206,7 @@ def jaccard_components(
     live = staged(
         places.groupBy("shingle").agg(F.min("group").alias("f"), F.max("group").alias("l")).where("f <> l").select("shingle")
     )
-    shared = staged(places.join(small(live), "shingle").distinct())
+    shared = staged(places.join(live, "shingle").distinct())  # grows with the corpus: never a broadcast
     groups = staged(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
     wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
     wanted = staged(wanted)
