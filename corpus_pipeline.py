@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, langid, mixing, ngram_join, secret_scan
-from gridloom.llm.common import staged, table
+from gridloom.llm.common import discard, staged, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else staged(docs), sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        if hasattr(before, "_gridloom_path"):
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

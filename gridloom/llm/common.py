@@ -93,12 +93,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends, lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends, lost executors cost nothing.
+
+    The collection afterwards lets Spark delete the shuffle files of the finished step.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
+    spark._jvm.System.gc()
     return out
 
 
@@ -107,3 +111,27 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Stages:
+    """Staged tables of one operator; what it returns is staged last, and the others are deleted then.
+
+    The returned table stays in the shared folder, as its reader decides how long it is needed.
+    """
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(staged(df))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.tables = [x for x in self.tables if x is not t]
+            discard(t)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        out = staged(df)
+        self.drop(*self.tables)
+        return out

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import Stages
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, stage: Stages) -> DataFrame:
     """(id, component) of each id in ``links``, a table (a, b): the smallest id that links reach.
 
     Each star step is one aggregation and one join, so a node with many links never
@@ -16,7 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     an id to itself and repeated links change nothing; rows with a null are left out.
     """
     up = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, seen = staged(up), None
+    edges, seen = stage(up), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
@@ -27,10 +27,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u <> v").distinct())
+        large = stage(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        discard(edges)
-        discard(large)
+        new = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        stage.drop(edges, large)
         edges = new

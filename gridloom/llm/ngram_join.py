@@ -21,19 +21,19 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, staged
+from .common import Stages, discard, map_text, slices, staged
 from .components import connected_components
 from .shingles import Shingles
 
 #: Shingles whose corpus counts order the prefixes: a bound of the broadcast, never of the result.
 RANKED = 1 << 18
 #: Shingles that a task counts at a time when it looks for repeated ones.
-COUNTED_AT_ONCE = 4 << 20
+COUNTED_AT_ONCE = 2 << 20
 #: Rows of a broadcast table at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -56,25 +56,23 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
         held, size, sets = [], 0, Shingles(words).sets
 
         def repeats():
-            if not held:
-                return
-            s = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            s = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            at = np.flatnonzero(np.r_[len(s) > 0, s[1:] != s[:-1]])
             n = np.diff(np.r_[at, len(s)])
-            yield pd.DataFrame({"shingle": s[at][n > 1], "n": n[n > 1]})
+            return pa.RecordBatch.from_arrays([pa.array(s[at][n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
 
-        for b in batches:
-            for i in range(0, len(b), 256):
-                got = sets(b[text_col].iloc[i : i + 256].tolist())
+        for batch in batches:
+            for part in slices(batch, 0):
+                got = sets(part.column(0).to_pylist())
                 held += got
                 size += sum(map(len, got))
                 if size > COUNTED_AT_ONCE:
-                    yield from repeats()
+                    yield repeats()
                     held, size = [], 0
-        yield from repeats()
+        yield repeats()
 
     counts = staged(
-        docs.select(text_col).mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     )
     # n as the nearest power of two below: a few dozen classes, however large the corpus is
     classes = counts.groupBy(F.floor(F.log2("n")).alias("c")).count().orderBy(F.desc("c")).collect()
@@ -194,23 +192,24 @@ def jaccard_components(
     go each by its own text; their id is one node where it stands for a class.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    stage = Stages()
     ranked = repeated_shingles(docs, words, "text")
-    sets = staged(prefix_sets(docs, words, percent, "text", ranked, ["id"]))
+    sets = stage(prefix_sets(docs, words, percent, "text", ranked, ["id"]))
     full = sets.where("n > 0 AND id IS NOT NULL")
-    classes = staged(
+    classes = stage(
         full.groupBy("d1", "d2").agg(
             F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("group", "n", "bits", "fold")]
         )
     )
     places = full.select("group", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    live = staged(
+    live = stage(
         places.groupBy("shingle").agg(F.min("group").alias("f"), F.max("group").alias("l")).where("f <> l").select("shingle")
     )
-    shared = staged(places.join(live, "shingle").distinct())  # grows with the corpus: never a broadcast
-    groups = staged(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
+    shared = stage(places.join(live, "shingle").distinct())  # grows with the corpus: never a broadcast
+    groups = stage(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
     wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
-    wanted = staged(wanted)
-    marks = staged(classes.join(wanted, "group", "left_semi").select("id", "n", "bits"))
+    wanted = stage(wanted)
+    marks = stage(classes.join(wanted, "group", "left_semi").select("id", "n", "bits"))
 
     def check(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b): first by whole bitmaps, then by whole texts."""
@@ -219,13 +218,16 @@ def jaccard_components(
             .join(marks.toDF("b", "m", "bits2"), "b")
             .where(_bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent))
         )
-        near = staged(near.select("a", "b"))
-        ids = staged(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        return staged(verified(near, docs.join(small(ids), "id", "left_semi"), words, percent))
+        near = stage(near.select("a", "b"))
+        ids = stage(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        found = stage(verified(near, docs.join(small(ids), "id", "left_semi"), words, percent))
+        stage.drop(near, ids)
+        return found
 
     # 1: against the first group of each shingle, and of each group
     named = groups.select("group", "first")
-    shared = staged(shared.join(named, "group"))
+    bare, shared = shared, stage(shared.join(named, "group"))
+    stage.drop(bare, live)
     firsts = shared.groupBy("shingle").agg(F.min(F.struct("first", "group", "n", "pos")).alias("f"))
     stars = (
         shared.join(firsts, "shingle")
@@ -237,16 +239,16 @@ def jaccard_components(
     of_members = classes.join(groups.where("size > 1"), "group").where("id <> first")
     near = stars.unionByName(of_members.select(F.col("first").alias("a"), F.col("id").alias("b")))
     links = check(near)
-    found = staged(connected_components(links))
+    found = stage(connected_components(links, stage))
 
     # 2: what still meets in a shingle from different components
     labelled = classes.join(found, "id", "left").select("id", "group", "n", "fold", F.coalesce("component", "id").alias("c"))
-    labelled = staged(labelled.join(wanted, "group", "left_semi"))
+    labelled = stage(labelled.join(wanted, "group", "left_semi"))
     spread = labelled.groupBy("group").agg(F.min("c").alias("f"), F.max("c").alias("l"))
     open_ = (
         shared.join(spread, "group").groupBy("shingle").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").select("shingle")
     )
-    at = staged(shared.join(open_, "shingle", "left_semi").join(labelled.drop("n"), "group"))
+    at = stage(shared.join(open_, "shingle", "left_semi").join(labelled.drop("n"), "group"))
     at = at.select("shingle", "n", "pos", "id", "c", "fold")
     other = at.toDF("shingle", "m", "at", "b", "e", "fold2")
     bitmaps = _bitmaps_allow(F.col("n"), F.col("m"), "fold", "fold2", percent)
@@ -263,7 +265,7 @@ def jaccard_components(
     joined = more.join(labelled.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
         labelled.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"
     )
-    merged = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")), stage)
     names = (
         classes.join(found.withColumnRenamed("component", "c"), "id", "left")
         .withColumn("c", F.coalesce("c", "id"))
@@ -272,4 +274,4 @@ def jaccard_components(
     )
     rows = sets.select("id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return stage.last(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")))

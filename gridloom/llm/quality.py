@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, staged
+from .common import Stages, map_text
 from .textstats import measure
 
 FEATURES = 128
@@ -186,9 +186,10 @@ def classify_quality(
     is scored and never learnt from. Of repeated labels of one id the smallest counts.
     """
     of = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
-    rows = staged(stats_table(docs.select(id_col, text_col), text_col, [id_col]).withColumn("part", of.cast("int")))
+    stage = Stages()
+    rows = stage(stats_table(docs.select(id_col, text_col), text_col, [id_col]).withColumn("part", of.cast("int")))
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
-    learn = staged(rows.where("part <> 2").join(known, id_col).select("part", "stats", "label"))
+    learn = stage(rows.where("part <> 2").join(known, id_col).select("part", "stats", "label"))
     model = fit(learn.where("part < 2"), learn.where("part = 3"))
     out = score(rows.select(id_col, (F.col("part") == 2).alias("held_out"), "stats"), model, threshold)
-    return out.select(id_col, "held_out", "score", "predicted")
+    return stage.last(out.select(id_col, "held_out", "score", "predicted"))

@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, staged
+from .common import Stages, map_text
 
 #: The base kinds in their order, and then the broader one.
 KINDS = ["assign", "access", "hex", "opaque"]
@@ -112,7 +112,8 @@ def find_secrets(
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     cols = {"_id": F.col(id_col), "_owner": F.col(owner_col), "_repo": F.col(repo_col), "_key": key, "_text": F.col(text_col)}
-    scanned = staged(
+    stage = Stages()
+    scanned = stage(
         scan(docs.select(*[c.alias(n) for n, c in cols.items()]), "_text", ["_id", "_owner", "_repo", "_key"])
     )
     owners = ownership(scanned, "_owner", "_repo")
@@ -137,12 +138,13 @@ def find_secrets(
     none = scanned.where(F.size("candidates") == 0).select("_id", "_key", F.lit(None).cast(judged.schema["found"].dataType).alias("found"))
     rows = some.select("_id", "_key", "found").unionByName(none)
     found = F.coalesce("found", F.array().cast(judged.schema["found"].dataType))
-    return rows.select(
+    out = rows.select(
         F.col("_id").alias(id_col),
         F.col("_key").alias("row_key"),
         F.filter(found, lambda x: x["kind"] < 3).alias("base"),
         F.filter(found, lambda x: (x["kind"] < 3) | x["live"]).alias("spans"),
     )
+    return stage.last(out)
 
 
 def _listed(spans):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are hashed at a time.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # 5 modulo 8: powers differ by few factors of two

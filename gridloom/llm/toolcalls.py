@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Stages
 
 REFERENCE = '"\\\\$call:([^"]+)"'
 
@@ -57,15 +57,15 @@ def valid_arguments(name: Column, raw: Column, parsed: Column, schemas: dict) ->
     return F.coalesce(out, F.lit(False))
 
 
-def _levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
+def _levels(edges: DataFrame, calls: DataFrame, stage: Stages) -> DataFrame:
     """(conv_id, call_id, level) of ``calls`` by the longest chain of edges; calls on or behind a cycle have none.
 
     ``edges`` are (conv_id, call_id, needs). A round settles the calls all of
     whose needs are settled, so there are as many rounds as the longest chain has calls.
     """
     key = ["conv_id", "call_id"]
-    done = staged(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)))
-    left = staged(edges)
+    done = stage(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)))
+    left = stage(edges)
     before, n = -1, left.count()
     while n and n != before:
         settled = done.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("of"))
@@ -76,9 +76,9 @@ def _levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
             .where("open = 0")
             .select(*key, (F.col("of") + 1).cast("int").alias("level"))
         )
-        ready = staged(ready)
-        done = staged(done.unionByName(ready))
-        left = staged(left.join(ready.select(*key), key, "left_anti"))
+        ready = stage(ready)
+        done = stage(done.unionByName(ready))
+        left = stage(left.join(ready.select(*key), key, "left_anti"))
         before, n = n, left.count()
     return done
 
@@ -126,7 +126,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
         .otherwise("linked")
         .alias("status"),
     )
-    rows = staged(rows)
+    stage = Stages()
+    rows = stage(rows)
     edges = (
         rows.where(known & F.col("arguments").contains("$call:"))
         .select(*key, "turn", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("needs"))
@@ -141,12 +142,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
         | F.col("of").isNull()
         | F.col("turn").isNull()
     )
-    odd = staged(forward.select("conv_id").distinct())
+    odd = stage(forward.select("conv_id").distinct())
     if odd.isEmpty():
         rows = rows.withColumn("level", F.lit(0))
     else:
         some = rows.where(known).join(odd, "conv_id", "left_semi")
-        levels = _levels(edges.join(odd, "conv_id", "left_semi").select(*key, "needs"), some)
+        levels = _levels(edges.join(odd, "conv_id", "left_semi").select(*key, "needs"), some, stage)
         rows = (
             rows.join(levels, key, "left")
             .join(odd.withColumn("odd", F.lit(True)), "conv_id", "left")
@@ -161,9 +162,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     # variants keep the keys of an object sorted; arguments that don't parse stay a string
     texts["arguments"] = F.coalesce(F.to_json(parsed), text("arguments"))
     parts = [x for k in sorted(texts) for x in (F.lit(f'"{k}":'), texts[k], F.lit(","))][:-1]
-    return rows.select(
+    out = rows.select(
         *key, "turn", "name", "level", "status", "valid", "n_calls", "n_results", F.concat(F.lit("{"), *parts, F.lit("}")).alias("json")
     )
+    return stage.last(out)
 
 
 def chat_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
