@@ -89,9 +89,9 @@ def at_risk(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 
     Windows run over distinct times of a group, not over its rows.
     """
-    per = df.where(F.col(time).isNotNull()).groupBy(group, time).agg(F.sum(F.col(event).cast("int")).alias("d"), F.count("*").alias("k"))
+    per = df.where(F.col(time).isNotNull()).groupBy(group, time).agg(F.sum(F.col(event).cast("int")).alias("d"), F.count("*").alias("_k"))
     later = Window.partitionBy(group).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("n", F.sum("k").over(later)).drop("k")
+    return per.withColumn("n", F.sum("_k").over(later)).drop("_k")
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
