@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Stages
 
-REFERENCE = '"\\\\$call:([^"]+)"'
+REFERENCE = r'"\$call:([^"]+)"'
 
 #: Schemas of the calls that plain conversations are read as.
 CHAT_SCHEMAS = {
