@@ -40,11 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; in ``text`` each secret is replaced by [secret:kind], or [example:kind] where many owners have it."""
+    """All rows; in ``text`` each secret is replaced by [redacted kind], or [example kind] where many owners have it."""
     key = F.xxhash64("doc_id", "text")
-    found = secret_scan.find_secrets(docs).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
-    rows = docs.withColumn("row_key", key).join(ngram_join.small(staged(found)), "row_key", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("spans")))
+    found = secret_scan.find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["row_key"]).select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__row_key", key).join(ngram_join.small(staged(found)), "__row_key", "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("__spans")))
     rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(docs.columns)
 

@@ -81,24 +81,24 @@ def mix(
     rate over MAX_RATE raises an error.
     """
     rates = source_rates(docs, source_col, weights, total, power).select(
-        F.col("source").alias("_source"),
+        F.col("source").alias("__mix_source"),
         F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a mean rate is over {MAX_RATE:g}")).cast("double"))
         .otherwise(F.col("rate"))
-        .alias("_rate"),
-    ).withColumn("_steps", poisson_steps(F.col("_rate"))).cache()
+        .alias("__mix_rate"),
+    ).withColumn("__mix_steps", poisson_steps(F.col("__mix_rate"))).cache()
     docs = docs.drop("copy", "shuffle_key")
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
-        joined = docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(F.col("_source")))
+        joined = docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(F.col("__mix_source")))
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        spread = rates.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn("__mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        spread = rates.withColumn("__mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(
-            spread, salted[source_col].eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt2"))
-        ).drop("_salt", "_salt2")
+            spread, salted[source_col].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_salt") == F.col("__mix_salt2"))
+        ).drop("__mix_salt", "__mix_salt2")
     u = uniform(seed, F.col(id_col))
-    drawn = joined.withColumn("_n", F.size(F.filter("_steps", lambda x: x < u))).drop("_steps", "_rate", "_source")
-    copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    drawn = joined.withColumn("__mix_n", F.size(F.filter("__mix_steps", lambda x: x < u))).drop("__mix_steps", "__mix_rate", "__mix_source")
+    copies = drawn.where("__mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).drop("__mix_n")
     keyed = copies.withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.col("copy")))
     # a hashed deal by a uniform key and a sort within each part: a global shuffle with one exchange
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

@@ -165,7 +165,7 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(text, spans):
-    """``text`` (a Column) with each span replaced by [secret:kind], or [example:kind] for a copied one.
+    """``text`` (a Column) with each span replaced by [redacted kind], or [example kind] for a copied one.
 
     Of spans that overlap, those from the first on are one; its kind is named.
     """
@@ -173,7 +173,7 @@ def redacted(text, spans):
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        mark = F.concat(F.when(x["live"], "[secret:").otherwise("[example:"), names[x["kind"]], F.lit("]"))
+        mark = F.concat(F.when(x["live"], "[redacted ").otherwise("[example "), names[x["kind"]], F.lit("]"))
         plain = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], plain, mark).alias("out"))
         within = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
