@@ -74,4 +74,4 @@ QUERIES = {
         op10_zstd_langid,
     )
 }
-ORACLES: dict[str, str] = {"op5_poisson_mix": mixing.MIX_SQL, "op7_impact_topk": topk.TOPK_SQL}
+ORACLES: dict[str, str] = {"op5_poisson_mix": mixing.MIX_SQL, "op7_impact_topk": topk.TOPK_SQL, "op9_tool_links": toolcalls.CHAT_SQL}

@@ -204,3 +204,23 @@ def chat_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", at(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
     )
     return made.unionByName(said), answers.unionByName(replies)
+
+
+#: DuckDB's form of link_calls over chat_as_calls, for conversations whose texts hold no tool calls.
+CHAT_SQL = """
+WITH c AS (
+  SELECT conv_id, 'turn-' || turn AS call_id, turn, if(role = 'user', 'reply', 'instruct') AS name, text,
+    if(role = 'user' AND turn > 1, '"after":"$call:turn-' || (turn - 2) || '",', '') AS after
+  FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, 'turn-' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, name,
+    CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    c.turn IS NOT NULL AS valid, (c.turn IS NOT NULL)::BIGINT AS n_calls, (r.turn IS NOT NULL)::BIGINT AS n_results,
+    if(c.turn IS NULL, 'null', '{' || after || '"text":' || to_json(text) || '}') AS arguments, content
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, turn, name, 0 AS level, status, valid, n_calls, n_results,
+  '{"arguments":' || arguments || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+    || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":' || to_json(status) || ',"valid":' || valid || '}' AS json
+FROM j
+"""
