@@ -31,14 +31,14 @@ from .components import connected_components
 from .shingles import Shingles
 
 #: Shingles whose corpus counts order the prefixes: a bound of the broadcast, never of the result.
-RANKED = 1 << 18
+RANKED = 1 << 20
 #: Shingles that a task counts at a time when it looks for repeated ones.
 COUNTED_AT_ONCE = 2 << 20
 #: Rows of a broadcast table at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 #: Longs of a set's parity bitmap, and of its fold, which joins carry.
-BITMAP, FOLD = 32, 8
+BITMAP, FOLD = 32, 4
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -209,16 +209,16 @@ def jaccard_components(
     groups = stage(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
     wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
     wanted = stage(wanted)
-    marks = stage(classes.join(wanted, "group", "left_semi").select("id", "n", "bits"))
+    marks = stage(classes.join(wanted, "group", "left_semi").select("id", "n", "bits", "fold"))
 
     def check(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b): first by whole bitmaps, then by whole texts."""
-        near = (
-            pairs.join(marks.toDF("a", "n", "bits"), "a")
-            .join(marks.toDF("b", "m", "bits2"), "b")
-            .where(_bitmaps_allow(F.col("n"), F.col("m"), "bits", "bits2", percent))
-        )
-        near = stage(near.select("a", "b"))
+        near = pairs
+        for bits in ("fold", "bits"):  # the short bitmaps leave few pairs for the long ones
+            own = marks.select("id", "n", bits)
+            near = near.join(own.toDF("a", "n", "left"), "a").join(own.toDF("b", "m", "right"), "b")
+            near = near.where(_bitmaps_allow(F.col("n"), F.col("m"), "left", "right", percent)).select("a", "b")
+        near = stage(near)
         ids = stage(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
         found = stage(verified(near, docs.join(small(ids), "id", "left_semi"), words, percent))
         stage.drop(near, ids)
