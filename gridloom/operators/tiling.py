@@ -145,3 +145,18 @@ def cropped(cells: DataFrame, height: int, width: int, patch: int, step: int) ->
     """Cells whose patch begins inside a slide of that size."""
     ends = [-(-(n - patch) // step) + 1 for n in (height, width)]
     return cells.where((F.col("r") < ends[0]) & (F.col("c") < ends[1]))
+
+
+def box_plan(slides: DataFrame, side: int, patch: int, stride: int, factor: float = 1.0) -> DataFrame:
+    """(slide, box, x, y, size): boxes of side x side patches that cover slides (slide, width, height).
+
+    Boxes are numbered down the columns; ``size`` is a box's side in pixels, before ``factor``.
+    """
+    step = int(side * stride * factor)
+    along = lambda n: F.greatest(F.ceil(F.col(n) / step), F.lit(1)).cast("int")
+    rows = slides.select("slide", along("height").alias("rows"), along("width").alias("cols"))
+    rows = rows.withColumn("box", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
+    return rows.select(
+        "slide", "box", (F.floor(F.col("box") / F.col("rows")) * step).cast("int").alias("x"), (F.pmod("box", "rows") * step).cast("int").alias("y"),
+        F.lit(side * stride + patch - stride).alias("size"),
+    )

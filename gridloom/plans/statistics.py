@@ -139,3 +139,10 @@ def separation_accuracy(t):
     drawn = ranking.sample_without(cells, ["slide", "side"], "vec_id", 40, 19)
     halves = ranking.half_split(drawn, ["slide", "side"], "vec_id", 23)
     return rounded(stats.separation(halves, ["slide"]), "accuracy")
+
+
+@query()
+def cox_coefficients(t):
+    rows = _survival(t).withColumn("high", F.col("high").cast("int"))
+    fitted = stats.cox_fit(rows, "t", "e", ["risk", "high"])
+    return rounded(t.spark.createDataFrame(list(fitted.items()), "covariate string, coefficient double"), "coefficient")

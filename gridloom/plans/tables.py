@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import ranking, relational
+from gridloom.operators import ranking, relational, sampling
 from gridloom.plans.base import query
 from gridloom.plans.similarity import _DRAW
 
@@ -383,3 +383,36 @@ def incremental_skip_existing(t):
     from gridloom.sources.incremental import not_yet_written
 
     return not_yet_written(t.documents.select("doc_id", "source"), t.labels, ["doc_id"])
+
+
+@query(
+    f"""WITH n AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS k FROM embeddings GROUP BY label),
+m AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
+s AS (SELECT b, s, {_DRAW.format("'37|' || b || '|' || s || '|label'")} AS l, {_DRAW.format("'37|' || b || '|' || s || '|a'")} AS a, {_DRAW.format("'37|' || b || '|' || s || '|b'")} AS q
+  FROM range(4) x(b), range(8) y(s))
+SELECT s.b AS batch, s.s::INTEGER AS slot, n.label, x.vec_id AS a, y.vec_id AS b FROM s JOIN n ON n.i = s.l % n.k
+JOIN m x ON x.label = n.label AND x.r = s.a % n.n JOIN m y ON y.label = n.label AND y.r = s.q % n.n"""
+)
+def paired_batch_sampler(t):
+    return sampling.paired_batches(t.embeddings, "label", "vec_id", 4, 8, 37)
+
+
+@query(
+    f"""WITH g AS (SELECT vec_id // 100 AS slide, (vec_id % 100) // 10 AS r, vec_id % 10 AS c, vec_id, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1 AS k,
+  count(*) OVER (PARTITION BY vec_id // 100) AS n FROM embeddings),
+t AS (SELECT a.slide, a.vec_id AS id, b.vec_id AS other, i FROM g a, range(6) x(i) JOIN g b ON b.slide = a.slide AND b.k = {_DRAW.format("'41|' || a.vec_id || '|' || i")} % a.n
+  WHERE (a.r - b.r) ** 2 + (a.c - b.c) ** 2 >= 25)
+SELECT slide::INTEGER AS slide, id, other, i::INTEGER AS attempt FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1"""
+)
+def distant_pair_draws(t):
+    return sampling.distant_pairs(t.grid(), "vec_id", 5.0, 6, 41)
+
+
+@query("SELECT vec_id, (vec_id % 3)::INTEGER AS shard FROM embeddings")
+def sampler_shards(t):
+    return t.embeddings.select("vec_id", sampling.shard(F.col("vec_id"), 3).alias("shard"))
+
+
+@query("SELECT p_partkey, least(200, floor(p_retailprice * 100 * 1.5 / (224 * 224)))::INTEGER AS n FROM part")
+def patch_budgets(t):
+    return t.part.select("p_partkey", sampling.patch_budget(F.col("p_retailprice") * 100, 224, 200, 0.5).alias("n"))

@@ -263,3 +263,43 @@ def test_stream_scores_each_slide_once(spark, tmp_path):
         df.where(F.col("slide") == part).coalesce(1).write.mode("append").parquet(source)
         incremental_scores.run(spark, source, out, state)
     assert spark.read.parquet(out).groupBy("slide").count().where("count = 1").count() == 2
+
+
+def test_cox_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (150, 2)).astype(float)
+    t, e = np.ceil(rng.exponential(10 / np.exp(0.5 * x[:, 0]))), rng.random(150) < 0.8
+    beta = np.zeros(2)
+    for _ in range(30):
+        g, h, r = np.zeros(2), np.zeros((2, 2)), np.exp(x @ beta)
+        for i in np.flatnonzero(e):
+            at = t >= t[i]
+            m = (r[at, None] * x[at]).sum(0) / r[at].sum()
+            g += x[i] - m
+            h += (r[at, None, None] * x[at, :, None] * x[at, None]).sum(0) / r[at].sum() - np.outer(m, m)
+        beta += np.linalg.solve(h, g)
+    df = spark.createDataFrame([(float(a), bool(b), float(c), float(d)) for a, b, (c, d) in zip(t, e, x)], "k double, d boolean, x double, y double")
+    assert list(stats.cox_fit(df, "k", "d", ["x", "y"]).values()) == pytest.approx(beta.tolist(), abs=1e-6)
+
+
+def test_stains_and_back(spark):
+    from gridloom.functions import colour
+
+    r, g, b = F.lit(120.0), F.lit(60.0), F.lit(200.0)
+    hed = spark.range(1).select(*colour.rgb_to_hed(r, g, b)).first()
+    back = spark.range(1).select(*colour.hed_to_rgb(*map(F.lit, colour.STAINS[0]))).first()
+    assert all(v >= 0 for v in hed) and all(0 <= v <= 255 for v in back)
+    pure = spark.range(1).select(*colour.hed_to_rgb(F.lit(0.0), F.lit(0.3), F.lit(0.0))).first()
+    again = spark.range(1).select(*colour.rgb_to_hed(*map(F.lit, pure))).first()
+    assert tuple(again) == pytest.approx((0.0, 0.3, 0.0), abs=1e-6)
+
+
+def test_predict_hook_and_box_plan(spark):
+    from gridloom.sources import hooks
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)] + [(99, None)], "id int, v array<double>")
+    got = hooks.predict(df, "v", lambda: lambda m: m * 2).collect()
+    assert {r["id"]: r["profile"] for r in got} == {i: [2.0 * i, 2.0] for i in range(40)} | {99: None}
+    slides = spark.createDataFrame([("s", 900, 500)], "slide string, width int, height int")
+    plan = tiling.box_plan(slides, 4, 224, 100).orderBy("box").collect()
+    assert [(r["box"], r["x"], r["y"], r["size"]) for r in plan[:3]] == [(0, 0, 0, 524), (1, 0, 400, 524), (2, 400, 0, 524)] and len(plan) == 6
