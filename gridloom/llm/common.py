@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one call of a per-document function sees at most, unless
 #: one text alone is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
