@@ -82,9 +82,11 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
             least = 2 ** (c + 1)
             break
         total += n
-    top = counts.where(F.col("n") >= least).toPandas().sort_values("shingle")
+    top = counts.where(F.col("n") >= least).toArrow()  # two longs a row in the driver, no Python objects
     discard(counts)
-    return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    shingles, n = (top.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
 
 
 def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked, keep: list[str]) -> DataFrame:
