@@ -212,6 +212,9 @@ def jaccard_components(
     wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
     wanted = stage(wanted)
     marks = stage(classes.join(wanted, "group", "left_semi").select("id", "n", "bits", "fold"))
+    # bitmaps are in marks and prefixes in shared from here on
+    wide, sets, classes = (sets, classes), stage(sets.select("id", "n", "d1", "d2")), stage(classes.drop("bits"))
+    stage.drop(*wide)
 
     def check(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b): first by whole bitmaps, then by whole texts."""
@@ -274,6 +277,6 @@ def jaccard_components(
         .join(merged.withColumnRenamed("id", "c"), "c", "left")
         .select("d1", "d2", F.coalesce("component", "c").alias("component"))
     )
-    rows = sets.select("id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
+    rows = sets.join(names, ["d1", "d2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return stage.last(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")))
