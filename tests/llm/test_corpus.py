@@ -178,6 +178,32 @@ def test_op6_finds_repeated_passages_and_leaves_the_rest(spark):
     assert {len({x[2] for i in range(k, 40, 4) for x in spans[i]}) for k in range(4)} == {1}
 
 
+@pytest.mark.parametrize("size", [50, 52, 60, 80])
+def test_op6_finds_passages_with_a_changed_word(spark, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for i in range(150):
+        passage = prose(rng, size, 10**6).split()
+        own = list(passage)
+        own[int(rng.integers(size // 2 - 5, size // 2 + 5))] = "changed"
+        for j, w in enumerate((passage, own)):
+            rows.append((2 * i + j, f"{prose(rng, 60, 10**6)} {' '.join(w)} {prose(rng, 60, 10**6)}"))
+    got = passages.duplicate_passages(frame(spark, [(i, t, *[None] * 6) for i, t in rows])).collect()
+    found = {r["doc_id"] for r in got if r["start_word"] <= 60 and r["end_word"] >= 60 + size}
+    assert len(found) >= 0.97 * len(rows)
+
+
+def test_op6_contexts_never_differ_more_than_their_shingles():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        s = rng.integers(-(2**62), 2**62, 41)
+        t = np.where(rng.random(41) < 0.2, rng.integers(-(2**62), 2**62, 41), s)
+        m, n = (passages.contexts(x, np.array([20]), 20)[0] for x in (s, t))
+        for side, part in ((slice(0, 2), slice(0, 20)), (slice(2, 4), slice(21, 41))):
+            bits = sum(int(v).bit_count() for v in (m[side] ^ n[side]).view(np.uint64))
+            assert bits <= len(np.setxor1d(s[part], t[part]))
+
+
 def test_op6_recall_on_a_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
