@@ -193,6 +193,18 @@ def test_op6_finds_passages_with_a_changed_word(spark, size):
     assert len(found) >= 0.97 * len(rows)
 
 
+def test_op6_families_with_a_stock_phrase_do_not_compete(spark):
+    rng = np.random.default_rng(13)
+    stock, rows = prose(rng, 12, 10**6), []
+    for i in range(40):
+        passage = f"{prose(rng, 19, 10**6)} {stock} {prose(rng, 19, 10**6)}"
+        for j in range(2):
+            rows.append((2 * i + j, f"{prose(rng, 60, 10**6)} {passage} {prose(rng, 60, 10**6)}"))
+    docs = frame(spark, [(i, t, *[None] * 6) for i, t in rows])
+    got = passages.duplicate_passages(docs, hashes=1).collect()
+    assert {r["doc_id"] for r in got if r["start_word"] <= 60 and r["end_word"] >= 110} == {i for i, _ in rows}
+
+
 def test_op6_contexts_never_differ_more_than_their_shingles():
     rng = np.random.default_rng(12)
     for _ in range(200):
