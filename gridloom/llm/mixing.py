@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Sources whose rates may be broadcast at most; beyond that the join is shuffled and salted.
 BROADCAST_SOURCES = 10_000
-#: The largest mean rate whose distribution a double can hold from its lower end.
+#: The largest mean rate whose distribution a double can hold from its lower end; larger ones are sums of draws. The
+#: most rows to aim at, as a multiple of those there are.
 MAX_RATE = 500.0
 SALTS = 64
 SEED = 29
@@ -77,15 +78,19 @@ def mix(
 
     Any column is kept; input columns named ``copy`` or ``shuffle_key`` are
     replaced. The draw is seeded by the id, so rows that repeat an id are drawn
-    alike; a null id is seeded as empty text. Empty input gives no rows. A mean
-    rate over MAX_RATE raises an error.
+    alike; a null id is seeded as empty text. Empty input gives no rows. A source
+    may have any rate: one over MAX_RATE is drawn as the sum of equal parts, each
+    with a number of its own. A ``total`` over MAX_RATE times the rows, the mean
+    rate of all, raises an error.
     """
-    rates = source_rates(docs, source_col, weights, total, power).select(
-        F.col("source").alias("__mix_source"),
-        F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a mean rate is over {MAX_RATE:g}")).cast("double"))
-        .otherwise(F.col("rate"))
-        .alias("__mix_rate"),
-    ).withColumn("__mix_steps", poisson_steps(F.col("__mix_rate"))).cache()
+    rates = source_rates(docs, source_col, weights, total, power)
+    if total is not None:
+        mean = F.sum(F.col("n") * F.col("rate")) > MAX_RATE * F.sum("n")
+        if rates.agg(mean.alias("over")).first()["over"]:
+            raise ValueError(f"a mean rate is over {MAX_RATE:g}")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int")
+    rates = rates.select(F.col("source").alias("__mix_source"), parts.alias("__mix_parts"), (F.col("rate") / parts).alias("__mix_rate"))
+    rates = rates.withColumn("__mix_steps", poisson_steps(F.col("__mix_rate"))).cache()
     docs = docs.drop("copy", "shuffle_key")
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
@@ -96,8 +101,10 @@ def mix(
         joined = salted.join(
             spread, salted[source_col].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_salt") == F.col("__mix_salt2"))
         ).drop("__mix_salt", "__mix_salt2")
-    u = uniform(seed, F.col(id_col))
-    drawn = joined.withColumn("__mix_n", F.size(F.filter("__mix_steps", lambda x: x < u))).drop("__mix_steps", "__mix_rate", "__mix_source")
+    draw = lambda u: F.size(F.filter("__mix_steps", lambda x: x < u))
+    further = F.when(F.col("__mix_parts") > 1, F.sequence(F.lit(2), F.col("__mix_parts"))).otherwise(F.array().cast("array<int>"))
+    n = F.aggregate(further, draw(uniform(seed, F.col(id_col))), lambda acc, k: acc + draw(uniform(seed, F.col(id_col), F.lit("part"), k)))
+    drawn = joined.withColumn("__mix_n", n).drop("__mix_steps", "__mix_parts", "__mix_rate", "__mix_source")
     copies = drawn.where("__mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).drop("__mix_n")
     keyed = copies.withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.col("copy")))
     # a hashed deal by a uniform key and a sort within each part: a global shuffle with one exchange

@@ -148,6 +148,18 @@ def test_op5_shuffles_globally_and_takes_odd_cases(spark, monkeypatch):
         mixing.mix(frame(spark, rows), total=10**7).count()
 
 
+def test_op5_draws_rates_of_any_size(spark):
+    rows = [(i, "t", "en", "big" if i < 4000 else None if i < 4003 else "rare", 0, None, None, None) for i in range(4006)]
+    docs = frame(spark, rows)
+    out = mixing.mix(docs, {"big": 1.0, "rare": 1.0, None: 2.0})  # rates of about 0.25, 334 and 668
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    for source, share in (("big", 0.25), ("rare", 0.25), (None, 0.5)):
+        assert abs(n[source] - share * 4006) < 5 * math.sqrt(share * 4006)
+    few = mixing.mix(docs, {None: 1.0}).groupBy("doc_id").agg(F.count("*"), F.countDistinct("copy"), F.max("copy")).collect()  # a rate of 1,335, three parts
+    assert len(few) == 3 and all(r[1] == r[2] == r[3] and abs(r[1] - 4006 / 3) < 5 * math.sqrt(4006 / 3) for r in few)
+    assert len({r[1] for r in few}) > 1
+
+
 def exact_windows(rows, size):
     at = collections.defaultdict(set)
     for i, t in rows:
