@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -92,17 +93,36 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends, lost executors cost nothing.
+#: Settings while a table is staged: its shuffle files go when it is written, and workers get batches of bounded bytes.
+STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
-    The collection afterwards lets Spark delete the shuffle files of the finished step.
-    """
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, STAGING):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
-    spark._jvm.System.gc()
     return out
 
 

@@ -3,14 +3,15 @@
 A document's set is its distinct word shingles. Two sets that are similar enough
 share a shingle among the first few of each in a fixed order; that order puts
 shingles that repeat in the corpus last. Documents with one set are one class,
-and classes with one prefix and size are one group. Groups that share a prefix
-shingle, with sizes and positions that allow a link, are expanded to members and
-verified on whole sets:
+and classes with one prefix and size are one group, which its smallest id names.
+Groups that share a prefix shingle, with sizes and positions that allow a link,
+are expanded to members and verified on whole sets:
 
 1. each group against the first group of each of its shingles, each member
    against the first of its group; the links' components are found;
-2. where a shingle still has members of several components, all pairs of members
-   of different components that a parity bitmap of each set does not rule out.
+2. where a shingle still has members of several components, the pairs of members
+   of different components that the first round has not held against each other
+   and a parity bitmap of each set does not rule out.
 
 A pair that is left out is of one component already, so no component is lost, and
 a large group of copies costs a number of pairs in proportion to its size.
@@ -30,8 +31,8 @@ from .common import Stages, discard, map_text, slices, staged
 from .components import connected_components
 from .shingles import Shingles
 
-#: Shingles whose corpus counts order the prefixes: a bound of the broadcast, never of the result.
-RANKED = 1 << 20
+#: Shingles whose corpus counts order the prefixes: a bound of the broadcast (9 bytes each), never of the result.
+RANKED = 1 << 21
 #: Shingles that a task counts at a time when it looks for repeated ones.
 COUNTED_AT_ONCE = 2 << 20
 #: Rows of a broadcast table at most; larger ones are joined by a shuffle.
@@ -47,7 +48,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that repeat most, at most RANKED.
+    """Hashes, sorted, and ranks by count of the shingles that repeat most, at most RANKED.
 
     Each task counts all its shingles and sends those that it met twice.
     """
@@ -82,63 +83,61 @@ def repeated_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
             least = 2 ** (c + 1)
             break
         total += n
-    top = counts.where(F.col("n") >= least).toArrow()  # two longs a row in the driver, no Python objects
+    rank = F.least(F.floor(8 * F.log2("n")), F.lit(255)).cast("short").alias("rank")
+    top = counts.where(F.col("n") >= least).select("shingle", rank).toArrow()  # no Python objects in the driver
     discard(counts)
-    shingles, n = (top.column(c).to_numpy() for c in ("shingle", "n"))
+    shingles = top.column("shingle").to_numpy()
     order = np.argsort(shingles)
-    return shingles[order], n[order]
+    return shingles[order], top.column("rank").to_numpy()[order].astype(np.uint8)
 
 
 def prefix_sets(docs: DataFrame, words: int, percent: int, text_col: str, ranked, keep: list[str]) -> DataFrame:
-    """Add ``n`` (set size), ``d1`` and ``d2`` (the set's digest), ``prefix`` and its digest ``group``, ``bits`` and ``fold``.
+    """Add ``n`` (set size), ``d1``, ``d2`` (the set's digest), ``prefix``, ``g1``, ``g2`` (digest of it and the size), ``bits``, ``fold``.
 
     A bit is the parity of the set's hashes that fall on it: two bitmaps differ in
     no more bits than the sets in elements. ``fold`` is a shorter bitmap.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranked)
+    columns = ("n", "d1", "d2", "g1", "g2", "prefix", "bits", "fold")
 
     def make():
         sets_of = Shingles(words).sets
-        known, counts = shared.value
+        known, ranks = shared.value
         marked = np.zeros(1 << 22, bool)
         marked[known & (len(marked) - 1)] = True
 
         def run(texts):
-            sets = sets_of(texts)
-            out = {c: [] for c in ("n", "d1", "d2", "group", "prefix", "bits", "fold")}
-            for s in sets:
-                out["n"].append(len(s))
-                if not len(s):
-                    for c in ("d1", "d2", "group", "prefix", "bits", "fold"):
-                        out[c].append(None)
-                    continue
-                rank = np.zeros(len(s), np.int64)
-                maybe = np.flatnonzero(marked[s & (len(marked) - 1)])
-                if len(maybe):
-                    at = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
-                    hit = known[at] == s[maybe]
-                    rank[maybe[hit]] = counts[at[hit]]
-                p = len(s) - -(-percent * len(s) // 100) + 1
-                first = s[np.argsort(rank, kind="stable")[:p]]  # by count, then by hash
-                digest = xxhash.xxh128_digest(s.tobytes())
-                d1, d2 = np.frombuffer(digest, np.int64)
-                out["d1"].append(int(d1))
-                out["d2"].append(int(d2))
-                out["group"].append(int(np.int64(np.uint64(xxhash.xxh64_intdigest(first.tobytes(), len(s))).view(np.int64))))
-                out["prefix"].append(first)
-                parity = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
-                out["bits"].append(bits := np.packbits(parity.astype(np.uint8)).view(np.int64))
-                out["fold"].append(np.bitwise_xor.reduce(bits.reshape(-1, FOLD)))
+            out = {c: [] for c in columns}
+            for s in sets_of(texts):
+                row = dict.fromkeys(columns)
+                row["n"] = len(s)
+                if len(s):
+                    rank = np.zeros(len(s), np.uint8)
+                    maybe = np.flatnonzero(marked[s & (len(marked) - 1)])
+                    if len(maybe):
+                        at = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
+                        hit = known[at] == s[maybe]
+                        rank[maybe[hit]] = ranks[at[hit]]
+                    p = len(s) - -(-percent * len(s) // 100) + 1
+                    row["prefix"] = s[np.argsort(rank, kind="stable")[:p]]  # by count, then by hash
+                    row["d1"], row["d2"] = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist()
+                    row["g1"], row["g2"] = np.frombuffer(xxhash.xxh128_digest(row["prefix"].tobytes(), len(s)), np.int64).tolist()
+                    parity = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+                    row["bits"] = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                    row["fold"] = np.bitwise_xor.reduce(row["bits"].reshape(-1, FOLD))
+                for c in columns:
+                    out[c].append(row[c])
             return out
 
         return run
 
-    return map_text(docs, make, "n long, d1 long, d2 long, `group` long, prefix array<long>, bits array<long>, fold array<long>", text_col, keep)
+    added = "n long, d1 long, d2 long, g1 long, g2 long, prefix array<long>, bits array<long>, fold array<long>"
+    return map_text(docs, make, added, text_col, keep)
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
-    """Common shingles that sets of n and m need to link."""
-    return F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+    """Common shingles that sets of n and m need to link, rounded up in whole numbers."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
 
 
 def _bitmaps_allow(n: Column, m: Column, left: str, right: str, percent: int) -> Column:
@@ -149,10 +148,24 @@ def _bitmaps_allow(n: Column, m: Column, left: str, right: str, percent: int) ->
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
-    """Whether sets of n and m shingles, with a common one at these places of their orders, may be similar enough."""
-    need = _need(n, m, percent)
+    """Whether sets of n and m shingles whose first common one is at these places of their orders may be similar enough.
+
+    A pair that links meets this at its first common shingle, so a join that asks it at each loses none.
+    """
     sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return sizes & (F.least(n - pos, m - at) + F.least(pos, at) >= need)
+    return sizes & (F.least(n - pos, m - at) >= _need(n, m, percent))
+
+
+def _placed(n: Column, pos: Column) -> Column:
+    return F.shiftleft(n, 32) + pos
+
+
+def _size(place: Column) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _pos(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -176,6 +189,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 good.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
             yield batch.loc[good, ["a", "b"]]
 
+    # rows that repeat both id and text are verified once
+    texts = texts.repartition("id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
@@ -198,78 +213,58 @@ def jaccard_components(
     ranked = repeated_shingles(docs, words, "text")
     sets = stage(prefix_sets(docs, words, percent, "text", ranked, ["id"]))
     full = sets.where("n > 0 AND id IS NOT NULL")
-    classes = stage(
-        full.groupBy("d1", "d2").agg(
-            F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("group", "n", "bits", "fold")]
-        )
-    )
-    places = full.select("group", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    live = stage(
-        places.groupBy("shingle").agg(F.min("group").alias("f"), F.max("group").alias("l")).where("f <> l").select("shingle")
-    )
-    shared = stage(places.join(live, "shingle").distinct())  # grows with the corpus: never a broadcast
-    groups = stage(classes.groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("size")))
-    wanted = shared.select("group").distinct().unionByName(groups.where("size > 1").select("group")).distinct()
-    wanted = stage(wanted)
-    marks = stage(classes.join(wanted, "group", "left_semi").select("id", "n", "bits", "fold"))
-    # bitmaps are in marks and prefixes in shared from here on
-    wide, sets, classes = (sets, classes), stage(sets.select("id", "n", "d1", "d2")), stage(classes.drop("bits"))
-    stage.drop(*wide)
+    any_ = lambda *names: [F.any_value(c).alias(c) for c in names]
+    several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
+    groups = stage(full.groupBy("g1", "g2").agg(F.min("id").alias("first"), *any_("n", "prefix"), several.alias("several")))
+    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("id"), *any_("g1", "g2", "n", "fold"))
+    classes = stage(classes.join(groups.select("g1", "g2", "first", "several"), ["g1", "g2"]).drop("g1", "g2"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b): first by whole bitmaps, then by whole texts."""
-        near = pairs
-        for bits in ("fold", "bits"):  # the short bitmaps leave few pairs for the long ones
-            own = marks.select("id", "n", bits)
-            near = near.join(own.toDF("a", "n", "left"), "a").join(own.toDF("b", "m", "right"), "b")
-            near = near.where(_bitmaps_allow(F.col("n"), F.col("m"), "left", "right", percent)).select("a", "b")
-        near = stage(near)
-        ids = stage(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        found = stage(verified(near, docs.join(small(ids), "id", "left_semi"), words, percent))
-        stage.drop(near, ids)
-        return found
+        """The links among ``pairs`` (a, b): first by short bitmaps, then by long ones, and last by whole texts."""
+        marks, near = classes.select("id", "n", "fold"), pairs
+        for bits in ("fold", "bits"):  # the short ones leave few pairs for the long ones, and these for the texts
+            near = near.join(marks.toDF("a", "n", "left"), "a").join(marks.toDF("b", "m", "right"), "b")
+            near = stage(near.where(_bitmaps_allow(F.col("n"), F.col("m"), "left", "right", percent)).select("a", "b").distinct())
+            ids = stage(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+            marks = full.join(small(ids), "id", "left_semi").select("id", "n", "bits").distinct()
+        return stage(verified(near, docs.join(small(ids), "id", "left_semi"), words, percent))
 
     # 1: against the first group of each shingle, and of each group
-    named = groups.select("group", "first")
-    bare, shared = shared, stage(shared.join(named, "group"))
-    stage.drop(bare, live)
-    firsts = shared.groupBy("shingle").agg(F.min(F.struct("first", "group", "n", "pos")).alias("f"))
-    stars = (
-        shared.join(firsts, "shingle")
-        .where(F.col("group") != F.col("f.group"))
-        .where(_may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), percent))
-        .select(F.col("f.first").alias("a"), F.col("first").alias("b"))
-        .distinct()
-    )
-    of_members = classes.join(groups.where("size > 1"), "group").where("id <> first")
-    near = stars.unionByName(of_members.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    links = check(near)
-    found = stage(connected_components(links, stage))
-
-    # 2: what still meets in a shingle from different components
-    labelled = classes.join(found, "id", "left").select("id", "group", "n", "fold", F.coalesce("component", "id").alias("c"))
-    labelled = stage(labelled.join(wanted, "group", "left_semi"))
-    spread = labelled.groupBy("group").agg(F.min("c").alias("f"), F.max("c").alias("l"))
-    open_ = (
-        shared.join(spread, "group").groupBy("shingle").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").select("shingle")
+    places = groups.select(F.col("first").alias("g"), "n", "several", F.posexplode("prefix").alias("pos", "shingle"))
+    places = places.select("shingle", "g", _placed(F.col("n"), F.col("pos")).alias("place"), "several")
+    heads = places.groupBy("shingle").agg(
+        F.min("g").alias("h"), F.min_by("place", "g").alias("head"), F.max("several").alias("several"), F.count("*").alias("many")
     )
-    at = stage(shared.join(open_, "shingle", "left_semi").join(labelled.drop("n"), "group"))
-    at = at.select("shingle", "n", "pos", "id", "c", "fold")
-    other = at.toDF("shingle", "m", "at", "b", "e", "fold2")
-    bitmaps = _bitmaps_allow(F.col("n"), F.col("m"), "fold", "fold2", percent)
+    heads = stage(heads.where("many > 1").drop("many"))
+    shared = stage(places.drop("several").join(heads, "shingle"))
+    stage.drop(groups, heads)
+    may_link = lambda a, b: _may_link(_size(F.col(a)), _pos(F.col(a)), _size(F.col(b)), _pos(F.col(b)), percent)
+    stars = shared.where((F.col("g") != F.col("h")) & may_link("place", "head")).select(F.col("h").alias("a"), F.col("g").alias("b"))
+    of_members = classes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    found = stage(connected_components(check(stars.distinct().unionByName(of_members)), stage))
+
+    # 2: what still meets in a shingle from different components; where all groups have one member, its first has been held against all
+    labelled = classes.join(found, "id", "left").select("id", "first", "several", "n", "fold", F.coalesce("component", "id").alias("c"))
+    labelled = stage(labelled)
+    spread = labelled.groupBy(F.col("first").alias("g")).agg(F.min("c").alias("f"), F.max("c").alias("l"))
+    rest = shared.where("several OR g <> h").select("shingle", "g", "place")
+    open_ = rest.join(spread, "g").groupBy("shingle").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").select("shingle")
+    members = labelled.select(F.col("first").alias("g"), "id", "c", "fold")
+    at = stage(rest.join(open_, "shingle", "left_semi").join(members, "g").select("shingle", "place", "id", "c", "fold"))
+    other = at.toDF("shingle", "there", "b", "e", "fold2")
+    bitmaps = lambda n, m: _bitmaps_allow(n, m, "fold", "fold2", percent)
     apart = (
         at.join(other, "shingle")
         .where("c < e")
-        .where(_may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent) & bitmaps)
+        .where(may_link("place", "there") & bitmaps(_size(F.col("place")), _size(F.col("there"))))
         .select(F.col("id").alias("a"), "b")
     )
-    mixed = labelled.join(spread.where("f <> l").select("group"), "group", "left_semi").select("group", "n", "id", "c", "fold")
-    pairs_inside = mixed.join(mixed.toDF("group", "m", "b", "e", "fold2"), "group").where("c < e").where(bitmaps)
-    apart = apart.unionByName(pairs_inside.select(F.col("id").alias("a"), "b")).distinct()
-    more = check(apart)
-    joined = more.join(labelled.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
-        labelled.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"
-    )
+    mixed = labelled.where("several").join(spread.where("f <> l").select(F.col("g").alias("first")), "first", "left_semi")
+    mixed = mixed.select("first", "n", "id", "c", "fold")
+    inside = mixed.join(mixed.toDF("first", "m", "b", "e", "fold2"), "first").where("c < e").where(bitmaps(F.col("n"), F.col("m")))
+    more = check(apart.unionByName(inside.select(F.col("id").alias("a"), "b")).distinct())
+    of = labelled.select("id", "c")
+    joined = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
     merged = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")), stage)
     names = (
         classes.join(found.withColumnRenamed("component", "c"), "id", "left")
@@ -277,6 +272,6 @@ def jaccard_components(
         .join(merged.withColumnRenamed("id", "c"), "c", "left")
         .select("d1", "d2", F.coalesce("component", "c").alias("component"))
     )
-    rows = sets.join(names, ["d1", "d2"], "left")
+    rows = sets.select("id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return stage.last(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")))
