@@ -10,7 +10,6 @@ encoded by itself; ids are decoded by the inverse mapping of ids to bytes.
 from __future__ import annotations
 
 import base64
-import functools
 import struct
 from itertools import chain
 
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-#: Distinct pre-tokens whose ids a worker remembers; beyond that it starts anew.
-CACHE = 500_000
+#: Bytes of distinct pre-tokens whose ids a task remembers; beyond that it starts anew.
+CACHE_BYTES = 1 << 20
 #: Code point of byte 0; byte b is FIRST + b.
 FIRST = 0x100
 
@@ -88,12 +87,14 @@ class Codec:
         self.bytes_of = sorted(ranks, key=ranks.get)
         self.chars = {b: FIRST + b for b in range(256)}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.known) + len(tokens) > CACHE:
-            self.known = {}
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
         tokens = [t for t in tokens if t not in self.known]
         raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        self.size += sum(map(len, raw))
         rest = []
         for t, b in zip(tokens, raw, strict=True):
             if (r := self.whole.get(b)) is not None:  # a pre-token that is a vocabulary entry is one id
@@ -114,11 +115,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(read_ranks(path), pattern)
-
-
 def bpe_roundtrip(
     docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
@@ -130,7 +126,7 @@ def bpe_roundtrip(
     """
 
     def make():
-        c = codec(vocab_path, pattern)
+        c = Codec(read_ranks(vocab_path), pattern)
 
         def run(texts):
             ids = c.encode([t or "" for t in texts])

@@ -9,7 +9,6 @@ dictionary.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import pandas as pd
@@ -32,7 +31,6 @@ MIN_MARGIN = 0.01
 MIN_EVIDENCE = 64
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -67,10 +65,13 @@ def fit_dictionaries(
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * docs / n + 50.0 / n))])
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 40))
+    # of id and text, so that rows with one id, or without, don't go all or none; copies of one row count once
+    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("langid")), F.lit(1 << 40))
     few = (
         rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars).alias("text"), key.alias("key"))
         .where(F.col("key") < share[F.col("lang")] * float(1 << 40))
+        .groupBy("lang", "key")
+        .agg(F.min("text").alias("text"))
         .groupBy("lang")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "text"))), 1, docs).alias("rows"))
     )
@@ -83,6 +84,8 @@ def fit_dictionaries(
 
 
 class Classifier:
+    """Compressors of all languages; made once a task and gone with it."""
+
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard as z
 
@@ -98,7 +101,7 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, int]:
         """The language, the margin (how much larger the runner-up is, as a share of the best size), and the bytes."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0
         data = letters(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
@@ -108,11 +111,6 @@ class Classifier:
         return self.langs[best], (rest - sizes[best]) / sizes[best], len(data)
 
 
-@functools.lru_cache(2)
-def _classifier(items: tuple) -> Classifier:
-    return Classifier(dict(items))
-
-
 def classify(
     docs: DataFrame,
     dictionaries: dict[str, bytes],
@@ -128,10 +126,10 @@ def classify(
     that comes first, the most frequent one when ``fit_dictionaries`` made them. Whole
     texts are read, in one narrow pass; repeated rows give equal rows.
     """
-    items = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))  # bounded by DICT_BYTES each
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by DICT_BYTES each
 
     def make():
-        c = _classifier(items.value)
+        c = Classifier(shared.value)
 
         def run(texts):
             got = pd.DataFrame([c.classify(t) for t in texts], columns=["lang", "margin", "bytes"])

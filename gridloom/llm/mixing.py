@@ -78,7 +78,7 @@ def mix(
 
     Any column is kept; input columns named ``copy`` or ``shuffle_key`` are
     replaced. The draw is seeded by the id, so rows that repeat an id are drawn
-    alike; a null id is seeded as empty text. Empty input gives no rows. A source
+    alike; a row with a null id is seeded by its other columns. Empty input gives no rows. A source
     may have any rate: one over MAX_RATE is drawn as the sum of equal parts, each
     with a number of its own. A ``total`` over MAX_RATE times the rows, the mean
     rate of all, raises an error.
@@ -92,21 +92,23 @@ def mix(
     rates = rates.select(F.col("source").alias("__mix_source"), parts.alias("__mix_parts"), (F.col("rate") / parts).alias("__mix_rate"))
     rates = rates.withColumn("__mix_steps", poisson_steps(F.col("__mix_rate"))).cache()
     docs = docs.drop("copy", "shuffle_key")
+    content = F.concat(F.lit("row "), F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
+    own = F.when(F.col(id_col).isNull(), content).otherwise(F.col(id_col).cast("string"))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
         joined = docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(F.col("__mix_source")))
     else:
-        salted = docs.withColumn("__mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        salted = docs.withColumn("__mix_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))
         spread = rates.withColumn("__mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(
             spread, salted[source_col].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_salt") == F.col("__mix_salt2"))
         ).drop("__mix_salt", "__mix_salt2")
     draw = lambda u: F.size(F.filter("__mix_steps", lambda x: x < u))
     further = F.when(F.col("__mix_parts") > 1, F.sequence(F.lit(2), F.col("__mix_parts"))).otherwise(F.array().cast("array<int>"))
-    n = F.aggregate(further, draw(uniform(seed, F.col(id_col))), lambda acc, k: acc + draw(uniform(seed, F.col(id_col), F.lit("part"), k)))
+    n = F.aggregate(further, draw(uniform(seed, own)), lambda acc, k: acc + draw(uniform(seed, own, F.lit("part"), k)))
     drawn = joined.withColumn("__mix_n", n).drop("__mix_steps", "__mix_parts", "__mix_rate", "__mix_source")
     copies = drawn.where("__mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).drop("__mix_n")
-    keyed = copies.withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.col("copy")))
+    keyed = copies.withColumn("shuffle_key", uniform(seed + 1, own, F.col("copy")))
     # a hashed deal by a uniform key and a sort within each part: a global shuffle with one exchange
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 

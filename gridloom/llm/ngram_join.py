@@ -197,9 +197,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """(``id_col``, n_shingles, component_id) of each row of ``docs``.
+    """(``id_col``, n_shingles, component_id) and the columns that ``keep`` names, of each row of ``docs``.
 
     Words are runs without ASCII white space, A-Z in lower case; the set is the
     distinct shingles of ``words`` words (all words as one, if fewer). Rows link when
@@ -208,10 +208,12 @@ def jaccard_components(
     nothing, nor does a row with a null id, whose component is null. Rows that repeat an id
     go each by its own text; their id is one node where it stands for a class.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = {f"kept{i}": c for i, c in enumerate(keep or [])}
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for k, c in kept.items()])
     stage = Stages()
     ranked = repeated_shingles(docs, words, "text")
-    sets = stage(prefix_sets(docs, words, percent, "text", ranked, ["id"]))
+    sets = stage(prefix_sets(docs, words, percent, "text", ranked, ["id", *kept]))
+    docs = docs.select("id", "text")
     full = sets.where("n > 0 AND id IS NOT NULL")
     any_ = lambda *names: [F.any_value(c).alias(c) for c in names]
     several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
@@ -272,6 +274,7 @@ def jaccard_components(
         .join(merged.withColumnRenamed("id", "c"), "c", "left")
         .select("d1", "d2", F.coalesce("component", "c").alias("component"))
     )
-    rows = sets.select("id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
+    rows = sets.select("id", "n", "d1", "d2", *kept).join(names, ["d1", "d2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return stage.last(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")))
+    found = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")]
+    return stage.last(rows.select(*found, *[F.col(k).alias(c) for k, c in kept.items()]))

@@ -160,6 +160,14 @@ def test_op5_draws_rates_of_any_size(spark):
     assert len({r[1] for r in few}) > 1
 
 
+def test_op5_rows_without_id_are_drawn_by_their_content(spark):
+    rows = [(None, f"t{i}", "en", "a" if i % 2 else "b", 0, None, None, None) for i in range(2000)]
+    out = mixing.mix(frame(spark, rows), {"a": 1.0, "b": 3.0})
+    n = collections.Counter(r["source"] for r in out.collect())
+    assert abs(n["a"] - 500) < 120 and abs(n["b"] - 1500) < 200
+    assert out.select("shuffle_key").distinct().count() == out.select("text", "copy").distinct().count()
+
+
 def exact_windows(rows, size):
     at = collections.defaultdict(set)
     for i, t in rows:

@@ -46,6 +46,16 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(str(r["doc_id"]) for r in odd.collect()) == sorted(["0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "None"])
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    stage = lambda rows: sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, [(*r, *[None] * 6) for r in rows]), SF).collect())
+    copied, unique = "one text that is the same in three rows of the table", "quite another text that stands in one row of this table"
+    assert stage([(3, copied), (7, copied), (7, unique)]) == [("3", copied), ("7", unique)]
+    nulls = [(None, copied)] * 3
+    assert stage(nulls) == [("None", copied)] * 3
+    assert stage([*nulls, *nulls, (5, unique), (5, unique)]) == sorted([("5", unique), *[("None", copied)] * 6])
+    assert stage([(1, ""), (1, ""), (2, None)] )[0] == ("1", "") and len(stage([(1, ""), (1, ""), (2, "")])) == 2
+
+
 def test_secrets_are_gone_and_other_texts_stay(spark):
     docs = docs_of(spark)
     before = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -1,7 +1,10 @@
 """Operators on one text at a time, against plain Python, tiktoken and held-out accuracy."""
 
+import collections
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -138,10 +141,68 @@ def test_op3_ownership_separates_examples_from_live(spark):
     assert len(found.collect()) == len(rows)
     assert all(got[i] == "" for i in range(8)) and all(got[100 + i] == "opaque:4:28" for i in range(8))
     assert got[200] == base_spans(rows[16][1]) == "assign:0:15,assign:19:35"
-    text = F.lit(rows[16][1])
-    cleaned = found.where("doc_id = 200").select(secret_scan.redacted(text, F.col("spans"))).first()[0]
-    assert cleaned == "[redacted assign]' 🙂 [redacted assign]"
+    spans = found.where("doc_id = 200").first()["spans"]
+    assert secret_scan.redacted(rows[16][1], [s.asDict() for s in spans]) == "[redacted assign]' 🙂 [redacted assign]"
     assert secret_scan.find_secrets(frame(spark, [])).count() == 0
+    few = {r["doc_id"]: r["spans"] for r in secret_scan.span_digests(secret_scan.find_secrets(frame(spark, rows), example_repos=8)).collect()}
+    assert all(few[100 + i] == "" for i in range(8)) and few[200] == got[200]  # 8 repositories of one owner
+
+
+def brute_spans(rows, owners, repos):
+    """All spans by counting values in dictionaries; an opaque one must be free of base spans."""
+    found, holders = {}, collections.defaultdict(set)
+    for i, text, source in rows:
+        own = [(k, s, e, v) for k, s, e, v in plain_candidates(text)]
+        found[i] = own
+        for _, _, _, v in own:
+            holders[v].add((source, i))
+    live = {v: len({o for o, _ in h}) < owners and len({r for _, r in h}) < repos for v, h in holders.items()}
+    return {
+        i: ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted((s, k, e) for k, s, e, v in own if k < 3 or live[v]))
+        for i, own in found.items()
+    }
+
+
+def plain_candidates(text):
+    text = text or ""
+    base = [(0, m.start(), m.end(), m[2]) for m in re.finditer(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    base += [(1, m.start(), m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(2, m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    wide = [m for m in re.finditer("[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 20]
+    for m in wide:
+        p = [n / len(m[0]) for n in collections.Counter(m[0]).values()]
+        mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+        if mixed and -sum(x * math.log2(x) for x in p) >= secret_scan.MIN_ENTROPY and all(e <= m.start() or s >= m.end() for _, s, e, _ in base):
+            base.append((3, m.start(), m.end(), m[0]))
+    return base
+
+
+def test_op3_all_spans_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(31)
+    values = ["".join(rng.choice(list("ABCDEFGHJKabcdefghjk23456789"), 26)) for _ in range(160)]
+    extra = [(10**6 + i, f"use {values[i % 160]} or {values[i % 7]} and token={values[i % 5]}", "en", f"s{i % 11}", 0) for i in range(300)]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    want = brute_spans([(r["doc_id"], r["text"], r["source"]) for r in rows.collect()], secret_scan.EXAMPLE_OWNERS, secret_scan.EXAMPLE_REPOS)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.span_digests(secret_scan.find_secrets(rows)).collect()}
+    assert got == want and any("opaque" in v for v in want.values())
+
+
+def test_op3_time_is_in_proportion_to_the_text():
+    text = " ".join(f"Zx9Kq27LmPt4Rw8Vb3Ny6{i:05d}" for i in range(40_000))
+    began = time.perf_counter()
+    found = secret_scan.candidates(text)
+    spans = [{"start": s, "end": e, "kind": k, "live": True} for k, s, e, _ in found]
+    assert secret_scan.redacted(text, spans).count("[redacted opaque]") == len(found) == 40_000
+    assert time.perf_counter() - began < 30
+
+
+def test_op10_letters_are_alphabetic(spark):
+    c = langid.Classifier({"en": b"some words of english text", "de": b"einige deutsche worte"})
+    assert [c.classify(t)[0] for t in ("½ ² 10 !!", "Ⅷ ① 5", None, "", "a", "é")] [:4] == ["und"] * 4
+    assert c.classify("a")[0] != "und" and c.classify("½ a")[0] != "und"
+    rows = [(None, f"wort {i} ist ein deutsches wort", "de", None, 0, None, None, None) for i in range(600)]
+    assert set(langid.fit_dictionaries(frame(spark, rows))) == {"de"}
 
 
 def test_op3_keyword_case_is_ascii_only():
