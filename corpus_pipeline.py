@@ -27,35 +27,48 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that shingles of five words link at a similarity of 0.8: the smallest ``doc_id``.
+    """One row of each group that shingles of five words link at a similarity of 0.8: that of the smallest ``doc_id``.
 
-    Rows without words, or with a null id, are linked with nothing and stay. Rows
-    that repeat both id and text count once.
+    Rows without words are linked with nothing and stay, as do all rows with a null
+    id. Rows that repeat an id go each by their own text; those that repeat both id
+    and text count once.
     """
-    groups = ngram_join.jaccard_components(docs, words=5, percent=80)
-    gone = staged(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(ngram_join.small(gone), "doc_id", "left_anti").select(docs.columns)
-    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
-    return kept if again else kept.dropDuplicates(["doc_id", "text"])
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    rows = docs.withColumn("__row", key)
+    groups = ngram_join.jaccard_components(rows, words=5, percent=80, id_col="__row", keep=["doc_id"]).where("__row IS NOT NULL")
+    linked = groups.where("n_shingles > 0")
+    stay = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row"))["__row"].alias("stay"))
+    gone = staged(linked.join(stay, "component_id").where("__row <> stay").select("__row").distinct())
+    again = staged(groups.groupBy("__row").count().where("count > 1").select("__row"))
+    kept = rows.join(gone, "__row", "left_anti")
+    once = kept.join(again, "__row", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; in ``text`` each secret is replaced by [redacted kind], or [example kind] where many owners have it."""
-    key = F.xxhash64("doc_id", "text")
-    found = secret_scan.find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["row_key"]).select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
-    rows = docs.withColumn("__row_key", key).join(ngram_join.small(staged(found)), "__row_key", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("__spans")))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(docs.columns)
+    """All rows; in ``text`` each secret is replaced by [redacted kind], or [example kind] where it is a copied example.
+
+    Null and empty texts stay as they are; rows that repeat are treated alike, and a null id is a value of its own.
+    """
+    key = list(secret_scan.ROW_KEY)
+    found = secret_scan.find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(key).select(*key, F.col("spans").alias("__spans"))
+    rows = docs.withColumns(secret_scan.row_key("doc_id", "text")).join(staged(found), key, "left").drop(*key)
+    return secret_scan.redact(rows, "text", "__spans").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated or left out so that sources weigh the square root of their rows, in a shuffled order."""
+    """Rows repeated or left out so that sources weigh the square root of their rows, in a shuffled order.
+
+    A null source is a source of its own; rows that repeat an id are drawn alike, those with a null id by their content.
+    """
     return mixing.mix(docs).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, intact): token ids of each row, and whether they decode to its text."""
+    """(doc_id, lang, source, n_tokens, ids, intact): token ids of each row, and whether they decode to its text.
+
+    A null text counts as empty, with no ids; each row is encoded by itself, repeated or not.
+    """
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = bpe.bpe_roundtrip(docs, vocab, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
