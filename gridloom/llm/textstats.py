@@ -13,14 +13,17 @@ import numpy as np
 SYMBOLS = "#*$%&|<>"
 #: What separates words.
 SPACES = " \t\n\x0b\x0c\r"
+#: Doublings whose ranks are kept; longer common prefixes are measured in the order of the text.
+KEPT = 8
 
 
 def repeat_lengths(symbols: np.ndarray) -> np.ndarray:
     """For each position, the longest run of symbols from there that also starts at another position.
 
     A suffix array by prefix doubling in which only unsettled groups are sorted
-    again. The ranks of each doubling are kept; the longest common prefix of
-    neighbours is then added up from the largest power of two down. The longest
+    again. The ranks of the first doublings are kept, so memory is in proportion to
+    the text; the longest common prefix of neighbours is then added up from the
+    largest power of two down, or measured where it is longer. The longest
     interval of equal prefixes that holds a suffix ends at one of its neighbours,
     so the larger of the two prefix lengths is the longest repeat from there.
     """
@@ -33,7 +36,7 @@ def repeat_lengths(symbols: np.ndarray) -> np.ndarray:
     group = np.repeat(starts, np.diff(np.r_[starts, n]))
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = group
-    levels, step = [rank.copy()], 1
+    levels, step, doublings = [rank.astype(np.int32 if n < 1 << 31 else np.int64)], 1, 1
     open_ = np.flatnonzero(np.r_[s[1:] == s[:-1], False] | np.r_[False, s[1:] == s[:-1]])
     while len(open_):
         at = order[open_]
@@ -44,7 +47,9 @@ def repeat_lengths(symbols: np.ndarray) -> np.ndarray:
         new = np.r_[True, key[1:] != key[:-1]]
         group[open_] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
         rank[at] = group[open_]
-        levels.append(rank.copy())
+        if doublings <= KEPT:
+            levels.append(rank.astype(levels[0].dtype))
+        doublings += 1
         step *= 2
         same = ~new[1:]
         open_ = open_[np.r_[same, False] | np.r_[False, same]]
@@ -58,12 +63,38 @@ def repeat_lengths(symbols: np.ndarray) -> np.ndarray:
         a += equal << k
         b += equal << k
     shared[live] = length
+    if doublings > len(levels):
+        far = np.flatnonzero(levels[-1][left] == levels[-1][right])
+        shared[far] = _long_prefixes(symbols, left[far], right[far], 1 << len(levels) - 1)
     out = np.zeros(n, np.int64)
     out[left] = shared
     out[right] = np.maximum(out[right], shared)
     return out
 
 
+def _long_prefixes(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix of each suffix in ``left`` and its successor in ``right``, both known to share ``least`` symbols.
+
+    In the order of the text a prefix is at most one shorter than the one before it, so all steps together are
+    in proportion to the text.
+    """
+    n, out, length, before = len(symbols), np.zeros(len(left), np.int64), 0, 0
+    for i in np.argsort(left):
+        a, b = int(left[i]), int(right[i])
+        length = max(least, length - (a - before))
+        step = 16
+        while b + length < n and a + length < n:
+            size = min(step, n - max(a, b) - length)
+            differ = symbols[a + length : a + length + size] != symbols[b + length : b + length + size]
+            if differ.any():
+                length += int(differ.argmax())
+                break
+            length += size
+            step *= 2
+        out[i], before = length, a
+    return out
+
+
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n positions lie in the union of the spans."""
     edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)

@@ -1,83 +1,113 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Vectors hold small integers. The index puts each vector's components into
-segments by descending quantised impact (a power of two of the absolute value)
-and keeps, for each segment, the norm of what later segments hold. A query adds
-one segment at a time to all accumulators; it stops when the norms prove that no
-vector outside its possible members can reach its k best, and the possible
-members are scored again exactly.
-
-Queries and vectors are dealt to the cells of a grid, so that a task holds a
-bounded block of each, and each query's k best of a cell meet in a window.
+Vectors hold integers. The index of a block of vectors has a posting segment (ids and
+values) for each dimension and quantised impact (a power of two of the absolute value),
+in descending order of impact, and for each impact the norm of what later segments hold
+of each vector. A query adds segment after segment to the accumulators of the vectors
+in it; it stops when the norms prove that no vector outside its possible members can
+reach its k best, and the possible members are scored again exactly.
+
+Blocks of vectors and of queries are dealt to the cells of a grid, so that a task holds
+a bounded number of each, and each query's k best of a cell meet in a window. Each pair
+of a query and a vector is bounded or scored in one cell; rows are copied once for each
+block of the other side, so larger blocks move less.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries of a cell, about.
-CELL_VECTORS = 8192
-CELL_QUERIES = 1024
+#: Vectors and queries of a cell at most, about, and vectors of a cell at least where there are more tasks than full cells.
+CELL_VECTORS = 1 << 16
+CELL_QUERIES = 1 << 14
+LEAST_VECTORS = 1 << 12
 #: Queries that are scored together.
-BLOCK = 128
+BLOCK = 64
+LONG = np.iinfo(np.int64)
+
+
+class Index:
+    """Posting segments of ``vectors`` (a row each, whole numbers), by descending impact."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        size = np.abs(vectors.astype(np.float64))
+        impact = np.frexp(size)[1]  # 0 for zero, else the power of two above the value
+        self.levels: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]] = []
+        rest = (size**2).sum(axis=1)
+        for level in np.unique(impact[size > 0])[::-1]:
+            held = (impact == level) & (size > 0)
+            segments = []
+            for d in np.flatnonzero(held.any(axis=0)):
+                ids = np.flatnonzero(held[:, d])
+                segments.append((int(d), ids, vectors[ids, d]))
+            lower = (impact < level) & (size > 0)
+            rest = np.where(lower, size**2, 0.0).sum(axis=1)
+            self.levels.append((segments, np.sqrt(rest) * (1 + 1e-9)))
+
+
+def search(index: Index, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query, members, scores, levels read) of each query: the k best vectors by score, then by place.
+
+    ``own`` is a matrix of queries by vectors: true where a vector is the query itself. ``vectors`` and
+    ``queries`` are int64 where no score can leave that type, else objects, Python's whole numbers.
+    """
+    n = len(index.vectors)
+    norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+    acc = np.zeros((n, len(queries)), index.vectors.dtype)
+    open_ = np.arange(len(queries))
+    for level, (segments, rest) in enumerate(index.levels):
+        q = queries[open_]
+        whole = len(open_) == len(queries)
+        for d, ids, values in segments:
+            added = values[:, None] * q[:, d][None, :]
+            if whole:
+                acc[ids] += added
+            else:
+                acc[np.ix_(ids, open_)] += added
+        last = level == len(index.levels) - 1
+        done = []
+        for i in open_:
+            slack = rest * norms[i] + 1
+            sums = acc[:, i].astype(np.float64)
+            slack += np.abs(sums) * 1e-15
+            low = np.where(own[i], -np.inf, sums - slack)
+            kth = np.partition(low, max(0, n - k))[max(0, n - k)]
+            possible = np.flatnonzero((sums + slack >= kth) & ~own[i])
+            # proof: no vector that isn't a possible member can be among the k best
+            if last or len(possible) <= 4 * k + n // 64:
+                yield (int(i), *_best(index.vectors, queries[i], possible, k), level + 1)
+                done.append(i)
+        open_ = np.setdiff1d(open_, done)
+        if not len(open_):
+            return
+    for i in open_:  # every vector is zero
+        yield (int(i), *_best(index.vectors, queries[i], np.flatnonzero(~own[i]), k), 0)
 
 
-def segments(vectors: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Parts of the vectors by descending impact, and the norms of all that comes after each part."""
-    size = np.abs(vectors)
-    impact = np.zeros(size.shape, np.int64)
-    impact[size > 0] = np.floor(np.log2(size[size > 0])).astype(np.int64) + 1
-    parts, rests, rest = [], [], vectors.astype(np.float64)
-    for level in np.unique(impact[impact > 0])[::-1]:
-        part = np.where(impact == level, vectors, 0)
-        rest = rest - part
-        parts.append(part.astype(np.float64))
-        rests.append(np.sqrt((rest**2).sum(axis=1)))
-    return parts, rests
+def _best(vectors: np.ndarray, query: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    score = (vectors[members] * query[None, :]).sum(axis=1)
+    best = np.argsort(-score, kind="stable")[:k]
+    return members[best], score[best]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query index, vector index, score) of the k best of each query, ties to the smaller id.
+def matrix(rows: list, dims: int) -> np.ndarray:
+    """Vectors as rows, shorter ones filled up with zeros."""
+    out = np.zeros((len(rows), dims), np.int64)
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    return out
 
-    ``vectors`` must be in ascending order of ``ids``. A query's own id is left out.
-    """
-    n = len(vectors)
-    parts, rests = segments(vectors)
-    exact = vectors.astype(np.float64)
-    out = []
-    for at in range(0, len(queries), BLOCK):
-        q = queries[at : at + BLOCK].astype(np.float64)
-        own = ids[None, :] == query_ids[at : at + BLOCK, None]
-        open_ = np.arange(len(q))
-        acc = np.zeros((len(q), n))
-        for part, rest in zip(parts, rests, strict=True):
-            acc[open_] += q[open_] @ part.T
-            last = part is parts[-1]
-            norm = np.sqrt((q[open_] ** 2).sum(axis=1))
-            slack = norm[:, None] * rest[None, :]
-            low = np.where(own[open_], -np.inf, acc[open_] - slack)
-            kth = -np.partition(-low, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
-            possible = (acc[open_] + slack >= kth[:, None] - 1e-6) & ~own[open_]
-            # proof: no vector that isn't a possible member can be among the k best
-            done = (possible.sum(axis=1) <= 4 * k + n // 64) | last
-            for i, row in zip(open_[done], possible[done], strict=True):
-                members = np.flatnonzero(row)
-                score = np.rint(exact[members] @ q[i]).astype(np.int64)
-                best = np.argsort(-score, kind="stable")[:k]
-                out.append((np.full(len(best), at + i), members[best], score[best]))
-            open_ = open_[~done]
-            if not len(open_):
-                break
-        if not parts:  # every vector is zero
-            for i in range(len(q)):
-                members = np.flatnonzero(~own[i])[:k]
-                out.append((np.full(len(members), at + i), members, np.zeros(len(members), np.int64)))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+def whole_numbers(*parts: np.ndarray) -> list[np.ndarray]:
+    """The parts as they are if no inner product can leave int64, else as Python's whole numbers."""
+    most = [max(1.0, float(np.abs(x.astype(np.float64)).max(initial=0))) for x in parts]
+    return list(parts) if np.prod(most) * max(1, parts[0].shape[1]) < 2.0**62 else [x.astype(object) for x in parts]
 
 
 def quantised(df: DataFrame, vector_col: str, factor: float) -> DataFrame:
@@ -98,36 +128,38 @@ def top_k(
     or non-finite component take no part, nor do null ids; shorter vectors count as
     filled up with zeros. Rows that repeat an id are candidates of their own, but a
     query's own id is none; a repeated query id is one query for each different
-    vector. No query or no vector gives no rows.
+    vector. No query or no vector gives no rows. Scores are whole numbers; a component
+    or a score beyond 64 bits is the nearest number that a long holds.
     """
     rows = quantised(df.where(F.col(id_col).isNotNull()), vector_col, factor).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("is_query")
     )
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max(F.size("v")).alias("d")).first()
     n, nq, dims = sizes["n"] or 0, sizes["q"] or 0, sizes["d"] or 0
-    height, width = max(1, -(-n // CELL_VECTORS)), max(1, -(-nq // CELL_QUERIES))
-    row, col = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(height)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(width))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    height = max(1, -(-n // CELL_VECTORS), min(tasks, -(-n // LEAST_VECTORS)))
+    width = max(1, -(-nq // CELL_QUERIES))
+    row, col = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(height)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(width))
     each = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    of_vectors = rows.select(row.alias("r"), each(width).alias("c"), "id", "v").withColumn("r", F.col("r").cast("int"))
-    of_queries = (
-        rows.where("is_query").distinct().select(col.cast("int").alias("c"), each(height).alias("r"), "id", "v")
-    )
-
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(pdf), dims), np.int64)
-        for i, v in enumerate(pdf["v"]):
-            out[i, : len(v)] = v
-        return out
+    of_vectors = rows.select(row.cast("int").alias("r"), each(width).alias("c"), "id", "v")
+    of_queries = rows.where("is_query").distinct().select(col.cast("int").alias("c"), each(height).alias("r"), "id", "v")
 
     def cell(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         vectors = vectors.sort_values("id", kind="stable", ignore_index=True)
         queries = queries.reset_index(drop=True)
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "qv": []})
-        ids, qids, m = vectors["id"].to_numpy(), queries["id"].to_numpy(), matrix(queries)
-        q, v, s = search(m, qids, matrix(vectors), ids, k)
-        which = pd.util.hash_array(np.array([x.tobytes() for x in m], dtype=object)).astype(np.int64)
-        return pd.DataFrame({"query_id": qids[q], "vec_id": ids[v], "score": s, "qv": which[q]})
+        ids, qids, found = vectors["id"].to_numpy(), queries["id"].to_numpy(), []
+        if len(ids) and len(qids):
+            m = matrix(queries["v"], dims)
+            which = pd.util.hash_array(np.array([x.tobytes() for x in m], dtype=object)).astype(np.int64)
+            v, q = whole_numbers(matrix(vectors["v"], dims), m)
+            index = Index(v)
+            for at in range(0, len(q), BLOCK):
+                own = ids[None, :] == qids[at : at + BLOCK, None]
+                for i, members, scores, _ in search(index, q[at : at + BLOCK], own, k):
+                    score = np.clip(scores, LONG.min, LONG.max).astype(np.int64)
+                    found.append((np.full(len(members), at + i), members, score))
+        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pd.DataFrame({"query_id": qids[i], "vec_id": ids[j], "score": s, "qv": which[i] if found else s})
 
     found = (
         of_vectors.groupBy("r", "c")

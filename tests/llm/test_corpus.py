@@ -3,6 +3,7 @@
 import collections
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -251,6 +252,19 @@ def test_compact_windows_cover_every_subsequence_once():
             assert len(holders) == 1 and holders[0][1] == i + int(h[i : j + 1].argmin())
 
 
+def test_compact_windows_of_one_repeated_shingle():
+    began = time.perf_counter()
+    one = np.full(1_000_000, 7, np.uint64)
+    assert passages.compact_windows(one, 46) == [(0, 0, 999_999), (0, 999_999, 999_999)]
+    h = np.random.default_rng(3).integers(0, 12, 400).astype(np.uint64)
+    windows = passages.compact_windows(h, 8)
+    assert windows == passages.compact_windows(h, 8, passages.repeated([h]).tobytes())
+    for i in range(0, 380):  # each stretch of 8 or more is inside a window with its smallest value
+        for j in (i + 7, i + 19):
+            assert any(a <= i and j <= b and h[c] == h[i : j + 1].min() for a, c, b in windows)
+    assert time.perf_counter() - began < 20
+
+
 def brute_topk(vectors, asked, k):
     out = {}
     for q in asked:
@@ -263,6 +277,7 @@ def brute_topk(vectors, asked, k):
 def test_op7_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "CELL_VECTORS", 60)
     monkeypatch.setattr(topk, "CELL_QUERIES", 5)
+    monkeypatch.setattr(topk, "LEAST_VECTORS", 30)
     rng = np.random.default_rng(8)
     m = rng.normal(size=(220, 12)) * scale
     m[50:90] = m[40]
@@ -288,19 +303,29 @@ def test_op7_few_rows(spark):
 
 def test_op7_stops_on_proof():
     rng = np.random.default_rng(9)
-    m = np.sort(rng.integers(0, 3, (500, 16)), axis=0)
-    m[:5] *= 40
-    calls = []
-    real = topk.segments
-
-    def seen(v):
-        parts, rests = real(v)
-        calls.extend(r.max() for r in rests)
-        return parts, rests
-
-    q, v, s = topk.search(m[:2] * 1, np.array([10_000, 10_001]), m, np.arange(500), 3)
-    want = brute_topk(dict(enumerate(m)), [0], 3)
-    assert len(q) == 6 and seen(m)[1][-1].max() == 0 and calls[0] >= calls[-1] and want
+    m = rng.integers(-3, 4, (500, 16))
+    m[:12] *= 40  # a few vectors of high impact decide
+    index, q = topk.Index(m), m[:4].copy()
+    got = list(topk.search(index, q, np.zeros((4, 500), bool), 3))
+    assert len(index.levels) == 4 and all(0 < levels < len(index.levels) for *_, levels in got)
+    for i, members, scores, _ in got:
+        want = sorted((-int(q[i] @ v), j) for j, v in enumerate(m))[:3]
+        assert [(-s, j) for j, s in zip(members, scores, strict=True)] == want
+    for segments, _ in index.levels:  # each value is in one segment
+        assert all((m[ids, d] == values).all() and len(set(ids)) == len(ids) for d, ids, values in segments)
+    assert sum(len(ids) for segments, _ in index.levels for _, ids, _ in segments) == np.count_nonzero(m)
+
+
+def test_op7_scores_are_whole_numbers_of_any_size(spark):
+    big = [[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**40), 0.0], [1e300, 0.0]]
+    df = spark.createDataFrame([(20 * i, v) for i, v in enumerate(big)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20).collect()}
+    whole = [[min(2**63 - 1, math.floor(64 * x)) for x in v] for v in big]
+    for i, v in enumerate(whole):
+        for j, w in enumerate(whole):
+            if i != j:
+                exact = sum(a * b for a, b in zip(v, w, strict=True))
+                assert got[20 * i, 20 * j] == max(-(2**63), min(2**63 - 1, exact))
 
 
 SCHEMAS = {"add": {"required": {"a": "integer", "b": "number"}, "optional": {"note": "string"}}, "ls": {"required": {}, "optional": {"deep": "object"}}}

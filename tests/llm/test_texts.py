@@ -55,6 +55,49 @@ def test_repeat_lengths(seed):
     assert textstats.repeat_lengths(words).tolist() == repeats(words.tolist())
 
 
+@pytest.mark.parametrize("kept", [0, 2, 8])
+def test_long_repeats(monkeypatch, kept):
+    monkeypatch.setattr(textstats, "KEPT", kept)
+    n = 60_000
+    assert (textstats.repeat_lengths(np.zeros(n, np.int64)) == np.r_[n - 1, np.arange(n - 1, 0, -1)]).all()
+    rng = np.random.default_rng(kept)
+    part = rng.integers(0, 50, 3000)
+    s = np.r_[part, rng.integers(50, 90, 700), part[:2500], rng.integers(90, 99, 300), part[100:2800]]
+    plain = lambda i: max(next((k for k in range(n) if max(i, j) + k >= len(s) or s[i + k] != s[j + k]), 0) for j in range(len(s)) if j != i and s[j] == s[i])
+    got = textstats.repeat_lengths(s)
+    for i in (0, 50, 150, 2000, 2999, 3700, 4000, 6600, 9000):
+        assert got[i] == plain(i)
+
+
+def test_op1_verdict_on_a_table(spark, sf_dir):
+    """``kept`` and the repeats behind it, by trying all pairs of positions with one word."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    got = {r["doc_id"]: r for r in queries.op1_suffix_repetition(spark, sf_dir).collect()}
+    for r in rows:
+        w = WORD.findall(r["text"] or "")
+        at, rep = {}, [0] * len(w)
+        for i, x in enumerate(w):
+            at.setdefault(x, []).append(i)
+        for places in at.values():
+            for i in places:
+                for j in places:
+                    if i < j:
+                        k = 0
+                        while j + k < len(w) and w[i + k] == w[j + k]:
+                            k += 1
+                        rep[i], rep[j] = max(rep[i], k), max(rep[j], k)
+        inside = set()
+        for i, k in enumerate(rep):
+            if k >= repetition.MIN_REPEAT:
+                inside.update(range(i, i + k))
+        longest = max((k for k in rep if k >= repetition.MIN_REPEAT), default=0)
+        three = set().union(*[range(i, i + 3) for i, k in enumerate(rep) if k >= 3])
+        failed = len(w) < 50 or 100 * len(three) > 50 * len(w)
+        row = got[r["doc_id"]]
+        assert (row["repeated_words"], row["longest_repeat"], row["n_repeat_words"], row["base_failed"]) == (len(inside), longest, len(three), failed)
+        assert row["kept"] == (not failed and len(inside) <= repetition.MAX_COVERED * len(w) and longest <= repetition.MAX_REPEAT)
+
+
 def test_repeats_never_cross_documents():
     m = textstats.measure(["a b c d e f g h", "a b c d e f g h", None, "a b a b a b a b a b"], 4)
     assert m["repeated"].tolist() == [0, 0, 0, 10] and m["longest"].tolist() == [0, 0, 0, 8]
