@@ -28,6 +28,8 @@ CELL_QUERIES = 1 << 14
 LEAST_VECTORS = 1 << 12
 #: Queries that are scored together.
 BLOCK = 64
+#: A proof is tried once the median norm of what is left is this share of the whole norm, or less.
+PROMISING = 0.5
 LONG = np.iinfo(np.int64)
 
 
@@ -39,7 +41,7 @@ class Index:
         size = np.abs(vectors.astype(np.float64))
         impact = np.frexp(size)[1]  # 0 for zero, else the power of two above the value
         self.levels: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]] = []
-        rest = (size**2).sum(axis=1)
+        self.norm = float(np.median(np.sqrt((size**2).sum(axis=1)))) if len(size) else 0.0
         for level in np.unique(impact[size > 0])[::-1]:
             held = (impact == level) & (size > 0)
             segments = []
@@ -55,7 +57,7 @@ def search(index: Index, queries: np.ndarray, own: np.ndarray, k: int) -> Iterat
     """(query, members, scores, levels read) of each query: the k best vectors by score, then by place.
 
     ``own`` is a matrix of queries by vectors: true where a vector is the query itself. ``vectors`` and
-    ``queries`` are int64 where no score can leave that type, else objects, Python's whole numbers.
+    ``queries`` are of a type that no score can leave.
     """
     n = len(index.vectors)
     norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
@@ -71,19 +73,18 @@ def search(index: Index, queries: np.ndarray, own: np.ndarray, k: int) -> Iterat
             else:
                 acc[np.ix_(ids, open_)] += added
         last = level == len(index.levels) - 1
-        done = []
-        for i in open_:
-            slack = rest * norms[i] + 1
-            sums = acc[:, i].astype(np.float64)
-            slack += np.abs(sums) * 1e-15
-            low = np.where(own[i], -np.inf, sums - slack)
-            kth = np.partition(low, max(0, n - k))[max(0, n - k)]
-            possible = np.flatnonzero((sums + slack >= kth) & ~own[i])
-            # proof: no vector that isn't a possible member can be among the k best
-            if last or len(possible) <= 4 * k + n // 64:
-                yield (int(i), *_best(index.vectors, queries[i], possible, k), level + 1)
-                done.append(i)
-        open_ = np.setdiff1d(open_, done)
+        if not last and np.median(rest) > PROMISING * index.norm:
+            continue  # too much is left for a proof
+        sums = np.ascontiguousarray(acc[:, open_].T).astype(np.float64)
+        slack = norms[open_, None] * rest[None, :] + (1 + np.abs(sums) * 1e-15)
+        low = np.where(own[open_], -np.inf, sums - slack)
+        kth = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)]
+        possible = (sums + slack >= kth[:, None]) & ~own[open_]
+        # proof: no vector that isn't a possible member can be among the k best
+        done = (possible.sum(axis=1) <= 4 * k + n // 64) | last
+        for i, members in zip(open_[done], possible[done], strict=True):
+            yield (int(i), *_best(index.vectors, queries[i], np.flatnonzero(members), k), level + 1)
+        open_ = open_[~done]
         if not len(open_):
             return
     for i in open_:  # every vector is zero
@@ -105,9 +106,10 @@ def matrix(rows: list, dims: int) -> np.ndarray:
 
 
 def whole_numbers(*parts: np.ndarray) -> list[np.ndarray]:
-    """The parts as they are if no inner product can leave int64, else as Python's whole numbers."""
+    """The parts in the smallest type that no inner product can leave: int32, int64 or Python's whole numbers."""
     most = [max(1.0, float(np.abs(x.astype(np.float64)).max(initial=0))) for x in parts]
-    return list(parts) if np.prod(most) * max(1, parts[0].shape[1]) < 2.0**62 else [x.astype(object) for x in parts]
+    bound = np.prod(most) * max(1, parts[0].shape[1])
+    return [x.astype(np.int32 if bound < 2.0**30 else np.int64 if bound < 2.0**62 else object) for x in parts]
 
 
 def quantised(df: DataFrame, vector_col: str, factor: float) -> DataFrame:
