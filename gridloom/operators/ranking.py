@@ -27,10 +27,20 @@ def dense_labels(df: DataFrame, label: str, out: str) -> DataFrame:
 def empirical_rank(probes: DataFrame, reference: DataFrame, value: str) -> DataFrame:
     """``probes`` with ``rank``: the share of the reference that is less than its ``value``.
 
-    The reference is a bounded sample; it becomes one sorted array.
+    The reference is a bounded sample; it becomes one sorted array, in which each row's place is found by halving.
+    A null value, or an empty reference, has a null rank.
     """
-    sample = reference.agg(F.array_sort(F.collect_list(value)).alias("_ref"))
-    less = F.size(F.filter("_ref", lambda r: r < F.col(value)))
+    sample = reference.where(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(value)).alias("_ref"))
+    bounds = F.struct(F.lit(0).alias("lo"), F.size("_ref").alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_ref") + 1)).cast("int"))
+
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        less = F.get("_ref", mid) < F.col(value)
+        upper, lower = F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")), F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(acc["lo"] >= acc["hi"], acc).when(less, upper).otherwise(lower)
+
+    less = F.when(F.col(value).isNotNull(), F.aggregate(steps, bounds, halve, lambda acc: acc["lo"]))
     return probes.join(F.broadcast(sample)).withColumn("rank", F.try_divide(less, F.size("_ref"))).drop("_ref")
 
 

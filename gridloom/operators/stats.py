@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -146,37 +147,32 @@ def mantel(pairs: DataFrame, stratum: str, permutations: int, seed: int = 0) ->
     """(n, r, p): correlation of two distances over pairs, and its permutation p within strata.
 
     ``pairs`` is (stratum, a, b, x, y) with a < b, every pair of a stratum once; a
-    stratum is small (a patient's samples). Permutations are rows of a range; each
-    relabels the y side within strata, and the shared matrices are a broadcast whose
-    size is that of the strata.
+    stratum is small (a patient's samples). Each stratum relabels the y side for every
+    permutation and yields only its sums; these are added by permutation, so any number
+    of strata meet as one row for each permutation. Strata with a null name are one.
     """
-    spark = pairs.sparkSession
-    table = pairs.select(stratum, "a", "b", "x", "y").toPandas()
-    blocks = []
-    for _, g in table.groupby(stratum, sort=True):
+    schema = "k int, n long, x double, y double, xx double, yy double, xy double"
+
+    def sums(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(g[["a", "b"]].to_numpy())
-        i, j = np.searchsorted(ids, g["a"]), np.searchsorted(ids, g["b"])
+        i, j, x = np.searchsorted(ids, g["a"]), np.searchsorted(ids, g["b"]), g["x"].to_numpy()
         m = np.zeros((len(ids), len(ids)))
         m[i, j] = m[j, i] = g["y"]
-        blocks.append((i, j, g["x"].to_numpy(), m))
-    shared = spark.sparkContext.broadcast(blocks)
-
-    def r_of(rng) -> float:
-        x, y = [], []
-        for i, j, dx, m in shared.value:
-            order = np.arange(len(m)) if rng is None else rng.permutation(len(m))
-            x.append(dx)
-            y.append(m[order[i], order[j]])
-        return float(np.corrcoef(np.concatenate(x), np.concatenate(y))[0, 1])
-
-    observed = r_of(None)
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"hit": [abs(r_of(np.random.default_rng([seed, int(k)]))) >= abs(observed) - 1e-12 for k in b["id"]]})
-
-    hits = spark.range(permutations).mapInPandas(run, "hit boolean").agg(F.count_if("hit").alias("hits"))
-    return hits.select(F.lit(len(table)).cast("long").alias("n"), F.lit(observed).alias("r"), ((F.col("hits") + 1) / (permutations + 1)).alias("p"))
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        out = []
+        for k in range(permutations + 1):
+            order = rng.permutation(len(ids)) if k else np.arange(len(ids))  # 0: as observed
+            y = m[order[i], order[j]]
+            out.append((k, len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y))
+        return pd.DataFrame(out, columns=["k", "n", "x", "y", "xx", "yy", "xy"])
+
+    of = pairs.select(stratum, "a", "b", "x", "y").groupBy(stratum).applyInPandas(sums, schema).groupBy("k")
+    added = of.agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
+    rows = added.select("k", "n", F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), spread).alias("r"))
+    observed = rows.where("k = 0").select("n", F.col("r").alias("observed"))  # one row
+    hits = rows.where("k > 0").select(F.col("r").alias("drawn")).join(F.broadcast(observed)).groupBy("n", F.col("observed").alias("r"))
+    return hits.agg(((F.count_if(F.abs("drawn") >= F.abs("observed") - 1e-12) + 1) / (permutations + 1)).alias("p"))
 
 
 def separation(rows: DataFrame, keys: list[str], label: str = "side", vector: str = "embedding", dims: int = 10) -> DataFrame:

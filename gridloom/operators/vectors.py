@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +62,52 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "em
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "dist")
 
 
+def nearest_by_relation(
+    df: DataFrame, classes: list[str], id_col: str = "vec_id", vector_col: str = "embedding", rows: int = CELL_ROWS
+) -> DataFrame:
+    """(query, relation, dist): cosine distance from each row to the nearest other row, at all and of each relation.
+
+    A pair's relation is ``same_`` and the first of the integer columns ``classes`` in which both rows agree, or
+    ``neither``; ``nearest`` is over all. Rows and queries meet in cells as in ``nearest``, and only a cell's minima
+    leave it. Rows with a null id, class or vector, or a vector of length zero, take no part.
+    """
+    known = [F.col(c).isNotNull() for c in (id_col, vector_col, *classes)]
+    v = df.where(reduce(Column.__and__, known)).select(
+        F.col(id_col).cast("long").alias("id"), as_doubles(F.col(vector_col)).alias("v"), F.array(*[F.col(c).cast("long") for c in classes]).alias("k")
+    )
+    side = max(1, -(-v.count() // rows))
+    deal = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(side)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    stored, asked = v.select(deal(1).alias("i"), every.alias("j"), "id", "v", "k"), v.select(every.alias("i"), deal(2).alias("j"), "id", "v", "k")
+    names = ["nearest", *[f"same_{c}" for c in classes], "neither"]
+
+    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = np.stack(pdf["v"].to_numpy()).astype(float)
+        size = np.linalg.norm(m, axis=1)
+        return pdf["id"].to_numpy()[size > 0], m[size > 0] / size[size > 0, None], np.stack(pdf["k"].to_numpy())[size > 0]
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(left) and len(right):
+            (ids, m, kinds), (asks, q, own) = unit(left), unit(right)
+            for at in range(0, len(q) if len(m) else 0, 512):
+                part = slice(at, at + 512)
+                dist = 1.0 - q[part] @ m.T
+                dist[asks[part, None] == ids[None, :]] = np.inf
+                open_, least = np.ones(dist.shape, bool), [dist.min(axis=1)]
+                for c in range(len(classes)):
+                    same = open_ & (own[part, None, c] == kinds[None, :, c])
+                    least.append(np.where(same, dist, np.inf).min(axis=1))
+                    open_ &= ~same
+                least.append(np.where(open_, dist, np.inf).min(axis=1))
+                parts += [pd.DataFrame({"query": asks[part], "relation": r, "dist": x}) for r, x in zip(names, least, strict=True)]
+        out = pd.concat(parts) if parts else pd.DataFrame({"query": [], "relation": [], "dist": []})
+        return out[np.isfinite(out["dist"].astype(float))]
+
+    found = stored.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(cell, "query long, relation string, dist double")
+    return found.groupBy("query", "relation").agg(F.min("dist").alias("dist"))
+
+
 def label_precision(neighbours: DataFrame, labels: DataFrame, id_col: str, names: list[str]) -> DataFrame:
     """(rank, n, share of each name): how often a neighbour has its query's value of the columns ``names``."""
     q = labels.select(F.col(id_col).alias("query"), *[F.col(c).alias(f"q_{c}") for c in names])

@@ -122,7 +122,7 @@ def constrained_ward_clusters(t):
     return grid.constrained_clusters(t.grid(), [2, 3, 5, 10])
 
 
-_RINGS = """ring AS (SELECT p_partkey AS id, p_size::DOUBLE AS n, (p_partkey % 7)::INTEGER AS label FROM part WHERE p_partkey <= 60),
+_RINGS = """ring AS (SELECT p_partkey AS id, p_size::DOUBLE AS n, (p_partkey % 7)::INTEGER AS label FROM part),
 edges AS (SELECT id, label, n, unnest([0.0, n, n + 2, 1.0]::DOUBLE[]) AS x1, unnest([0.0, 1.0, n / 2 + 3, n]::DOUBLE[]) AS y1,
   unnest([n, n + 2, 1.0, 0.0]::DOUBLE[]) AS x2, unnest([1.0, n / 2 + 3, n, 0.0]::DOUBLE[]) AS y2 FROM ring)"""
 
@@ -135,7 +135,7 @@ SELECT (id % 4)::INTEGER AS slide, r, c, arg_max(label, id) AS label FROM hit GR
 )
 def rasterised_polygons(t):
     n = F.col("p_size").cast("double")
-    rings = t.part.where("p_partkey <= 60").select(
+    rings = t.part.select(
         (F.col("p_partkey") % 4).cast("int").alias("slide"), F.col("p_partkey").alias("region_ix"), (F.col("p_partkey") % 7).cast("int").alias("label"),
         F.array(F.lit(0.0), n, n + 2, F.lit(1.0)).alias("xs"), F.array(F.lit(0.0), F.lit(1.0), n / 2 + 3, n).alias("ys"),
     )
@@ -173,37 +173,41 @@ def tile_plan(t):
 
 
 def _values(t):
-    return t.part.where("p_partkey <= 100").select((F.col("p_partkey") - 1).cast("int").alias("i"), F.col("p_retailprice").alias("v"))
+    """A row of values as long as the table, and its length."""
+    return t.part.select((F.col("p_partkey") - 1).cast("int").alias("i"), F.col("p_retailprice").alias("v")), t.part.count()
 
 
 @query(
-    """WITH d AS (SELECT p_partkey - 1 AS j, p_retailprice AS v FROM part WHERE p_partkey <= 100),
-p AS (SELECT m, t, i, t * 15 + i AS a FROM (VALUES ('reflect'), ('edge'), ('wrap'), ('constant')) m(m), range(7) t(t), range(15) c(i)),
-s AS (SELECT m, t, i, CASE m WHEN 'edge' THEN least(a, 99) WHEN 'wrap' THEN a % 100 WHEN 'reflect' THEN CASE WHEN a < 100 THEN a ELSE 198 - a END ELSE CASE WHEN a < 100 THEN a END END AS j FROM p)
+    """WITH d AS (SELECT p_partkey - 1 AS j, p_retailprice AS v, (SELECT count(*) FROM part) AS n FROM part),
+t AS (SELECT unnest(range(0, (n + 14) // 15)) AS t, n FROM (SELECT count(*) AS n FROM part)),
+p AS (SELECT m, t, i, n, t * 15 + i AS a FROM (VALUES ('reflect'), ('edge'), ('wrap'), ('constant')) m(m), t, range(15) c(i)),
+s AS (SELECT m, t, i, CASE m WHEN 'edge' THEN least(a, n - 1) WHEN 'wrap' THEN a % n WHEN 'reflect' THEN CASE WHEN a < n THEN a ELSE 2 * n - 2 - a END ELSE CASE WHEN a < n THEN a END END AS j FROM p)
 SELECT m AS mode, t::BIGINT AS tile_id, i::INTEGER AS i, CASE WHEN s.j IS NULL THEN -99.0 ELSE v END AS v FROM s LEFT JOIN d ON s.j = d.j"""
 )
 def tile_pad_modes(t):
-    out = None
+    (values, n), out = _values(t), None
     for mode in ("reflect", "edge", "wrap", "constant"):
-        rows = tiling.cut(_values(t), 100, 15, 0, mode, -99.0).withColumn("mode", F.lit(mode))
+        rows = tiling.cut(values, n, 15, 0, mode, -99.0).withColumn("mode", F.lit(mode))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-_MERGE = """WITH d AS (SELECT p_partkey - 1 AS i, p_retailprice AS v FROM part WHERE p_partkey <= 100),
-t AS (SELECT d.i, v, count(*) AS n, sum({w}) AS w FROM d, range(20) t(t) WHERE d.i >= t * 5 AND d.i < t * 5 + 10 AND t < 19 GROUP BY ALL)
+_MERGE = """WITH d AS (SELECT p_partkey - 1 AS i, p_retailprice AS v, unnest([(p_partkey - 1) // 5, (p_partkey - 1) // 5 - 1]) AS t FROM part),
+t AS (SELECT d.i, v, count(*) AS n, sum({w}) AS w FROM d WHERE t >= 0 AND d.i >= t * 5 AND t < ((SELECT count(*) FROM part) - 1) // 5 GROUP BY ALL)
 SELECT i::INTEGER AS i, round(v * w, 6) AS total, round(w, 6) AS weights, n AS visits, round(v * w / w, 6) AS mean FROM t"""
 
 
 @query(_MERGE.format(w="1.0::DOUBLE"))
 def tile_merge_sum(t):
-    out = tiling.merge(tiling.cut(_values(t), 100, 10, 5), 100, 10, 5)
+    values, n = _values(t)
+    out = tiling.merge(tiling.cut(values, n, 10, 5), n, 10, 5)
     return out.withColumns({c: F.round(c, 6) for c in ("total", "weights", "mean")})
 
 
 @query(_MERGE.format(w="0.54 - 0.46 * cos(2 * pi() * (d.i - t * 5) / 9)"))
 def tile_merge_weighted(t):
-    out = tiling.merge(tiling.cut(_values(t), 100, 10, 5), 100, 10, 5, tiling.window("hamming", F.col("i"), 10))
+    values, n = _values(t)
+    out = tiling.merge(tiling.cut(values, n, 10, 5), n, 10, 5, tiling.window("hamming", F.col("i"), 10))
     return out.withColumns({c: F.round(c, 6) for c in ("total", "weights", "mean")})
 
 

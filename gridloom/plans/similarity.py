@@ -166,32 +166,23 @@ def empirical_rank(t):
 
 
 @query(
-    f"""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY {_DRAW.format("'9|' || vec_id")}, vec_id LIMIT 40),
-ref AS (SELECT round(list_cosine_distance(a.e, b.e), 12) AS v FROM s a JOIN s b ON a.vec_id < b.vec_id),
+    f"""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY {_DRAW.format("'9|' || vec_id")}, vec_id LIMIT 1000),
+ref AS (SELECT round(list_cosine_distance(a.e, b.e), 9) AS v FROM s a JOIN s b ON a.vec_id < b.vec_id),
+below AS (SELECT v, sum(count(*)) OVER (ORDER BY v) AS n FROM ref GROUP BY v),
 p AS (SELECT a.label, a.vec_id, b.label = a.label AS same, b.vec_id % 4 = a.vec_id % 4 AS site,
-    round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS d
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
+    round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 m AS (SELECT vec_id, min(d) AS nearest, min(d) FILTER (same) AS same_label, min(d) FILTER (NOT same AND site) AS same_site,
     min(d) FILTER (NOT same AND NOT site) AS neither FROM p GROUP BY vec_id),
 u AS (UNPIVOT m ON nearest, same_label, same_site, neither INTO NAME relation VALUE d)
-SELECT vec_id, relation, round((SELECT count(*) FROM ref WHERE v < d)::DOUBLE / (SELECT count(*) FROM ref), 6) AS rank FROM u"""
+SELECT vec_id, relation, round(coalesce(n, 0)::DOUBLE / (SELECT count(*) FROM ref), 6) AS rank FROM u ASOF LEFT JOIN below ON u.d > below.v"""
 )
 def rank_of_distance_by_relation(t):
-    e = t.embeddings.withColumn("k", ranking.draw_key(9, F.col("vec_id")))
-    sample = e.orderBy("k", "vec_id").limit(40).select(F.lit(0).alias("g"), "vec_id", "embedding")
-    ref = vectors.pairs_within(sample, ["g"], "vec_id", "embedding").select(F.round("dist", 12).alias("d"))
-    asked = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    # the asked rows are a stated sample of one in 25; blocks of the other rows meet each of them
-    rows = t.embeddings.join(asked, F.col("vec_id") != F.col("q"))
-    d, same, site = F.round(cosine_distance(F.col("qe"), F.col("embedding")), 12), F.col("ql") == F.col("label"), F.col("q") % 4 == F.col("vec_id") % 4
-    least = rows.groupBy(F.col("q").alias("vec_id")).agg(
-        F.min(d).alias("nearest"),
-        F.min(F.when(same, d)).alias("same_label"),
-        F.min(F.when(~same & site, d)).alias("same_site"),
-        F.min(F.when(~same & ~site, d)).alias("neither"),
-    )
-    long = least.unpivot("vec_id", ["nearest", "same_label", "same_site", "neither"], "relation", "d").where("d IS NOT NULL")
-    return ranking.empirical_rank(long, ref, "d").select("vec_id", "relation", F.round("rank", 6).alias("rank"))
+    e = t.embeddings.withColumn("site", F.col("vec_id") % 4)
+    sample = e.withColumn("k", ranking.draw_key(9, F.col("vec_id"))).orderBy("k", "vec_id").limit(1000)
+    ref = vectors.pairs_within(sample.select(F.lit(0).alias("g"), "vec_id", "embedding"), ["g"], "vec_id", "embedding")
+    least = vectors.nearest_by_relation(e, ["label", "site"]).select(F.col("query").alias("vec_id"), "relation", F.round("dist", 9).alias("d"))
+    return ranking.empirical_rank(least, ref.select(F.round("dist", 9).alias("d")), "d").select("vec_id", "relation", F.round("rank", 6).alias("rank"))
 
 
 @query(
@@ -223,7 +214,7 @@ def site_sampling_success(t):
 
 
 @query(
-    f"""WITH {GRID}, q AS (SELECT * FROM grid WHERE vec_id % 20 = 0),
+    f"""WITH {GRID}, q AS (SELECT * FROM grid),
 d AS (SELECT q.slide, q.vec_id, g.vec_id AS other, round(list_cosine_distance(q.embedding, g.embedding), 12) AS dist,
     sqrt((q.r - g.r) ** 2 + (q.c - g.c) ** 2) AS gap
   FROM q JOIN grid g ON q.slide = g.slide AND q.vec_id <> g.vec_id),
@@ -233,7 +224,7 @@ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, other) = 1"""
 )
 def nearest_beyond_distance(t):
     g = t.grid()
-    q = g.where("vec_id % 20 = 0").select("slide", F.col("vec_id").alias("q"), F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("embedding").alias("qe"))
+    q = g.select("slide", F.col("vec_id").alias("q"), F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("embedding").alias("qe"))
     gap = F.sqrt((F.col("r") - F.col("qr")) * (F.col("r") - F.col("qr")) + (F.col("c") - F.col("qc")) * (F.col("c") - F.col("qc")))
     rows = g.join(q, "slide").where("vec_id <> q").withColumn("gap", gap).where("gap > 3")
     rows = rows.withColumn("dist", F.round(cosine_distance(F.col("qe"), F.col("embedding")), 12))
