@@ -174,11 +174,11 @@ def tile_plan(t):
 
 def _values(t):
     """A row of values as long as the table, and its length."""
-    return t.part.select((F.col("p_partkey") - 1).cast("int").alias("i"), F.col("p_retailprice").alias("v")), t.part.count()
+    return t.part.select(F.col("p_partkey").cast("int").alias("i"), F.col("p_retailprice").alias("v")), t.part.count()
 
 
 @query(
-    """WITH d AS (SELECT p_partkey - 1 AS j, p_retailprice AS v, (SELECT count(*) FROM part) AS n FROM part),
+    """WITH d AS (SELECT p_partkey AS j, p_retailprice AS v, (SELECT count(*) FROM part) AS n FROM part),
 t AS (SELECT unnest(range(0, (n + 14) // 15)) AS t, n FROM (SELECT count(*) AS n FROM part)),
 p AS (SELECT m, t, i, n, t * 15 + i AS a FROM (VALUES ('reflect'), ('edge'), ('wrap'), ('constant')) m(m), t, range(15) c(i)),
 s AS (SELECT m, t, i, CASE m WHEN 'edge' THEN least(a, n - 1) WHEN 'wrap' THEN a % n WHEN 'reflect' THEN CASE WHEN a < n THEN a ELSE 2 * n - 2 - a END ELSE CASE WHEN a < n THEN a END END AS j FROM p)
@@ -192,7 +192,7 @@ def tile_pad_modes(t):
     return out
 
 
-_MERGE = """WITH d AS (SELECT p_partkey - 1 AS i, p_retailprice AS v, unnest([(p_partkey - 1) // 5, (p_partkey - 1) // 5 - 1]) AS t FROM part),
+_MERGE = """WITH d AS (SELECT p_partkey AS i, p_retailprice AS v, unnest([p_partkey // 5, p_partkey // 5 - 1]) AS t FROM part),
 t AS (SELECT d.i, v, count(*) AS n, sum({w}) AS w FROM d WHERE t >= 0 AND d.i >= t * 5 AND t < ((SELECT count(*) FROM part) - 1) // 5 GROUP BY ALL)
 SELECT i::INTEGER AS i, round(v * w, 6) AS total, round(w, 6) AS weights, n AS visits, round(v * w / w, 6) AS mean FROM t"""
 
