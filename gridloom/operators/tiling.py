@@ -36,13 +36,31 @@ def step_sizes(tile: tuple[int, ...], overlap: int | float | tuple[int, ...]) ->
 
 
 def tile_plan(
-    spark: SparkSession, shape: tuple[int, ...], tile: tuple[int, ...], overlap=0, mode: str = "constant", batch: int = 0
+    spark: SparkSession,
+    shape: tuple[int, ...],
+    tile: tuple[int, ...],
+    overlap=0,
+    mode: str = "constant",
+    batch: int = 0,
+    channel: int | None = None,
+    drop_last: bool = False,
 ) -> DataFrame:
     """(tile_id, p0.., s0.., e0.., pad0.., batch): each tile's place in the mosaic, its box and its padding.
 
     Tiles are numbered row by row. ``drop`` leaves out those that would stand out,
-    ``irregular`` cuts them, the other modes pad them. ``batch`` is null for 0.
+    ``irregular`` cuts them, the other modes pad them. ``batch`` is null for 0; ``drop_last``
+    leaves out the tiles of a batch that isn't full. ``channel`` is an axis that every tile
+    has whole: its entry in ``tile`` must be that of ``shape``, and the overlap leaves it out.
     """
+    if channel is not None:
+        if not -len(shape) <= channel < len(shape) or len(shape) != len(tile) or tile[channel] != shape[channel]:
+            raise ValueError("the channel must be an axis of the data, which tiles have whole")
+        channel %= len(shape)
+        if isinstance(overlap, tuple):
+            overlap = (*overlap[:channel], 0, *overlap[channel:]) if len(overlap) == len(shape) - 1 else overlap
+        else:
+            rest = step_sizes(tile[:channel] + tile[channel + 1 :], overlap)
+            overlap = tuple(t - x for t, x in zip(tile, (*rest[:channel], tile[channel], *rest[channel:]), strict=True))
     if len(shape) != len(tile) or not shape or any(x <= 0 for x in (*shape, *tile)) or mode not in MODES or batch < 0:
         raise ValueError("shapes must be positive and of one rank, the mode known, the batch not negative")
     step = step_sizes(tile, overlap)
@@ -64,6 +82,8 @@ def tile_plan(
             (F.lit(0) if mode == "irregular" else F.greatest(end - n, F.lit(0))).cast("int").alias(f"pad{i}"),
         ]
     batches = F.floor(F.col("tile_id") / batch) if batch else F.lit(None).cast("long")
+    if batch and drop_last:
+        rows = rows.where(F.col("tile_id") < total // batch * batch)
     return rows.select("tile_id", *cols, batches.alias("batch"))
 
 
@@ -104,8 +124,69 @@ def merge(tiles: DataFrame, n: int, tile: int, overlap=0, weight: Column | None
     return out.withColumn("mean", F.try_divide("total", "weights"))
 
 
+def cut_nd(
+    data: DataFrame, shape: tuple[int, ...], tile: tuple[int, ...], overlap=0, mode: str = "constant", fill: float = 0.0, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """(keys, tile_id, i0.., v): the cells of each tile of images (keys, i0.., v), places within the tile.
+
+    Each image, a value of ``keys``, has the ``shape``; ``v`` is a number, or an array of one for each class.
+    A cell that the data lacks, and the padding of the mode constant, has ``fill`` (in every class). ``drop`` and
+    ``irregular`` have no padding.
+    """
+    axes = range(len(shape))
+    plan = tile_plan(data.sparkSession, shape, tile, overlap, mode)
+    for k in axes:
+        plan = plan.withColumn(f"at{k}", F.explode(F.sequence(f"s{k}", F.col(f"e{k}") - 1)))
+    places = [(F.col(f"at{k}") - F.col(f"s{k}")).cast("int").alias(f"i{k}") for k in axes]
+    cells = plan.select("tile_id", *places, *[source_index(F.col(f"at{k}"), shape[k], mode).cast("int").alias(f"j{k}") for k in axes])
+    if keys:
+        cells = data.select(*keys).distinct().crossJoin(cells)  # an image has all tiles
+    source = data.select(*keys, *[F.col(f"i{k}").cast("int").alias(f"j{k}") for k in axes], "v")
+    rows = cells.join(source, [*keys, *[f"j{k}" for k in axes]], "left")
+    many = str(data.schema["v"].dataType.typeName()) == "array"
+    if many:
+        rows = rows.join(F.broadcast(data.agg(F.max(F.size("v")).alias("_size"))))  # one row
+    blank = F.array_repeat(F.lit(fill), F.col("_size")) if many else F.lit(fill)
+    return rows.select(*keys, "tile_id", *[f"i{k}" for k in axes], F.coalesce("v", blank).alias("v"))
+
+
+def merge_nd(
+    tiles: DataFrame, shape: tuple[int, ...], tile: tuple[int, ...], overlap=0, windows: tuple[str, ...] | str = "boxcar", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """(keys, i0.., [class,] total, weights, visits, mean): tiles (keys, tile_id, i0.., v) laid over each other, without padding.
+
+    A cell's weight is the product of one window's values on each axis. Where ``v`` is an array, one of logits, each
+    class is merged by itself. ``mean`` is null where the weights are 0.
+    """
+    steps, axes = step_sizes(tile, overlap if isinstance(overlap, (float, tuple)) else (overlap,) * len(tile)), range(len(shape))
+    windows = (windows,) * len(shape) if isinstance(windows, str) else windows
+    plan = tile_plan(tiles.sparkSession, shape, tile, overlap)
+    placed = tiles.join(plan.select("tile_id", *[F.col(f"p{k}") for k in axes]), "tile_id")
+    weight = F.lit(1.0)
+    for k in axes:
+        weight = weight * window(windows[k], F.col(f"i{k}"), tile[k], tile[k] - steps[k])
+    at = [(F.col(f"p{k}") * steps[k] + F.col(f"i{k}")).cast("int").alias(f"i{k}") for k in axes]
+    many = str(tiles.schema["v"].dataType.typeName()) == "array"
+    values = [F.posexplode("v").alias("class", "v")] if many else ["v"]
+    rows = placed.select(*keys, *at, weight.alias("w"), *values)
+    for k in axes:
+        rows = rows.where(F.col(f"i{k}") < shape[k])
+    out = rows.groupBy(*keys, *[f"i{k}" for k in axes], *(["class"] if many else [])).agg(
+        F.sum(F.col("v") * F.col("w")).alias("total"), F.sum("w").alias("weights"), F.count("*").alias("visits")
+    )
+    return out.withColumn("mean", F.try_divide("total", "weights"))
+
+
+def merged_classes(merged: DataFrame, places: tuple[str, ...]) -> DataFrame:
+    """(places, class, mean): the class with the largest merged logit at each place, the smaller of equal ones."""
+    best = F.max_by(F.struct("class", "mean"), F.struct("mean", (-F.col("class")).alias("c")))
+    return merged.groupBy(*places).agg(best.alias("b")).select(*places, "b.class", "b.mean")
+
+
 def window(name: str, i: Column, m: int, overlap: int = 0) -> Column:
-    """Value ``i`` of 0 to m - 1 of a symmetric window; 1 for m of 1 or less."""
+    """Value ``i`` of 0 to m - 1 of a symmetric window; 1 for m of 1 or 0. A negative length is an error."""
+    if m < 0:
+        raise ValueError("a window has no negative length")
     if m <= 1 or name == "boxcar":
         return F.lit(1.0)
     last = m - 1.0

@@ -211,6 +211,44 @@ def tile_merge_weighted(t):
     return out.withColumns({c: F.round(c, 6) for c in ("total", "weights", "mean")})
 
 
+@query(
+    """WITH n AS (SELECT (count(*) + 49) // 50 AS rows FROM part), d AS (SELECT p_partkey // 50 AS i0, p_partkey % 50 AS i1, p_retailprice AS v FROM part),
+t AS (SELECT i0, i1, v, unnest([i0 // 2, i0 // 2 - 1]) AS t0 FROM d), u AS (SELECT *, unnest([i1 // 5, i1 // 5 - 1]) AS t1 FROM t),
+w AS (SELECT *, (0.54 - 0.46 * cos(2 * pi() * (i0 - 2 * t0) / 3)) * (0.54 - 0.46 * cos(2 * pi() * (i1 - 5 * t1) / 9)) AS w
+  FROM u, n WHERE t0 >= 0 AND t1 >= 0 AND t0 < (rows - 2 + 1) // 2 AND t1 < 9)
+SELECT i0::INTEGER AS i0, i1::INTEGER AS i1, round(sum(v * w), 6) AS total, round(sum(w), 6) AS weights, count(*) AS visits, round(sum(v * w) / sum(w), 6) AS mean
+FROM w GROUP BY ALL"""
+)
+def tile_merge_2d(t):
+    shape = (-(-t.part.count() // 50), 50)
+    data = t.part.select(F.floor(F.col("p_partkey") / 50).cast("int").alias("i0"), (F.col("p_partkey") % 50).cast("int").alias("i1"), F.col("p_retailprice").alias("v"))
+    out = tiling.merge_nd(tiling.cut_nd(data, shape, (4, 10), (2, 5)), shape, (4, 10), (2, 5), "hamming")
+    return out.withColumns({c: F.round(c, 6) for c in ("total", "weights", "mean")})
+
+
+@query(
+    f"""WITH {GRID}, t AS (SELECT slide, r, c, embedding, unnest([r // 2, r // 2 - 1]) AS t0 FROM grid),
+u AS (SELECT *, unnest([c // 2, c // 2 - 1]) AS t1 FROM t), k AS (SELECT *, unnest([0, 1, 2, 3]) AS cls FROM u WHERE t0 BETWEEN 0 AND 3 AND t1 BETWEEN 0 AND 3),
+m AS (SELECT slide, r, c, cls, avg(embedding[cls + 1] + 0.01 * ((t0 * 4 + t1) % 3) * cls) AS m FROM k GROUP BY ALL)
+SELECT slide, r AS i0, c AS i1, cls::INTEGER AS class, round(m, 6) AS mean FROM m QUALIFY row_number() OVER (PARTITION BY slide, r, c ORDER BY m DESC, cls) = 1"""
+)
+def tile_merge_logits(t):
+    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    data = t.grid().select("slide", F.col("r").alias("i0"), F.col("c").alias("i1"), logits.alias("v"))
+    tiles = tiling.cut_nd(data, (10, 10), (4, 4), (2, 2), keys=("slide",))
+    seen = F.transform("v", lambda x, k: x + 0.01 * (F.col("tile_id") % 3) * k)  # a model sees each tile by itself
+    merged = tiling.merge_nd(tiles.withColumn("v", seen), (10, 10), (4, 4), (2, 2), keys=("slide",))
+    return tiling.merged_classes(merged, ("slide", "i0", "i1")).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """SELECT i::BIGINT AS tile_id, (i // 3)::INTEGER AS p1, (i // 3 * 6)::INTEGER AS s1, (i % 3)::INTEGER AS p2, 0 AS s0, 3 AS e0, i // 5 AS batch FROM range(0, 10) r(i)"""
+)
+def tile_batches(t):
+    plan = tiling.tile_plan(t.spark, (3, 25, 30), (3, 8, 12), (2, 3), batch=5, channel=0, drop_last=True)
+    return plan.select("tile_id", "p1", "s1", "p2", "s0", "e0", "batch")
+
+
 @query(
     """SELECT i::INTEGER AS i, round(1 - abs(2 * i / 8.0 - 1), 6) AS bartlett, round(0.5 - 0.5 * cos(2 * pi() * i / 8), 6) AS hann,
   round(0.42 - 0.5 * cos(2 * pi() * i / 8) + 0.08 * cos(4 * pi() * i / 8), 6) + 0.0 AS blackman, round(1 - abs(i - 4) * 2 / 10.0, 6) AS triang,

@@ -86,6 +86,33 @@ def test_tile_plans(spark):
         plan((10,), (2,), mode="mirror")
 
 
+def test_tile_channels_and_batches(spark):
+    plan = lambda *a, **k: tiling.tile_plan(spark, *a, **k)
+    last = plan((3, 100), (3, 10), channel=0).orderBy("tile_id").collect()[-1]
+    assert (last["p1"], last["s1"], last["e1"], last["s0"], last["e0"]) == (9, 90, 100, 0, 3)
+    assert plan((3, 100), (3, 4), 2, channel=0).count() == 49
+    assert plan((100,), (10,), batch=9).count() == 10 and plan((100,), (10,), batch=9, drop_last=True).count() == 9
+    for bad in ({"channel": 10}, {"channel": 1}, {"batch": -1}):
+        with pytest.raises(ValueError):
+            plan((3, 100), (3, 10), **bad)
+    with pytest.raises(ValueError):
+        tiling.window("hann", F.lit(0), -1)
+
+
+def test_cut_and_merge_in_two_axes(spark):
+    rng = np.random.default_rng(4)
+    m = rng.random((7, 9))
+    data = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(7) for j in range(9)], "i0 int, i1 int, v double")
+    for mode in ("constant", "reflect", "edge", "wrap"):
+        tiles = tiling.cut_nd(data, (7, 9), (4, 4), (1, 2), mode, fill=-1.0)
+        wide = np.pad(m, ((0, 3), (0, 1)), mode if mode != "constant" else "constant", **({"constant_values": -1.0} if mode == "constant" else {}))
+        for r in tiles.collect():
+            a, b = divmod(r["tile_id"], 4)
+            assert r["v"] == wide[a * 3 + r["i0"], b * 2 + r["i1"]]
+        out = tiling.merge_nd(tiles, (7, 9), (4, 4), (1, 2), "triang").collect()
+        assert len(out) == 63 and all(r["mean"] == pytest.approx(m[r["i0"], r["i1"]]) for r in out)
+
+
 def test_reflect_edge_wrap(spark):
     i = F.col("id").cast("int")
     at = lambda mode: [r[0] for r in spark.range(8).select(tiling.source_index(i, 5, mode)).collect()]
