@@ -236,3 +236,19 @@ def coverage(cells: DataFrame, height: int, width: int, size: int, least: float)
     inside = F.col("r").between(half, height - 1 - half) & F.col("c").between(half, width - 1 - half)
     share = F.col("n") / float(size * size)
     return filled.where(inside & (share > least)).select(*CELL, share.alias("filled"))
+
+
+def resized_nearest(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int], keys: list[str]) -> DataFrame:
+    """``cells`` (keys, r, c, ..) of rasters of ``shape`` at the size ``to``: each new cell is the one under its middle."""
+    spark = cells.sparkSession
+    place = lambda name, k: spark.range(to[k]).select(
+        F.col("id").cast("int").alias(f"_{name}"), F.least(F.floor((F.col("id") + 0.5) * shape[k] / to[k]), F.lit(shape[k] - 1)).cast("int").alias(name)
+    )
+    rows = cells.join(F.broadcast(place("r", 0)), "r").join(F.broadcast(place("c", 1)), "c")  # as many rows as the new raster has
+    rest = [c for c in cells.columns if c not in (*keys, "r", "c")]
+    return rows.select(*keys, F.col("_r").alias("r"), F.col("_c").alias("c"), *rest)
+
+
+def pair_mask(cells: DataFrame, label: str, first, second) -> DataFrame:
+    """``cells`` with ``side``: 1 where ``label`` is the first, 2 where it is the second, 0 elsewhere and where it is null."""
+    return cells.withColumn("side", F.when(F.col(label) == first, 1).when(F.col(label) == second, 2).otherwise(0))

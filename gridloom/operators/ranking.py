@@ -105,3 +105,10 @@ def spaced_members(df: DataFrame, keys: list[str], id_col: str, n: int) -> DataF
     slots = df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     slots = slots.withColumn("_rank", F.floor(F.col("slot") * (F.col("_n") - 1) / (n - 1)).cast("long"))
     return slots.join(ranked, [*keys, "_rank"]).select(*keys, "slot", id_col)
+
+
+def fraction_split(df: DataFrame, keys: list[str], id_col: str, share: float, seed: int, out: str) -> DataFrame:
+    """``df`` with ``out``: true for the ``share`` of each group, rounded up, that has the smallest keys."""
+    rows = df.withColumn("_key", draw_key(seed, F.col(id_col)))
+    rank, n = F.row_number().over(Window.partitionBy(*keys).orderBy("_key", id_col)), F.count("*").over(Window.partitionBy(*keys))
+    return rows.withColumn(out, rank <= F.ceil(share * n)).drop("_key")

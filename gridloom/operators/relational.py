@@ -85,3 +85,19 @@ def row_fractions(df: DataFrame, row: list[str], col: str) -> DataFrame:
     """(row, col, n, fraction): counts and their share of the row's rows."""
     counts = df.groupBy(*row, col).agg(F.count("*").alias("n"))
     return counts.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(*row)))
+
+
+def mapped(df: DataFrame, key: str, codes: dict, out: str) -> DataFrame:
+    """``df`` with ``out``, the code of ``key``; a key without a code, or a null one, is an error."""
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    missing = F.raise_error(F.concat(F.lit("no code for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return df.withColumn(out, F.coalesce(F.try_element_at(known, F.col(key)), missing.cast("int")))
+
+
+def reindexed(matrix: DataFrame, a: str, b: str, value: str, rows: list, columns: list) -> DataFrame:
+    """(i, j, ``value``): a matrix (a, b, value) in the order of two lists of keys; null where it has no such pair."""
+    spark = matrix.sparkSession
+    kind = matrix.schema[a].dataType.simpleString()
+    listed = lambda keys, key, place: F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"{key} {kind}, {place} int"))
+    wanted = listed(rows, "_a", "i").crossJoin(listed(columns, "_b", "j"))
+    return wanted.join(matrix, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left").select("i", "j", value)

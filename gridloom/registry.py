@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import base, grids, similarity, statistics, tables
+from gridloom.plans import base, details, grids, similarity, statistics, tables
 
 QUERIES = dict(base.QUERIES)
 ORACLES = dict(base.ORACLES)
-assert all((similarity, tables, grids, statistics))  # importing them registers their queries
+assert all((details, similarity, tables, grids, statistics))  # importing them registers their queries
