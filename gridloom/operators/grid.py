@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 CELL = ["slide", "r", "c"]
 
 
-def _spread(cells: DataFrame, radius: int) -> DataFrame:
-    """Each cell at every place of the square around it."""
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    moved = cells.select(*CELL).withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around))
-    return moved.select("slide", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"))
+def _box_counts(cells: DataFrame, radius: int) -> DataFrame:
+    """(slide, r, c, n): how many cells the square of ``radius`` around each place holds, where it holds any.
+
+    Along each axis a cell opens a stretch and closes it again, and running sums give
+    the counts between: rows grow with the places found, not with the square's area.
+    """
+    held = cells.select(*CELL, F.lit(1).cast("long").alias("n"))
+    for axis, other in (("c", "r"), ("r", "c")):
+        edge = lambda by, sign: held.select("slide", other, (F.col(axis) + by).alias(axis), (sign * F.col("n")).alias("n"))  # noqa: B023, E731
+        edges = edge(-radius, 1).unionByName(edge(radius + 1, -1)).groupBy("slide", other, axis).agg(F.sum("n").alias("n"))
+        line = Window.partitionBy("slide", other).orderBy(axis)  # one row or column of a raster
+        runs = edges.select("slide", other, axis, F.lead(axis).over(line).alias("next"), F.sum("n").over(line).alias("n")).where("n > 0")
+        held = runs.select("slide", other, F.explode(F.sequence(F.col(axis), F.col("next") - 1)).alias(axis), "n")
+    return held.select(*CELL, "n")
 
 
 def dilate(cells: DataFrame, radius: int) -> DataFrame:
     """Places within ``radius`` rows and columns of a cell; radius 0 changes nothing."""
-    return _spread(cells, radius).distinct()
+    return _box_counts(cells, radius).select(*CELL)
 
 
 def erode(cells: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
@@ -100,17 +109,19 @@ def contiguity_control(cells: DataFrame, sizes: DataFrame, runs: int, seed: int
     """(slide, run, r, c, side): random contiguous regions of given sizes.
 
     ``sizes`` is (slide, area). In each run the areas, largest first, each take a random
-    free cell and the free cells nearest to it (side 2); the rest is side 1. Slides
-    and runs are independent tasks; inside one the areas depend on each other.
+    free cell and the free cells nearest to it (side 2); the rest is side 1. Areas of
+    one cell are left out. Slides and runs are independent tasks; inside one the areas
+    depend on each other.
     """
-    areas = sizes.groupBy("slide").agg(F.sort_array(F.collect_list("area"), False).alias("areas"))
-    rows = cells.select(*CELL).join(areas, "slide").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    areas = sizes.where("area > 1").groupBy("slide").agg(F.sort_array(F.collect_list("area"), False).alias("areas"))
+    rows = cells.select(*CELL).join(areas, "slide", "left").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "c"], ignore_index=True)
         rng = np.random.default_rng([seed, int(pdf["slide"][0]), int(pdf["run"][0])])
         at, free = pdf[["r", "c"]].to_numpy(float), np.ones(len(pdf), bool)
-        for area in pdf["areas"][0]:
+        areas = pdf["areas"][0]
+        for area in areas if areas is not None else ():
             open_ = np.flatnonzero(free)
             if not len(open_):
                 break
@@ -204,18 +215,24 @@ def rasterise(regions: DataFrame) -> DataFrame:
     return inside.groupBy("slide", "r", "c").agg(F.max_by("label", "region_ix").alias("label"))
 
 
-def smoothed_argmax(cells: DataFrame, scores: str, kernel: list[float]) -> DataFrame:
+def smoothed_argmax(cells: DataFrame, scores: str, kernel: list[float], only: int | None = None) -> DataFrame:
     """(slide, r, c, class): each class score averaged with ``kernel`` by rows and columns, then the first largest.
 
-    ``kernel`` has odd length; places outside the slide count as absent, and weights are renormalised.
+    ``kernel`` has odd length; places outside the slide count as absent, and weights are
+    renormalised. With ``only``, that class alone is averaged, the others stay as they are.
     """
     half = len(kernel) // 2
     weigh = F.array(*[F.struct(F.lit(i - half).alias("d"), F.lit(float(w)).alias("w")) for i, w in enumerate(kernel)])
     long = cells.select(*CELL, F.posexplode(scores).alias("class", "v"))
+    still = long.where(F.col("class") != only) if only is not None else None
+    if only is not None:
+        long = long.where(F.col("class") == only)
     for axis in ("r", "c"):
         moved = long.withColumn("k", F.explode(weigh)).withColumn(axis, F.col(axis) + F.col("k.d"))
         long = moved.groupBy(*CELL, "class").agg((F.sum(F.col("v") * F.col("k.w")) / F.sum("k.w")).alias("v"))
         long = long.join(cells.select(*CELL), CELL, "left_semi")
+    if still is not None:
+        long = long.unionByName(still)
     best = Window.partitionBy(*CELL).orderBy(F.desc("v"), "class")
     return long.withColumn("i", F.row_number().over(best)).where("i = 1").select(*CELL, "class")
 
@@ -232,7 +249,7 @@ def overlap(truth: DataFrame, control: DataFrame, keys: list[str]) -> DataFrame:
 def coverage(cells: DataFrame, height: int, width: int, size: int, least: float) -> DataFrame:
     """(slide, r, c, filled): places whose square of odd side ``size`` is filled to more than ``least``, off the border."""
     half = size // 2
-    filled = _spread(cells, half).groupBy(*CELL).agg(F.count("*").alias("n"))
+    filled = _box_counts(cells, half)
     inside = F.col("r").between(half, height - 1 - half) & F.col("c").between(half, width - 1 - half)
     share = F.col("n") / float(size * size)
     return filled.where(inside & (share > least)).select(*CELL, share.alias("filled"))
@@ -252,3 +269,9 @@ def resized_nearest(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int
 def pair_mask(cells: DataFrame, label: str, first, second) -> DataFrame:
     """``cells`` with ``side``: 1 where ``label`` is the first, 2 where it is the second, 0 elsewhere and where it is null."""
     return cells.withColumn("side", F.when(F.col(label) == first, 1).when(F.col(label) == second, 2).otherwise(0))
+
+
+def without_markers(cells: DataFrame, markers: DataFrame, classes: list[int]) -> DataFrame:
+    """``cells`` whose place isn't marked with one of ``classes`` in ``markers`` (slide, r, c, label); a null mark marks nothing."""
+    marked = markers.where(F.col("label").isin(classes)).select(*CELL)
+    return cells.join(marked, CELL, "left_anti")

@@ -64,6 +64,48 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # convergents by forward recurrence, scaled so that the denominator is 1
+    p0, q0, p1, q1 = 0.0, 1.0, 1.0, 1.0
+    for m in range(1, 20001):
+        k, odd = divmod(m, 2)
+        term = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1)) if odd else k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+        p0, q0, p1, q1 = p1, q1, p1 + term * p0, q1 + term * q0
+        if q1:
+            was, now = p0 / q0 if q0 else math.inf, p1 / q1
+            p0, q0, p1, q1 = p0 / q1, q0 / q1, now, 1.0
+            if abs(now - was) <= 1e-15 * abs(now):
+                break
+    return scale * p1
+
+
+def f_p(out: DataFrame) -> DataFrame:
+    """Add ``p``, the upper tail of F, to ``anova``'s row; null where F is."""
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, groups: pd.Series, n: pd.Series) -> pd.Series:
+        rows = zip(f, groups - 1.0, n - groups, strict=True)
+        return pd.Series([None if v != v or v is None else _beta_share(e / 2, d / 2, e / (e + d * v)) for v, d, e in rows], dtype=float)
+
+    return out.withColumn("p", tail("f", "groups", "n"))
+
+
+def chi2_p(out: DataFrame) -> DataFrame:
+    """Add ``p``, the upper tail of ``chi2`` with one degree of freedom, to ``logrank``'s row; null where ``chi2`` is."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2)), na_action="ignore")
+
+    return out.withColumn("p", tail("chi2"))
+
+
 def fisher_exact(table: DataFrame) -> DataFrame:
     """Add ``odds``, ``p_two`` and ``p_greater`` to rows (a, b, c, d) of 2 x 2 counts."""
 

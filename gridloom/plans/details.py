@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import scalars
 from gridloom.functions.vectors import cosine_distance
 from gridloom.operators import grid, ranking, relational
 from gridloom.plans.base import GRID, query
@@ -150,3 +151,48 @@ def nearest_resize(t):
 @query(f"WITH {GRID} SELECT slide, r, c, CASE label WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS side FROM grid")
 def pair_mask(t):
     return grid.pair_mask(t.grid(), "label", 3, 1).select("slide", "r", "c", "side")
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '+null' ELSE '+' || replace(p_type, ' ', '-') || '-' || (p_size % 4 + 1) END AS name FROM part)
+SELECT p_partkey, CASE WHEN name <> '+null' THEN substr(regexp_extract(name, '^(.*)-([^-]*)$', 1), 2) END AS architecture,
+  CASE WHEN name <> '+null' THEN regexp_extract(name, '^(.*)-([^-]*)$', 2)::INTEGER END AS grade FROM n"""
+)
+def region_name_parts(t):
+    made = F.concat(F.lit("+"), F.replace("p_type", F.lit(" "), F.lit("-")), F.lit("-"), (F.col("p_size") % 4 + 1).cast("string"))
+    named = t.part.select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, "+null").otherwise(made).alias("name"))
+    architecture, grade = scalars.region_class(F.col("name"))
+    return named.select("p_partkey", architecture.alias("architecture"), grade.alias("grade"))
+
+
+@query(f"WITH {GRID} SELECT slide, r, c FROM grid WHERE label <= 5 AND vec_id % 6 NOT IN (3, 4)")
+def marker_exclusion(t):
+    marks = t.grid().select("slide", "r", "c", (F.col("vec_id") % 6).cast("int").alias("label"))
+    return grid.without_markers(t.grid().where("label <= 5").select("slide", "r", "c"), marks, [3, 4])
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS n FROM part)
+SELECT p_partkey, CASE WHEN n * n > 400 THEN [0.0, n, n, 0.0, 0.0] ELSE [1.0, 21.0, 21.0, 1.0, 1.0] END::DOUBLE[] AS xs,
+  CASE WHEN n * n > 400 THEN [0.0, 0.0, n, n, 0.0] ELSE [2.0, 2.0, 22.0, 22.0, 2.0] END::DOUBLE[] AS ys FROM p"""
+)
+def largest_vertex_loop(t):
+    n, f = F.col("p_size").cast("double"), lambda *v: [F.lit(float(x)) for x in v]
+    xs = F.array(*f(1, 21, 21, 1, 1), *f(0), n, n, *f(0, 0), *f(5, 6))
+    ys = F.array(*f(2, 2, 22, 22, 2), *f(0, 0), n, n, *f(0), *f(5, 5))
+    x, y = scalars.largest_loop(F.col("xs"), F.col("ys"))
+    return t.part.select("p_partkey", xs.alias("xs"), ys.alias("ys")).select("p_partkey", x.alias("xs"), y.alias("ys"))
+
+
+@query(
+    f"""WITH {GRID}, d AS (SELECT a.vec_id AS q, b.vec_id AS other, round(list_cosine_distance(a.embedding, b.embedding), 12) AS dist
+  FROM grid a JOIN grid b ON a.slide = b.slide AND a.r <> b.r AND a.c <> b.c AND sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) > 3)
+SELECT q AS vec_id, arg_min(other, (dist, other)) AS other FROM d GROUP BY q"""
+)
+def nearest_off_both_axes(t):
+    g = t.grid()
+    q = g.select("slide", F.col("vec_id").alias("q"), F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("embedding").alias("qe"))
+    dr, dc = F.col("r") - F.col("qr"), F.col("c") - F.col("qc")
+    rows = g.join(q, "slide").where((dr != 0) & (dc != 0) & (F.sqrt(dr * dr + dc * dc) > 3))  # pairs inside a slide only
+    best = rows.groupBy("q").agg(F.min(F.struct(F.round(cosine_distance(F.col("qe"), F.col("embedding")), 12).alias("dist"), "vec_id")).alias("b"))
+    return best.select(F.col("q").alias("vec_id"), F.col("b.vec_id").alias("other"))

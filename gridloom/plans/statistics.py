@@ -67,6 +67,12 @@ def anova_ss(t):
     )
 
 
+@query()
+def anova_p(t):
+    out = stats.f_p(stats.anova(t.orders, "o_orderpriority", "o_totalprice"))
+    return rounded(out, "f", "eta2", "p").select("groups", "n", "f", "eta2", "p")
+
+
 _SURVIVAL = """s AS (
   SELECT date_diff('day', (SELECT min(o_orderdate) FROM orders), o_orderdate)::INTEGER AS t, o_orderstatus = 'F' AS e,
     o_totalprice >= (SELECT median(o_totalprice) FROM orders) AS high, left(o_orderpriority, 1)::INTEGER AS risk FROM orders)"""
@@ -102,6 +108,12 @@ def logrank_counts(t):
     return out.withColumns({c: F.round(c, 4) for c in ("expected", "variance", "chi2")})
 
 
+@query()
+def logrank_p(t):
+    out = stats.chi2_p(stats.logrank(_survival(t), "t", "e", F.col("high")))
+    return rounded(out, "chi2", "p").select("observed", "chi2", "p")
+
+
 @query(
     f"""WITH {_SURVIVAL}, k AS (SELECT t, risk, count(*) AS k, count(*) FILTER (e) AS d FROM s GROUP BY ALL),
 p AS (SELECT a.d * b.k AS n, a.risk > b.risk AS c, a.risk = b.risk AS q FROM k a JOIN k b ON b.t > a.t WHERE a.d > 0)

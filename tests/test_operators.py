@@ -206,6 +206,60 @@ def test_hull_of_a_rectangle(spark):
     assert tuple(objects.hull(df).first())[2:] == (12.0, 1.0)
 
 
+def test_box_counts_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    places = sorted({(int(s), int(r), int(c)) for s, r, c in zip(rng.integers(0, 2, 60), rng.integers(0, 12, 60), rng.integers(0, 12, 60), strict=True)})
+    cells = spark.createDataFrame(places, "slide int, r int, c int")
+    for radius in (0, 1, 3):
+        want = {}
+        for s, r, c in places:
+            for i in range(-radius, radius + 1):
+                for j in range(-radius, radius + 1):
+                    want[s, r + i, c + j] = want.get((s, r + i, c + j), 0) + 1
+        got = {(x.slide, x.r, x.c): x.n for x in grid._box_counts(cells, radius).collect()}
+        assert got == want
+    assert grid.dilate(cells.limit(0), 2).count() == 0
+
+
+def test_smoothing_of_one_class_leaves_the_others(spark):
+    cells = spark.createDataFrame([(0, 0, c, [0.4, 1.0 if c == 1 else 0.0]) for c in range(4)], "slide int, r int, c int, s array<double>")
+    got = {x.c: x["class"] for x in grid.smoothed_argmax(cells, "s", [0.25, 0.5, 0.25], only=1).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0}
+    kept = {x.c: x["class"] for x in grid.smoothed_argmax(cells, "s", [1.0], only=1).collect()}
+    assert kept == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
+def test_areas_of_one_cell_claim_nothing(spark):
+    cells = spark.createDataFrame([(s, r, 0) for s in (0, 1) for r in range(5)], "slide int, r int, c int")
+    sizes = spark.createDataFrame([(0, 1), (1, 1), (1, 3)], "slide int, area long")
+    got = grid.contiguity_control(cells, sizes, 2).where("side = 2").groupBy("slide", "run").count().collect()
+    assert sorted((x.slide, x.run, x["count"]) for x in got) == [(1, 0, 3), (1, 1, 3)]
+
+
+def test_p_values_against_closed_forms(spark):
+    rows = [(3, n, f) for n in (5, 30, 2000) for f in (0.0, 0.3, 2.5, 9.0)]
+    got = stats.f_p(spark.createDataFrame([*rows, (3, 9, None)], "groups long, n long, f double")).collect()
+    for x in got:
+        if x.f is None:
+            assert x.p is None
+        else:  # two degrees of freedom have a closed form
+            assert x.p == pytest.approx((1 + 2 * x.f / (x.n - 3)) ** (-(x.n - 3) / 2), rel=1e-9)
+    one = stats.f_p(spark.createDataFrame([(2, 3, 1.0)], "groups long, n long, f double")).collect()[0]
+    assert one.p == pytest.approx(0.5, rel=1e-12)  # Cauchy's upper and lower quarters
+    chi = stats.chi2_p(spark.createDataFrame([(3.841458820694124,), (0.0,), (None,)], "chi2 double")).collect()
+    assert [x.p if x.p is None else round(x.p, 9) for x in chi] == [0.05, 1.0, None]
+
+
+def test_region_names_and_loops(spark):
+    architecture, grade = scalars.region_class(F.col("s"))
+    rows = spark.createDataFrame([("+solid-b-3",), ("+null",), ("+solid",), ("+a-x",), (None,)], "s string").select(architecture, grade).collect()
+    assert [tuple(x) for x in rows] == [("solid-b", 3), (None, None), (None, None), ("a", None), (None, None)]
+    x, y = scalars.largest_loop(F.col("xs"), F.col("ys"))
+    loops = [([0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0]), ([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ([], []), (None, None)]
+    got = spark.createDataFrame(loops, "xs array<double>, ys array<double>").select(x.alias("x"), y.alias("y")).collect()
+    assert [(g.x, g.y) for g in got] == [([0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0]), ([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ([], []), (None, None)]
+
+
 def test_fisher_against_known_values(spark):
     df = spark.createDataFrame([(8, 2, 1, 5), (3, 3, 3, 3)], "a long, b long, c long, d long")
     one, two = stats.fisher_exact(df).collect()
