@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,41 +44,32 @@ def region_class(name: Column) -> tuple[Column, Column]:
     return F.when(known, F.substring(before, 2, 1 << 30)), F.when(known, after.try_cast("int"))
 
 
-def largest_loop(xs: Column, ys: Column) -> tuple[Column, Column]:
-    """The corners of the loop with the largest area, the first of equal ones.
+def largest_loop(xs: Column, ys: Column) -> Column:
+    """A struct (xs, ys) of the corners of the loop with the largest area, the first of equal ones; nulls where either is null.
 
     A loop ends where its first corner comes again, which it includes; the next starts
-    behind it, and corners that never close form the last one. Areas are those of closed rings.
+    behind it, and corners that never close form the last one. Areas are those of closed
+    rings. Which corner opens a loop depends on all before it, so this runs over Arrow batches.
     """
-    points = F.arrays_zip(xs.alias("x"), ys.alias("y"))
-    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<struct<i:int,j:int>>").alias("loops"))
-
-    def step(state: Column, i: Column) -> Column:
-        first, here = F.get(points, state["open"]), F.get(points, i)
-        closes = (i > state["open"]) & (first["x"] == here["x"]) & (first["y"] == here["y"])
-        loop = F.struct(state["open"].alias("i"), i.alias("j"))
-        done = F.struct((i + 1).alias("open"), F.concat(state["loops"], F.array(loop)).alias("loops"))
-        return F.when(closes, done).otherwise(state)
-
-    places = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1)).otherwise(F.array().cast("array<int>"))
-    n = F.size(xs)
-
-    def finish(state: Column) -> Column:
-        rest = F.struct(state["open"].alias("i"), (n - 1).alias("j"))
-        return F.when(state["open"] < n, F.concat(state["loops"], F.array(rest))).otherwise(state["loops"])
-
-    def area(p: Column) -> Column:
-        turned = F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1))
-        parts = F.zip_with(p, turned, lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]).cast("double"))
-        return F.abs(F.aggregate(parts, F.lit(0.0), lambda total, v: total + v)) / 2
-
-    corners = F.transform(F.aggregate(places, start, step, finish), lambda k: F.slice(points, k["i"] + 1, k["j"] - k["i"] + 1))
-    best = F.aggregate(
-        F.transform(corners, lambda p: F.struct(area(p).alias("area"), p.alias("p"))),
-        F.struct(F.lit(-1.0).alias("area"), points.alias("p")),
-        lambda so_far, loop: F.when(loop["area"] > so_far["area"], loop).otherwise(so_far),
-    )["p"]
-    return F.transform(best, lambda p: p["x"]), F.transform(best, lambda p: p["y"])
+
+    def best(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, most, first = (x[:0], y[:0]), -1.0, 0
+        while first < len(x):
+            again = np.flatnonzero((x[first + 1 :] == x[first]) & (y[first + 1 :] == y[first]))
+            end = first + 2 + int(again[0]) if len(again) else len(x)
+            u, v = x[first:end], y[first:end]
+            area = abs(u @ np.roll(v, -1) - v @ np.roll(u, -1)) / 2
+            if area > most:
+                found, most = (u, v), area
+            first = end
+        return found
+
+    @F.pandas_udf("xs array<double>, ys array<double>")
+    def loops(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = [best(x, y) if x is not None and y is not None else (None, None) for x, y in zip(xs, ys, strict=True)]
+        return pd.DataFrame({"xs": pd.Series([r[0] for r in rows], dtype=object), "ys": pd.Series([r[1] for r in rows], dtype=object)})
+
+    return loops(xs, ys)
 
 
 def grade(text: Column) -> Column:

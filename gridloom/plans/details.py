@@ -180,8 +180,8 @@ def largest_vertex_loop(t):
     n, f = F.col("p_size").cast("double"), lambda *v: [F.lit(float(x)) for x in v]
     xs = F.array(*f(1, 21, 21, 1, 1), *f(0), n, n, *f(0, 0), *f(5, 6))
     ys = F.array(*f(2, 2, 22, 22, 2), *f(0, 0), n, n, *f(0), *f(5, 5))
-    x, y = scalars.largest_loop(F.col("xs"), F.col("ys"))
-    return t.part.select("p_partkey", xs.alias("xs"), ys.alias("ys")).select("p_partkey", x.alias("xs"), y.alias("ys"))
+    rows = t.part.select("p_partkey", xs.alias("xs"), ys.alias("ys"))
+    return rows.select("p_partkey", scalars.largest_loop(F.col("xs"), F.col("ys")).alias("loop")).select("p_partkey", "loop.xs", "loop.ys")
 
 
 @query(

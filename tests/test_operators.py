@@ -254,10 +254,12 @@ def test_region_names_and_loops(spark):
     architecture, grade = scalars.region_class(F.col("s"))
     rows = spark.createDataFrame([("+solid-b-3",), ("+null",), ("+solid",), ("+a-x",), (None,)], "s string").select(architecture, grade).collect()
     assert [tuple(x) for x in rows] == [("solid-b", 3), (None, None), (None, None), ("a", None), (None, None)]
-    x, y = scalars.largest_loop(F.col("xs"), F.col("ys"))
     loops = [([0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0]), ([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ([], []), (None, None)]
-    got = spark.createDataFrame(loops, "xs array<double>, ys array<double>").select(x.alias("x"), y.alias("y")).collect()
-    assert [(g.x, g.y) for g in got] == [([0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0]), ([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ([], []), (None, None)]
+    loops.append(([0.0, 1.0, 0.0, 0.0, 3.0, 3.0, 0.0], [0.0, 0.0, 0.0, 5.0, 5.0, 8.0, 5.0]))
+    rows = spark.createDataFrame(loops, "xs array<double>, ys array<double>").select(scalars.largest_loop(F.col("xs"), F.col("ys")).alias("l"))
+    got = rows.select("l.*").collect()
+    assert (got[-1].xs, got[-1].ys) == ([0.0, 3.0, 3.0, 0.0], [5.0, 5.0, 8.0, 5.0])
+    assert [(g.xs, g.ys) for g in got[:-1]] == [([0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0]), ([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ([], []), (None, None)]
 
 
 def test_fisher_against_known_values(spark):
