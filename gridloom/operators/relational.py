@@ -101,3 +101,8 @@ def reindexed(matrix: DataFrame, a: str, b: str, value: str, rows: list, columns
     listed = lambda keys, key, place: F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"{key} {kind}, {place} int"))
     wanted = listed(rows, "_a", "i").crossJoin(listed(columns, "_b", "j"))
     return wanted.join(matrix, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left").select("i", "j", value)
+
+
+def with_matrix(pairs: DataFrame, matrix: DataFrame, keys: list[str]) -> DataFrame:
+    """``pairs`` (keys, a, b, ...), a < b, with what ``matrix`` (keys, a, b, ...) holds above its diagonal for each; pairs it lacks are left out."""
+    return pairs.join(matrix.where("a < b"), [*keys, "a", "b"])

@@ -126,11 +126,15 @@ def centroids(df: DataFrame, keys: list[str], vector_col: str) -> DataFrame:
     )
 
 
+def centroid_vectors(df: DataFrame, keys: list[str], vector_col: str) -> DataFrame:
+    """(keys, centre): the mean vector of each group as one array."""
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"])
+    return centroids(df, keys, vector_col).groupBy(*keys).agg(centre.alias("centre"))
+
+
 def medoids(df: DataFrame, keys: list[str], id_col: str, vector_col: str) -> DataFrame:
     """(keys, medoid, n, vector): the member nearest to its group's mean, ties to the smaller id."""
-    mean = centroids(df, keys, vector_col).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("centre")
-    )
+    mean = centroid_vectors(df, keys, vector_col)
     far = F.round(squared_distance(F.col(vector_col), F.col("centre")), DECIMALS)
     best = F.min_by(F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), F.struct(far, F.col(id_col)))
     rows = df.join(mean, keys).groupBy(*keys).agg(best.alias("b"), F.count("*").alias("n"))
