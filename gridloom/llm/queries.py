@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_join, passages, quality, repetition, secret_scan, toolcalls, topk
+from . import bpe, langid, mixing, ngram_join, passages, quality, repair, repetition, secret_scan, sharding, spelling, toolcalls, topk
 from .common import table
 
 
@@ -59,6 +59,18 @@ def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link_calls(calls, results, toolcalls.CHAT_SCHEMAS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +84,16 @@ QUERIES = {
         op8_rff_quality,
         op9_tool_links,
         op10_zstd_langid,
+        op11_spelling_variants,
+        op12_feistel_shards,
+        op13_conversation_repair,
     )
 }
-ORACLES: dict[str, str] = {"op5_poisson_mix": mixing.MIX_SQL, "op7_impact_topk": topk.TOPK_SQL, "op9_tool_links": toolcalls.CHAT_SQL}
+ORACLES: dict[str, str] = {
+    "op5_poisson_mix": mixing.MIX_SQL,
+    "op7_impact_topk": topk.TOPK_SQL,
+    "op9_tool_links": toolcalls.CHAT_SQL,
+    "op11_spelling_variants": spelling.SPELLING_SQL,
+    "op12_feistel_shards": sharding.SHARD_SQL,
+    "op13_conversation_repair": repair.REPAIR_SQL,
+}
