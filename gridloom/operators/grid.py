@@ -132,65 +132,6 @@ def contiguity_control(cells: DataFrame, sizes: DataFrame, runs: int, seed: int
     return rows.groupBy("slide", "run").applyInPandas(claim, "slide int, run int, r int, c int, side int")
 
 
-def constrained_clusters(cells: DataFrame, ks: list[int], dims: int = 10) -> DataFrame:
-    """(slide, k, r, c, cluster): Ward's clustering that only merges adjacent clusters, cut at each k.
-
-    A slide's vectors are reduced to ``dims`` principal components; parts of the slide that
-    don't touch are joined by their closest cells. Clusters are numbered from 1 by
-    their first cell. One slide is one task.
-    """
-    import heapq
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "c"], ignore_index=True)
-        n, x = len(pdf), np.stack(pdf["embedding"].to_numpy()).astype(float)
-        x = x - x.mean(axis=0)
-        x = x @ np.linalg.svd(x, full_matrices=False)[2][:dims].T
-        at = pdf[["r", "c"]].to_numpy(float)
-        near = np.abs(at[:, None] - at[None]).max(axis=2) <= 1
-        group = np.arange(n)
-        for i, j in np.argwhere(np.triu(near, 1)):
-            group[group == group[j]] = group[i]
-        while len(np.unique(group)) > 1:
-            one = group == group[0]
-            gap = ((at[one][:, None] - at[~one][None]) ** 2).sum(axis=2)
-            a, b = np.unravel_index(gap.argmin(), gap.shape)
-            i, j = np.flatnonzero(one)[a], np.flatnonzero(~one)[b]
-            near[i, j] = near[j, i] = True
-            group[group == group[j]] = group[0]
-        size, mean = dict.fromkeys(range(n), 1), dict(enumerate(x))
-        links = {i: set(np.flatnonzero(near[i])) - {i} for i in range(n)}
-        member = np.arange(n)
-        cost = lambda a, b: size[a] * size[b] / (size[a] + size[b]) * ((mean[a] - mean[b]) ** 2).sum()
-        heap = [(cost(i, j), i, j) for i in links for j in links[i] if i < j]
-        heapq.heapify(heap)
-        out, new = {}, n
-        while True:
-            if len(size) in ks or len(size) == 1:
-                _, first = np.unique(member, return_index=True)
-                names = {member[f]: k + 1 for k, f in enumerate(sorted(first))}
-                out[len(size)] = [names[m] for m in member]
-            if len(size) == 1:
-                break
-            _, a, b = heapq.heappop(heap)
-            if a not in size or b not in size:
-                continue
-            size[new] = size[a] + size[b]
-            mean[new] = (mean[a] * size[a] + mean[b] * size[b]) / size[new]
-            links[new] = (links.pop(a) | links.pop(b)) - {a, b}
-            member[(member == a) | (member == b)] = new
-            del size[a], size[b]
-            for other in links[new]:
-                links[other] = links[other] - {a, b} | {new}
-                heapq.heappush(heap, (cost(other, new), other, new))
-            new += 1
-        parts = [pdf[["slide", "r", "c"]].assign(k=k, cluster=v) for k, v in out.items() if k in ks]
-        empty = pdf[["slide", "r", "c"]].head(0).assign(k=0, cluster=0)
-        return pd.concat([empty, *parts], ignore_index=True)[["slide", "k", "r", "c", "cluster"]]
-
-    return cells.groupBy("slide").applyInPandas(cluster, "slide int, k int, r int, c int, cluster int")
-
-
 def rasterise(regions: DataFrame) -> DataFrame:
     """(slide, r, c, label): cells whose centres lie in a polygon; of several the one with the largest ``region_ix``.
 

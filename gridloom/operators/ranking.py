@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import quantiles, running_sums
 from gridloom.operators.relational import with_scalars
 
 
@@ -27,26 +28,20 @@ def dense_labels(df: DataFrame, label: str, out: str) -> DataFrame:
 def empirical_rank(probes: DataFrame, reference: DataFrame, value: str) -> DataFrame:
     """``probes`` with ``rank``: the share of the reference that is less than its ``value``.
 
-    The reference is a bounded sample; it becomes one sorted array, in which each row's place is found by halving.
-    A null value, or an empty reference, has a null rank.
+    Distinct values of both are counted and put in order together, in ranges; no row carries the reference, which may be of any
+    size. A null value, or an empty reference, has a null rank; null values of the reference are left out.
     """
-    sample = reference.where(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(value)).alias("_ref"))
-    bounds = F.struct(F.lit(0).alias("lo"), F.size("_ref").alias("hi"))
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_ref") + 1)).cast("int"))
-
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        less = F.get("_ref", mid) < F.col(value)
-        upper, lower = F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")), F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
-        return F.when(acc["lo"] >= acc["hi"], acc).when(less, upper).otherwise(lower)
-
-    less = F.when(F.col(value).isNotNull(), F.aggregate(steps, bounds, halve, lambda acc: acc["lo"]))
-    return probes.join(F.broadcast(sample)).withColumn("rank", F.try_divide(less, F.size("_ref"))).drop("_ref")
+    asked = probes.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_k"))
+    counts = asked.unionByName(reference.select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_k"))).where("_v IS NOT NULL")
+    places = running_sums(counts.groupBy("_v").agg(F.sum("_k").alias("_k")), "_v", ["_k"])
+    total = reference.agg(F.count(value).alias("_n"))  # one row
+    placed = places.join(F.broadcast(total)).select("_v", F.try_divide("before__k", "_n").alias("rank"))
+    return probes.join(placed, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
 
 
 def robust_rescale(df: DataFrame, value: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Add ``scaled``: (x - low percentile) / (high - low), clipped to 0 and 1."""
-    rows = with_scalars(df, F.percentile(value, lo).alias("_lo"), F.percentile(value, hi).alias("_hi"))
+    rows = df.join(F.broadcast(quantiles(df, F.col(value), {"_lo": lo, "_hi": hi}).drop("n")))
     scaled = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return rows.withColumn("scaled", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_lo", "_hi")
 

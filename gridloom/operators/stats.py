@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import running_sums
+from gridloom.operators.spatial import principal
+
 
 def with_midranks(df: DataFrame, value: str) -> DataFrame:
     """Add ``midrank`` (1-based, the mean rank of equal values) and ``ties``.
@@ -153,8 +156,8 @@ def logrank(df: DataFrame, time: str, event: str, group: Column) -> DataFrame:
         F.count_if(F.col(event)).alias("d"), F.count_if(F.col(event) & F.col("_g")).alias("d1"),
         F.count("*").alias("k"), F.count_if("_g").alias("k1"),
     )
-    later = Window.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)  # distinct times only
-    per = per.withColumns({"n": F.sum("k").over(later), "n1": F.sum("k1").over(later)}).where("d > 0")
+    per = running_sums(per, time, ["k", "k1"], descending=True)
+    per = per.withColumns({"n": F.col("before_k") + F.col("k"), "n1": F.col("before_k1") + F.col("k1")}).where("d > 0")
     share = F.col("n1") / F.col("n")
     var = F.coalesce(F.col("d") * share * (1 - share) * F.try_divide(F.col("n") - F.col("d"), F.col("n") - 1), F.lit(0.0))
     out = per.agg(F.sum("d1").alias("observed"), F.sum(F.col("d") * share).alias("expected"), F.sum(var).alias("variance"))
@@ -217,30 +220,60 @@ def mantel(pairs: DataFrame, stratum: str, permutations: int, seed: int = 0) ->
     return hits.agg(((F.count_if(F.abs("drawn") >= F.abs("observed") - 1e-12) + 1) / (permutations + 1)).alias("p"))
 
 
-def separation(rows: DataFrame, keys: list[str], label: str = "side", vector: str = "embedding", dims: int = 10) -> DataFrame:
+def balanced_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, gap: float = 1e-7, most: int = 200_000) -> tuple[np.ndarray, float]:
+    """(weights, offset) of the linear machine for the hinge loss, whose sides (y = 1, -1) weigh alike.
+
+    Minimises |w|^2 / 2 + sum of c_i * max(0, 1 - y_i (w x_i + b)), c_i = c * n / (2 * size of its side), through its dual: each step moves the
+    two multipliers that break the optimum's conditions most, and it stops when none breaks them by more than ``gap``.
+    """
+    n, q = len(y), (x @ x.T) * np.outer(y, y)
+    top = c * n / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    a, slope = np.zeros(n), -np.ones(n)  # slope: of the dual's objective
+    tiny, diagonal = 1e-12, q.diagonal()
+    for _ in range(most):
+        score = -y * slope
+        up = np.where(y > 0, a < top, a > 0)
+        down = np.where(y > 0, a > 0, a < top)
+        i = int(np.where(up, score, -np.inf).argmax())
+        wrong = score[i] - score
+        if not (down & (wrong > gap)).any():
+            break
+        bend = np.maximum(diagonal[i] + diagonal - 2 * y[i] * y * q[i], tiny)
+        j = int(np.where(down & (wrong > 0), wrong * wrong / bend, -1.0).argmax())
+        move = wrong[j] / bend[j]  # along y_i in a_i, against y_j in a_j
+        room = min(top[i] - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else top[j] - a[j])
+        move = min(move, room)
+        a[i] += y[i] * move
+        a[j] -= y[j] * move
+        slope += move * (y[i] * q[i] - y[j] * q[j])
+    score, free = -y * slope, (a > tiny) & (a < top - tiny)
+    if free.any():
+        offset = float(score[free].mean())
+    else:
+        up, down = np.where(y > 0, a < top - tiny, a > tiny), np.where(y > 0, a > tiny, a < top - tiny)
+        offset = float((score[up].max() + score[down].min()) / 2)
+    return x.T @ (a * y), offset
+
+
+def separation(rows: DataFrame, keys: list[str], label: str = "side", vector: str = "embedding", dims: int = 10, c: float = 1.0) -> DataFrame:
     """(keys, accuracy): how well a balanced linear SVM tells side 1 from 2, learnt on half of each side.
 
-    Each group is a bounded sample: principal components, then sub-gradient steps on
-    the hinge loss, then accuracy on the other half. ``rows`` has a boolean ``train``.
+    Each group is a bounded sample (some hundreds of rows a side): principal components, the machine on rows whose boolean
+    ``train`` holds, its accuracy on the others. A null accuracy: one of the sides, or of the halves, is empty.
+    Rows with a null vector or side are left out.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        x = x - x.mean(axis=0)
-        x = x @ np.linalg.svd(x, full_matrices=False)[2][:dims].T
-        x = np.column_stack([x / max(x.std(), 1e-12), np.ones(len(x))])
+        x = principal(np.stack(pdf[vector].to_numpy()).astype(float), dims)
         y, train = np.where(pdf[label] == 1, 1.0, -1.0), pdf["train"].to_numpy(bool)
         if len(set(y[train])) < 2 or train.all():
             return pdf[keys].head(1).assign(accuracy=np.nan)
-        weight = np.where(y > 0, 1 / max((y[train] > 0).sum(), 1), 1 / max((y[train] < 0).sum(), 1))
-        w = np.zeros(x.shape[1])
-        for step in range(1, 301):
-            wrong = train & (y * (x @ w) < 1)
-            w -= (w * 0.01 - (weight * y)[wrong] @ x[wrong] / 2) / (0.01 * step + 1)
-        return pdf[keys].head(1).assign(accuracy=float((np.sign(x[~train] @ w) == y[~train]).mean()))
+        w, b = balanced_svm(x[train], y[train], c)
+        return pdf[keys].head(1).assign(accuracy=float((np.where(x[~train] @ w + b > 0, 1.0, -1.0) == y[~train]).mean()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.groupBy(*keys).applyInPandas(fit, f"{schema}, accuracy double")
+    known = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    return known.groupBy(*keys).applyInPandas(fit, f"{schema}, accuracy double").withColumn("accuracy", F.nanvl("accuracy", F.lit(None).cast("double")))
 
 
 def cox_fit(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int = 20) -> dict[str, float]:

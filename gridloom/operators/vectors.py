@@ -33,18 +33,18 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "em
     deal = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(side)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     stored = v.select(deal(1).alias("i"), every.alias("j"), "id", "v")
-    asked = v.select(every.alias("i"), deal(2).alias("j"), "id", "v")
+    asked = v.select(every.alias("qi"), deal(2).alias("qj"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))  # names of its own
 
-    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        m = np.stack(pdf["v"].to_numpy()).astype(float)
+    def unit(pdf: pd.DataFrame, id_: str, v: str) -> tuple[np.ndarray, np.ndarray]:
+        m = np.stack(pdf[v].to_numpy()).astype(float)
         size = np.linalg.norm(m, axis=1)
-        return pdf["id"].to_numpy()[size > 0], m[size > 0] / size[size > 0, None]
+        return pdf[id_].to_numpy()[size > 0], m[size > 0] / size[size > 0, None]
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "neighbour": [], "dist": []})
-        ids, m = unit(left.sort_values("id", kind="stable"))
-        asks, q = unit(right)
+        ids, m = unit(left.sort_values("id", kind="stable"), "id", "v")
+        asks, q = unit(right, "q_id", "q_v")
         out = []
         for at in range(0, len(q), 512):
             dist = np.round(1.0 - q[at : at + 512] @ m.T, DECIMALS)
@@ -57,7 +57,7 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "em
                 out.append((np.full(len(near), asks[at + i]), ids[near], row[near]))
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query", "neighbour", "dist"), zip(*out), strict=True)})
 
-    found = stored.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(cell, "query long, neighbour long, dist double")
+    found = stored.groupBy("i", "j").cogroup(asked.groupBy("qi", "qj")).applyInPandas(cell, "query long, neighbour long, dist double")
     best = Window.partitionBy("query").orderBy("dist", "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "dist")
 
@@ -78,18 +78,20 @@ def nearest_by_relation(
     side = max(1, -(-v.count() // rows))
     deal = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(side)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    stored, asked = v.select(deal(1).alias("i"), every.alias("j"), "id", "v", "k"), v.select(every.alias("i"), deal(2).alias("j"), "id", "v", "k")
+    stored = v.select(deal(1).alias("i"), every.alias("j"), "id", "v", "k")
+    # names of its own, so that neither side's columns are taken for the other's
+    asked = v.select(every.alias("qi"), deal(2).alias("qj"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("k").alias("q_k"))
     names = ["nearest", *[f"same_{c}" for c in classes], "neither"]
 
-    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = np.stack(pdf["v"].to_numpy()).astype(float)
+    def unit(pdf: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = np.stack(pdf[f"{side}v"].to_numpy()).astype(float)
         size = np.linalg.norm(m, axis=1)
-        return pdf["id"].to_numpy()[size > 0], m[size > 0] / size[size > 0, None], np.stack(pdf["k"].to_numpy())[size > 0]
+        return pdf[f"{side}id"].to_numpy()[size > 0], m[size > 0] / size[size > 0, None], np.stack(pdf[f"{side}k"].to_numpy())[size > 0]
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(left) and len(right):
-            (ids, m, kinds), (asks, q, own) = unit(left), unit(right)
+            (ids, m, kinds), (asks, q, own) = unit(left, ""), unit(right, "q_")
             for at in range(0, len(q) if len(m) else 0, 512):
                 part = slice(at, at + 512)
                 dist = 1.0 - q[part] @ m.T
@@ -104,7 +106,7 @@ def nearest_by_relation(
         out = pd.concat(parts) if parts else pd.DataFrame({"query": [], "relation": [], "dist": []})
         return out[np.isfinite(out["dist"].astype(float))]
 
-    found = stored.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(cell, "query long, relation string, dist double")
+    found = stored.groupBy("i", "j").cogroup(asked.groupBy("qi", "qj")).applyInPandas(cell, "query long, relation string, dist double")
     return found.groupBy("query", "relation").agg(F.min("dist").alias("dist"))
 
 
@@ -148,6 +150,18 @@ def pairs_within(df: DataFrame, keys: list[str], id_col: str, vector_col: str, d
     return a.join(b, keys).where("a < b").select(*keys, "a", "b", distance(F.col("va"), F.col("vb")).alias("dist"))
 
 
+def pairs_in_blocks(df: DataFrame, keys: list[str], id_col: str, vector_col: str, distance=cosine_distance, blocks: int = 8) -> DataFrame:
+    """The rows of ``pairs_within``, for large groups: a group's rows are dealt to ``blocks`` blocks, and each two blocks are a task's key.
+
+    Rows are copied ``blocks`` times; a key has the pairs of about 1 / blocks ** 2 of its group, so a hot group is split.
+    """
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(*keys, F.col(id_col).alias("a"), F.col(vector_col).alias("va"), own.alias("_i"), every.alias("_j"))
+    b = df.select(*keys, F.col(id_col).alias("b"), F.col(vector_col).alias("vb"), every.alias("_i"), own.alias("_j"))
+    return a.join(b, [*keys, "_i", "_j"]).where("a < b").select(*keys, "a", "b", distance(F.col("va"), F.col("vb")).alias("dist"))
+
+
 def group_scores(pairs: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """(keys, score): mean of ``value`` weighted by e to the power of its place between the group's extremes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import grid, objects, ranking, relational, tiling
+from gridloom.operators import grid, objects, ranking, relational, spatial, tiling
 from gridloom.plans.base import GRID, query
 from gridloom.plans.similarity import _DRAW
 
@@ -119,7 +119,19 @@ def remove_small_components(t):
 
 @query()
 def constrained_ward_clusters(t):
-    return grid.constrained_clusters(t.grid(), [2, 3, 5, 10])
+    return spatial.constrained_clusters(t.grid(), [2, 3, 5, 10], least=100)  # these slides have 100 cells
+
+
+@query(
+    f"""WITH {GRID}, cells AS (SELECT slide, r, c FROM grid WHERE label % 2 = 0),
+near AS (
+  SELECT a.slide, a.r, a.c, b.r AS r2, b.c AS c2 FROM cells a JOIN cells b ON a.slide = b.slide AND (a.r, a.c) <> (b.r, b.c)
+  QUALIFY row_number() OVER (PARTITION BY a.slide, a.r, a.c ORDER BY (a.r - b.r) ** 2 + (a.c - b.c) ** 2, b.r, b.c) <= 8)
+SELECT DISTINCT slide, CASE WHEN (r, c) < (r2, c2) THEN r ELSE r2 END AS r, CASE WHEN (r, c) < (r2, c2) THEN c ELSE c2 END AS c,
+  CASE WHEN (r, c) < (r2, c2) THEN r2 ELSE r END AS r2, CASE WHEN (r, c) < (r2, c2) THEN c2 ELSE c END AS c2 FROM near"""
+)
+def spatial_graph_links(t):
+    return spatial.spatial_graph(t.grid().where("label % 2 = 0")).where("NOT forced").drop("forced")
 
 
 _RINGS = """ring AS (SELECT p_partkey AS id, p_size::DOUBLE AS n, (p_partkey % 7)::INTEGER AS label FROM part),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import argmax, as_doubles, cosine_distance
-from gridloom.operators import ranking, relational, vectors
+from gridloom.operators import order, ranking, relational, vectors
 from gridloom.plans.base import GRID, query
 
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -89,8 +89,8 @@ m AS (SELECT label, median(d) AS m, count(*) AS n FROM p GROUP BY label)
 SELECT label, n, round(m, 6) AS median_dist, m = (SELECT max(m) FROM m) AS widest, m = (SELECT min(m) FROM m) AS tightest FROM m"""
 )
 def within_group_median_distance(t):
-    pairs = vectors.pairs_within(t.embeddings, ["label"], "vec_id", "embedding")
-    rows = pairs.groupBy("label").agg(F.median("dist").alias("m"), F.count("*").alias("n"))
+    pairs = vectors.pairs_in_blocks(t.embeddings, ["label"], "vec_id", "embedding")
+    rows = order.quantiles(pairs, F.col("dist"), {"m": 0.5}, ["label"])
     rows = relational.with_scalars(rows, F.max("m").alias("hi"), F.min("m").alias("lo"))
     return rows.select(
         "label", "n", F.round("m", 6).alias("median_dist"), (F.col("m") == F.col("hi")).alias("widest"), (F.col("m") == F.col("lo")).alias("tightest")
@@ -116,7 +116,7 @@ def _site_pairs(t):
 
 def _banded(t):
     medoids, pairs = _site_pairs(t)
-    ends = medoids.agg(F.percentile("n", 0.05).alias("lo"), F.percentile("n", 0.95).alias("hi"))
+    ends = order.quantiles(medoids, F.col("n"), {"lo": 0.05, "hi": 0.95}).drop("n")
     inside = lambda c: (F.col(c) > F.col("lo")) & (F.col(c) < F.col("hi"))
     return pairs.join(F.broadcast(ends)).where(inside("size_a") & inside("size_b")).drop("lo", "hi")
 
@@ -152,16 +152,16 @@ def encoder_agreement_corr(t):
     drawn = t.embeddings.withColumn("k", ranking.draw_key(7, F.col("vec_id"))).orderBy("k", "vec_id").limit(100)
     s = drawn.select(F.lit(0).alias("g"), "vec_id", F.struct(half(1).alias("x"), half(33).alias("y")).alias("e"))
     both = lambda a, b: F.struct(cosine_distance(a["x"], b["x"]).alias("x"), cosine_distance(a["y"], b["y"]).alias("y"))
-    pairs = vectors.pairs_within(s, ["g"], "vec_id", "e", both)
+    pairs = vectors.pairs_in_blocks(s, ["g"], "vec_id", "e", both)
     return pairs.agg(F.count("*").alias("n"), F.round(F.corr("dist.x", "dist.y"), 6).alias("r"))
 
 
 @query(
-    f"""WITH ref AS (SELECT p_retailprice AS v FROM part ORDER BY {_DRAW.format("'5|' || p_partkey")}, p_partkey LIMIT 200)
+    f"""WITH ref AS (SELECT p_retailprice AS v FROM part ORDER BY {_DRAW.format("'5|' || p_partkey")}, p_partkey LIMIT 1000)
 SELECT p_partkey, round((SELECT count(*) FROM ref WHERE v < p_retailprice)::DOUBLE / (SELECT count(*) FROM ref), 6) AS rank FROM part"""
 )
 def empirical_rank(t):
-    ref = t.part.withColumn("k", ranking.draw_key(5, F.col("p_partkey"))).orderBy("k", "p_partkey").limit(200)
+    ref = t.part.withColumn("k", ranking.draw_key(5, F.col("p_partkey"))).orderBy("k", "p_partkey").limit(1000)
     return ranking.empirical_rank(t.part, ref, "p_retailprice").select("p_partkey", F.round("rank", 6).alias("rank"))
 
 
@@ -180,7 +180,7 @@ SELECT vec_id, relation, round(coalesce(n, 0)::DOUBLE / (SELECT count(*) FROM re
 def rank_of_distance_by_relation(t):
     e = t.embeddings.withColumn("site", F.col("vec_id") % 4)
     sample = e.withColumn("k", ranking.draw_key(9, F.col("vec_id"))).orderBy("k", "vec_id").limit(1000)
-    ref = vectors.pairs_within(sample.select(F.lit(0).alias("g"), "vec_id", "embedding"), ["g"], "vec_id", "embedding")
+    ref = vectors.pairs_in_blocks(sample.select(F.lit(0).alias("g"), "vec_id", "embedding"), ["g"], "vec_id", "embedding")
     least = vectors.nearest_by_relation(e, ["label", "site"]).select(F.col("query").alias("vec_id"), "relation", F.round("dist", 9).alias("d"))
     return ranking.empirical_rank(least, ref.select(F.round("dist", 9).alias("d")), "d").select("vec_id", "relation", F.round("rank", 6).alias("rank"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import cosine_distance, squared_distance
-from gridloom.operators import ranking, relational, stats, vectors
+from gridloom.operators import order, ranking, relational, stats, vectors
 from gridloom.plans.base import query
 
 
@@ -79,7 +79,8 @@ _SURVIVAL = """s AS (
 
 
 def _survival(t):
-    rows = relational.with_scalars(t.orders, F.min("o_orderdate").alias("t0"), F.median("o_totalprice").alias("m"))
+    middle = order.quantiles(t.orders, F.col("o_totalprice"), {"m": 0.5}).drop("n")
+    rows = relational.with_scalars(t.orders, F.min("o_orderdate").alias("t0")).join(F.broadcast(middle))
     return rows.select(
         F.datediff("o_orderdate", "t0").alias("t"), (F.col("o_orderstatus") == "F").alias("e"),
         (F.col("o_totalprice") >= F.col("m")).alias("high"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("risk"),
@@ -148,7 +149,7 @@ def mantel_permutation_p(t):
 @query()
 def separation_accuracy(t):
     cells = t.grid().withColumn("side", F.when(F.col("label") < 5, 1).otherwise(2))
-    drawn = ranking.sample_without(cells, ["slide", "side"], "vec_id", 40, 19)
+    drawn = ranking.sample_without(cells, ["slide", "side"], "vec_id", 300, 19)
     halves = ranking.half_split(drawn, ["slide", "side"], "vec_id", 23)
     return rounded(stats.separation(halves, ["slide"]), "accuracy")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import ranking, relational, sampling
+from gridloom.operators import order, ranking, relational, sampling
 from gridloom.plans.base import query
 from gridloom.plans.similarity import _DRAW
 
@@ -71,8 +71,8 @@ SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, p WHERE l_extend
 def percentile_band_filter(t):
     x = F.col("l_extendedprice")
     rows = t.lineitem.select("l_orderkey", "l_linenumber", x)
-    rows = relational.with_scalars(rows, F.percentile(x, 0.05).alias("lo"), F.percentile(x, 0.95).alias("hi"))
-    return rows.where((x > F.col("lo")) & (x < F.col("hi"))).drop("lo", "hi")
+    ends = order.quantiles(rows, x, {"lo": 0.05, "hi": 0.95}).drop("n")
+    return rows.join(F.broadcast(ends)).where((x > F.col("lo")) & (x < F.col("hi"))).drop("lo", "hi")
 
 
 @query(
@@ -131,10 +131,9 @@ SELECT l_linestatus, CASE WHEN l_discount >= a AND l_tax >= b THEN 'full' WHEN l
 FROM lineitem, p GROUP BY ALL"""
 )
 def threshold_bands(t):
-    cut = lambda c, flag: F.percentile(F.when(F.col("l_returnflag") == flag, F.col(c)), 0.95)
-    rows = relational.with_scalars(
-        t.lineitem.select("l_linestatus", "l_returnflag", "l_discount", "l_tax"), cut("l_discount", "N").alias("a"), cut("l_tax", "R").alias("b")
-    )
+    rows = t.lineitem.select("l_linestatus", "l_returnflag", "l_discount", "l_tax")
+    cut = lambda c, flag, name: order.quantiles(rows.where(F.col("l_returnflag") == flag), F.col(c), {name: 0.95}).drop("n")
+    rows = rows.join(F.broadcast(cut("l_discount", "N", "a"))).join(F.broadcast(cut("l_tax", "R", "b")))
     x, y = F.col("l_discount") >= F.col("a"), F.col("l_tax") >= F.col("b")
     band = F.when(x & y, "full").when(x | y, "partial").otherwise("none")
     return rows.groupBy("l_linestatus", band.alias("band")).agg(F.count("*").alias("n"))
@@ -160,7 +159,8 @@ def minmax_0_100(t):
 
 @query("SELECT o_orderkey, o_totalprice >= (SELECT median(o_totalprice) FROM orders) AS high FROM orders")
 def median_split_flag(t):
-    rows = relational.with_scalars(t.orders.select("o_orderkey", "o_totalprice"), F.median("o_totalprice").alias("m"))
+    middle = order.quantiles(t.orders, F.col("o_totalprice"), {"m": 0.5}).drop("n")
+    rows = t.orders.select("o_orderkey", "o_totalprice").join(F.broadcast(middle))
     return rows.select("o_orderkey", (F.col("o_totalprice") >= F.col("m")).alias("high"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.functions.vectors import cosine_distance
-from gridloom.operators import grid, objects, ranking, relational, stats, tiling, vectors
+from gridloom.operators import grid, objects, ranking, relational, spatial, stats, tiling, vectors
 from gridloom.sources import incremental, readers
 
 
@@ -191,7 +191,7 @@ def test_contiguity_control_claims_the_areas(spark):
 def test_ward_clusters_are_connected_and_numbered(spark):
     rows = [(0, r, c, [float(c >= 3) * 9, r * 0.01]) for r in range(5) for c in range(6)]
     df = spark.createDataFrame(rows, "slide int, r int, c int, embedding array<double>")
-    got = grid.constrained_clusters(df, [2, 4]).where("k = 2").collect()
+    got = spatial.constrained_clusters(df, [2, 4], least=30).where("k = 2").collect()
     assert {(x["c"] >= 3, x["cluster"]) for x in got} == {(False, 1), (True, 2)}
 
 
