@@ -379,3 +379,50 @@ def test_op9_reads_conversations(spark):
         (1, "turn-0"): ("instruct", "unanswered"), (1, "turn-1"): ("reply", "linked"), (1, "turn-3"): ("reply", "unanswered"), (1, "turn-4"): ("reply", "unanswered"),
         (1, "k"): ("add", "linked"), (2, "turn--1"): (None, "orphan"), (None, "turn-0"): ("reply", "unanswered"),
     }
+
+
+@pytest.mark.parametrize("stock_words", [12, 40, 44])
+def test_op6_exact_passages_whatever_else_shares_their_phrase(spark, stock_words):
+    """Families of two documents with a passage of 50 words, most of which is a phrase that all families have."""
+    rng = np.random.default_rng(stock_words)
+    stock, rows = prose(rng, stock_words, 10**6), []
+    side = (50 - stock_words) // 2
+    for i in range(60):
+        passage = f"{prose(rng, side, 10**6)} {stock} {prose(rng, 50 - stock_words - side, 10**6)}"
+        for j in range(2):
+            rows.append((2 * i + j, f"{prose(rng, 60, 10**6)} {passage} {prose(rng, 60, 10**6)}"))
+    got = passages.duplicate_passages(frame(spark, [(i, t, *[None] * 6) for i, t in rows])).collect()
+    held = {r["doc_id"]: (r["passage_doc"], r["passage_start"]) for r in got if r["start_word"] <= 60 and r["end_word"] >= 110}
+    assert set(held) == {i for i, _ in rows}
+    assert all(held[2 * i] == held[2 * i + 1] for i in range(60))
+
+
+def test_op6_matches_of_repeated_lines_stay_few(spark):
+    rng = np.random.default_rng(17)
+    line = prose(rng, 100, 10**6)
+    rows = [(i, "\n".join([line] * n), *[None] * 6) for i, n in enumerate((40, 90))]
+    tables = passages.window_table(frame(spark, rows), 5, 50, 4, "text", ["doc_id"])
+    windows = tables.select(F.col("doc_id").alias("id"), "n", F.inline("windows")).withColumn("multi", F.lit(True))
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    found = passages.matched_pairs(pairs, windows, 46, 4).collect()
+    most = max(windows.groupBy("id").count().toPandas()["count"])
+    assert len(found) == 1 and len(found[0]["matches"]) <= 2 * most
+    spans = passages.duplicate_passages(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in spans) == [(0, 0, 4000), (1, 0, 9000)]
+
+
+def test_op6_chains_of_edits(spark):
+    """Each document changes the one before a little; both neighbours of a link are found and share a class."""
+    rng = np.random.default_rng(19)
+    rows, chains = [], 20
+    for c in range(chains):
+        passage = prose(rng, 120, 10**6).split()
+        for j in range(4):
+            rows.append((10 * c + j, f"{prose(rng, 40, 10**6)} {' '.join(passage)} {prose(rng, 40, 10**6)}"))
+            passage[int(rng.integers(10, 110))] = f"changed{c}x{j}"
+    got = passages.duplicate_passages(frame(spark, [(i, t, *[None] * 6) for i, t in rows])).collect()
+    classes = collections.defaultdict(set)
+    for r in got:
+        classes[r["doc_id"] // 10].add((r["doc_id"], r["passage_doc"], r["passage_start"]))
+    whole = [c for c in range(chains) if {d for d, *_ in classes[c]} == {10 * c + j for j in range(4)} and len({x[1:] for x in classes[c]}) == 1]
+    assert len(whole) >= 0.95 * chains
