@@ -13,40 +13,30 @@ from gridloom.functions.vectors import as_doubles, cosine_distance, squared_dist
 
 #: Rows of a grid cell on each side, about.
 CELL_ROWS = 4096
+#: Rows that stand for cells of a pruned search, at most.
+PIVOTS = 512
 #: Decimals at which distances count as equal.
 DECIMALS = 12
 
 
-def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = CELL_ROWS) -> DataFrame:
-    """(query, rank, neighbour, dist): the ``k`` nearest other rows by cosine distance, exactly.
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a length over zero, and those rows at length 1."""
+    m = np.stack(vectors.to_numpy()).astype(float)
+    size = np.linalg.norm(m, axis=1)
+    return size > 0, m[size > 0] / size[size > 0, None]
 
-    Rows and queries are dealt to the cells of a grid with about ``rows`` of each;
-    a cell finds its k best for each query and a window picks the k best of all
-    cells. No task sees more than its cell and nothing is broadcast. Ties, at
-    DECIMALS, go to the smaller id. Rows with a null id or vector, or a vector of length
-    zero, take no part.
-    """
-    v = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), as_doubles(F.col(vector_col)).alias("v")
-    )
-    side = max(1, -(-v.count() // rows))
-    deal = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(side)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    stored = v.select(deal(1).alias("i"), every.alias("j"), "id", "v")
-    asked = v.select(every.alias("qi"), deal(2).alias("qj"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))  # names of its own
 
-    def unit(pdf: pd.DataFrame, id_: str, v: str) -> tuple[np.ndarray, np.ndarray]:
-        m = np.stack(pdf[v].to_numpy()).astype(float)
-        size = np.linalg.norm(m, axis=1)
-        return pdf[id_].to_numpy()[size > 0], m[size > 0] / size[size > 0, None]
+def _best_of_block(k: int):
+    """The k nearest stored rows (id, v) of each asked one (q_id, q_v), both of one block."""
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": [], "neighbour": [], "dist": []})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "neighbour": [], "dist": []})
-        ids, m = unit(left.sort_values("id", kind="stable"), "id", "v")
-        asks, q = unit(right, "q_id", "q_v")
-        out = []
-        for at in range(0, len(q), 512):
+            return none
+        left = left.sort_values("id", kind="stable")
+        (known, m), (ask, q) = _unit(left["v"]), _unit(right["q_v"])
+        ids, asks, out = left["id"].to_numpy()[known], right["q_id"].to_numpy()[ask], []
+        for at in range(0, len(q) if len(m) else 0, 512):
             dist = np.round(1.0 - q[at : at + 512] @ m.T, DECIMALS)
             dist[asks[at : at + 512, None] == ids[None, :]] = np.inf
             n = min(k, dist.shape[1])
@@ -55,13 +45,107 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "em
                 near = np.flatnonzero((row <= edge[i]) & np.isfinite(row))
                 near = near[np.argsort(row[near], kind="stable")][:n]
                 out.append((np.full(len(near), asks[at + i]), ids[near], row[near]))
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query", "neighbour", "dist"), zip(*out), strict=True)})
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query", "neighbour", "dist"), zip(*out), strict=True)}) if out else none
+
+    return cell
+
+
+_FOUND = "query long, neighbour long, dist double"
 
-    found = stored.groupBy("i", "j").cogroup(asked.groupBy("qi", "qj")).applyInPandas(cell, "query long, neighbour long, dist double")
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query").orderBy("dist", "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "dist")
 
 
+def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    known = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
+    return df.where(known).select(F.col(id_col).cast("long").alias("id"), as_doubles(F.col(vector_col)).alias("v"))
+
+
+def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = CELL_ROWS) -> DataFrame:
+    """(query, rank, neighbour, dist): the ``k`` nearest other rows by cosine distance, exactly.
+
+    Up to ``rows`` rows are one block; more are searched by ``pruned_search``. Ties, at DECIMALS, go to the smaller
+    id. Rows with a null id or vector, or a vector of length zero, take no part.
+    """
+    v = _vectors(df, id_col, vector_col)
+    if v.count() > rows:
+        return pruned_search(df, k, id_col, vector_col, rows)[0]
+    stored, asked = v.withColumn("i", F.lit(0)), v.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.lit(0).alias("qi"))
+    return _ranked(stored.groupBy("i").cogroup(asked.groupBy("qi")).applyInPandas(_best_of_block(k), _FOUND), k)
+
+
+def pruned_search(
+    df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = CELL_ROWS, pivots: int = PIVOTS
+) -> tuple[DataFrame, DataFrame]:
+    """``nearest``'s rows, and the pairs of blocks (asking, block) that met for them.
+
+    At most ``pivots`` rows, drawn by hash, stand for cells; a row belongs to its nearest pivot's cell, and large cells are dealt to
+    blocks of about ``rows``. A query first asks its own cell. On unit vectors the triangle inequality then bounds
+    what another cell can hold: a cell whose pivot is further than its radius and the query's k-th distance together has
+    nothing nearer, and its blocks never meet the query. Clustered rows leave most blocks unmet; rows without
+    clusters meet all of them, as an exact search must. The driver sees the pivots, and a row for each cell.
+    """
+    v = _vectors(df, id_col, vector_col)
+    n = v.count()
+    wanted = max(1, min(pivots, -(-4 * n // rows)))  # more cells than blocks: small radii prune more
+    drawn = v.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).toPandas()  # at most ``pivots`` rows
+    if not len(drawn):
+        empty = v.sparkSession.createDataFrame([], _FOUND)
+        return _ranked(empty, k), v.sparkSession.createDataFrame([], "asking long, block long")
+    centre = _unit(drawn["v"])[1]
+
+    def assign(batches):
+        for pdf in batches:
+            known, m = _unit(pdf["v"])
+            gap = np.sqrt(np.maximum(2 - 2 * m @ centre.T, 0))
+            cell = gap.argmin(axis=1)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[known], "v": pdf["v"].to_numpy()[known], "cell": cell.astype(np.int32), "gap": gap[np.arange(len(m)), cell]})
+
+    placed = v.mapInPandas(assign, "id long, v array<double>, cell int, gap double")
+    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()}  # at most ``pivots``
+    parts = [-(-cells[c]["n"] // rows) if c in cells else 0 for c in range(len(centre))]
+    sizes = np.array([cells[c]["n"] if c in cells else 0 for c in range(len(centre))])
+    radius = np.array([cells[c]["r"] if c in cells else -np.inf for c in range(len(centre))])
+    of_cell = lambda c: F.get(F.array(*[F.lit(p) for p in parts]), c)
+    block = lambda c, part: F.shiftleft(c.cast("long"), 32) + part
+    own = block(F.col("cell"), F.pmod(F.xxhash64("id"), of_cell(F.col("cell")).cast("long")))
+    stored = placed.select("id", "v", "cell", own.alias("block"))
+    asked = stored.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("cell").alias("to"), F.col("block").alias("asking"))
+
+    def meet(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What queries find in the blocks of the cells ``to``, and the blocks that meet."""
+        parts_of = F.explode(F.sequence(F.lit(0), of_cell(F.col("to")) - 1)).alias("part")
+        asked = asked.select("q_id", "q_v", "asking", "to", parts_of).select("q_id", "q_v", "asking", block(F.col("to"), F.col("part")).alias("asked"))
+        met = asked.select("asking", F.col("asked").alias("block")).distinct()
+        held = stored.join(met, "block").select("id", "v", F.col("asking").alias("by"), "block")
+        return held.groupBy("by", "block").cogroup(asked.groupBy("asking", "asked")).applyInPandas(_best_of_block(k), _FOUND), met
+
+    first, met = meet(asked)
+    reach = first.groupBy("query").agg(F.slice(F.array_sort(F.collect_list("dist")), 1, k).alias("d"))
+    reach = reach.select(F.col("query").alias("q_id"), F.when(F.size("d") == k, F.element_at("d", -1)).alias("reach"))
+
+    def others(batches):
+        for pdf in batches:
+            m = _unit(pdf["q_v"])[1]
+            gap = np.sqrt(np.maximum(2 - 2 * m @ centre.T, 0))
+            far = np.sqrt(2 * np.maximum(pdf["reach"].fillna(2.0).to_numpy(), 0))  # 2 is the largest distance
+            # cells whose furthest rows are near enough to hold k others bound the k-th distance too
+            most = gap + radius[None]
+            by = most.argsort(axis=1)
+            enough = sizes[by].cumsum(axis=1) > k
+            bound = np.take_along_axis(most, np.take_along_axis(by, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+            far = np.minimum(far, np.where(enough[:, -1], bound, np.inf)) + 1e-6
+            open_ = gap - radius[None] <= far[:, None]
+            open_[np.arange(len(m)), pdf["to"].to_numpy()] = False
+            yield pdf[["q_id", "q_v", "asking"]].assign(to=[np.flatnonzero(x).astype(np.int32) for x in open_])
+
+    more = asked.join(reach, "q_id", "left").mapInPandas(others, "q_id long, q_v array<double>, asking long, to array<int>")
+    second, also = meet(more.withColumn("to", F.explode("to")))
+    return _ranked(first.unionByName(second), k), met.unionByName(also)
+
+
 def nearest_by_relation(
     df: DataFrame, classes: list[str], id_col: str = "vec_id", vector_col: str = "embedding", rows: int = CELL_ROWS
 ) -> DataFrame:

@@ -186,3 +186,26 @@ def test_linear_machine_is_optimal(seed):
     for _ in range(3000):
         move, turn = rng.normal(size=4) * 10 ** rng.uniform(-6, 0), rng.normal() * 10 ** rng.uniform(-6, 0)
         assert loss(w + move, b + turn) >= best - 1e-6
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_pruned_neighbours(spark, clustered):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(12, 8)) * (40 if clustered else 0)
+    m = np.vstack([c + rng.normal(size=(30, 8)) for c in centre])
+    m[7] = m[8]  # equal vectors
+    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(900, [0.0] * 8), (901, None), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    dist = np.round(1 - u @ u.T, vectors.DECIMALS)
+    np.fill_diagonal(dist, np.inf)
+    order_ = [sorted(range(len(m)), key=lambda j: (row[j], j))[:5] for row in dist]
+    want = sorted((i, r + 1, j) for i, near in enumerate(order_) for r, j in enumerate(near))
+    found, met = vectors.pruned_search(df, 5, rows=30)
+    assert sorted((r["query"], r["rank"], r["neighbour"]) for r in found.collect()) == want
+    blocks = met.select("block").distinct().count()
+    share = met.distinct().count() / blocks**2
+    assert share < 0.5 if clustered else share > 0.5
+    assert sorted((r["query"], r["rank"], r["neighbour"]) for r in vectors.nearest(df, 5, rows=100).collect()) == want
+    assert sorted((r["query"], r["rank"], r["neighbour"]) for r in vectors.nearest(df, 5).collect()) == want
+    assert vectors.nearest(df.limit(0), 5).count() == 0 == vectors.pruned_search(df.limit(0), 5)[0].count()
