@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,12 @@ def shard(ix: Column, shards: int) -> Column:
 
 
 def distant_pairs(cells: DataFrame, id_col: str, least: float, attempts: int, seed: int) -> DataFrame:
-    """(slide, id, other, attempt): for each cell the first drawn cell of its slide that is far enough, if any is."""
+    """(slide, id, other, attempt): for each cell the first drawn cell of its slide that is far enough.
+
+    After ``attempts`` draws it is the one with the smallest key among all that are (attempt is null), so only a cell
+    without any has no row. Rows with a null id or place take no part.
+    """
+    cells = cells.where(F.col("slide").isNotNull() & F.col(id_col).isNotNull() & F.col("r").isNotNull() & F.col("c").isNotNull())
     ranked = cells.select(
         "slide", F.col(id_col).alias("other"), F.col("r").alias("r2"), F.col("c").alias("c2"),
         (F.row_number().over(Window.partitionBy("slide").orderBy(id_col)) - 1).cast("long").alias("_k"),
@@ -41,7 +48,37 @@ def distant_pairs(cells: DataFrame, id_col: str, least: float, attempts: int, se
     tries = tries.withColumn("_k", F.pmod(draw_key(seed, F.col(id_col), F.col("attempt")), F.col("_n"))).join(ranked, ["slide", "_k"])
     far = (F.col("r") - F.col("r2")) * (F.col("r") - F.col("r2")) + (F.col("c") - F.col("c2")) * (F.col("c") - F.col("c2")) >= least * least
     best = tries.where(far).groupBy("slide", F.col(id_col).alias("id")).agg(F.min(F.struct("attempt", "other")).alias("b"))
-    return best.select("slide", "id", "b.other", "b.attempt")
+    best = best.select("slide", "id", "b.other", "b.attempt")
+    unmet = cells.join(best.select("slide", F.col("id").alias(id_col)), ["slide", id_col], "left_anti")
+    all_ = unmet.select("slide", F.col(id_col), "r", "c").join(ranked.drop("_k"), "slide").where(far)  # pairs inside a slide, of what draws miss
+    key = F.struct(draw_key(seed, F.col(id_col), F.col("other"), F.lit("rest")), "other")
+    rest = all_.groupBy("slide", F.col(id_col).alias("id")).agg(F.min_by("other", key).alias("other"))
+    return best.unionByName(rest.withColumn("attempt", F.lit(None).cast("int")))
+
+
+def patch_centres(cells: DataFrame, keys: list[str], side: int, most: int, overlap: float, scale: int = 1, seed: int = 0) -> DataFrame:
+    """(keys, pick, y, x): centres of patches of ``side`` cells in regions (keys, r, c), in pixels of ``scale`` a cell.
+
+    A region gets ``patch_budget`` of its cells, each drawn with replacement: the draw's key is a rank among the region's cells by row and column.
+    With a ``scale`` over 1 a centre is moved by up to half a cell. Rows that repeat a cell count once; regions too small for
+    one patch have no rows, nor have rows with a null key or place.
+    """
+    known = [F.col(k).isNotNull() for k in (*keys, "r", "c")]
+    cells = cells.where(reduce(Column.__and__, known)).select(*keys, "r", "c").distinct()
+    ranked = cells.withColumn("_k", (F.row_number().over(Window.partitionBy(*keys).orderBy("r", "c")) - 1).cast("long"))
+    budget = cells.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_b", patch_budget(F.col("_n"), side, most, overlap)).where("_b > 0")
+    picks = budget.withColumn("pick", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    drawn = lambda *what: draw_key(seed, *[F.col(k) for k in keys], F.col("pick"), *[F.lit(w) for w in what])
+    picks = picks.withColumn("_k", F.pmod(drawn("cell"), F.col("_n"))).join(ranked, [*keys, "_k"])
+    half = round(scale / 2)
+    at = lambda c, axis: F.col(c).cast("long") * scale + (F.pmod(drawn(axis), F.lit(half)) - half if scale > 1 else 0)
+    return picks.select(*keys, "pick", at("r", "y").cast("int").alias("y"), at("c", "x").cast("int").alias("x"))
+
+
+def inner_cells(cells: DataFrame, height: int, width: int, side: int) -> DataFrame:
+    """``cells`` (.., r, c) whose patch of ``side`` cells stays inside a raster of that size."""
+    half = side // 2
+    return cells.where(F.col("r").between(half, height - 1 - half) & F.col("c").between(half, width - 1 - half))
 
 
 def patch_budget(area: Column, size: int, most: int, overlap: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,28 @@ def tile_plan(
     return rows.select("tile_id", *cols, batches.alias("batch"))
 
 
+def slide_tiles(slides: DataFrame, keys: list[str], shape: tuple[str, ...], tile: tuple[int, ...], overlap=0, batch: int = 0, drop_last: bool = False) -> DataFrame:
+    """(keys, tile_id, p0.., s0.., e0.., pad0.., batch): ``tile_plan`` with padding, for each of ``slides``, whose columns ``shape`` are its sizes.
+
+    Slides with a null or no size have no tiles. ``batch`` numbers a slide's full batches; ``drop_last`` leaves out the tiles of one that isn't.
+    """
+    if len(shape) != len(tile) or not shape or any(t <= 0 for t in tile) or batch < 0:
+        raise ValueError("a tile must be positive and have the slides' axes, the batch not be negative")
+    step = step_sizes(tile, overlap)
+    counts = {f"_n{i}": F.greatest(F.ceil((F.col(n) - (t - s)) / s), F.lit(1)).cast("long") for i, (n, t, s) in enumerate(zip(shape, tile, step, strict=True))}
+    rows = slides.where(reduce(Column.__and__, [F.col(n) > 0 for n in shape])).withColumns(counts)
+    total = reduce(Column.__mul__, [F.col(n) for n in counts])
+    last = F.floor(total / batch) * batch if batch and drop_last else total
+    rows = rows.where(last > 0).withColumn("tile_id", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    cols, below = [], F.lit(1).cast("long")
+    for i in reversed(range(len(shape))):
+        place = F.pmod(F.call_function("div", F.col("tile_id"), below), F.col(f"_n{i}")).cast("int")
+        end = place * step[i] + tile[i]
+        cols[:0] = [place.alias(f"p{i}"), (place * step[i]).alias(f"s{i}"), end.alias(f"e{i}"), F.greatest(end - F.col(shape[i]), F.lit(0)).cast("int").alias(f"pad{i}")]
+        below = below * F.col(f"_n{i}")
+    return rows.select(*keys, "tile_id", *cols, (F.call_function("div", F.col("tile_id"), F.lit(batch)) if batch else F.lit(None)).cast("long").alias("batch"))
+
+
 def source_index(i: Column, n: int, mode: str) -> Column:
     """Which cell of 0 to n - 1 stands at place ``i``; null where a constant does."""
     if mode == "edge":

@@ -154,6 +154,26 @@ def rasterised_polygons(t):
     return grid.rasterise(rings)
 
 
+@query(
+    """WITH ring AS (SELECT p_partkey AS id, p_size::DOUBLE AS n, (p_partkey % 7)::INTEGER AS label, CASE WHEN p_partkey % 5 = 0 THEN '-' ELSE '+' END AS sign FROM part),
+edges AS (SELECT id, label, sign, unnest([0.0, n, n + 2, 1.0]::DOUBLE[]) AS x1, unnest([0.0, 1.0, n / 2 + 3, n]::DOUBLE[]) AS y1,
+    unnest([n, n + 2, 1.0, 0.0]::DOUBLE[]) AS x2, unnest([1.0, n / 2 + 3, n, 0.0]::DOUBLE[]) AS y2 FROM ring
+  UNION ALL SELECT id, label, sign, unnest([2.0, n / 2, n / 2]::DOUBLE[]), unnest([2.0, 2.0, n / 2 + 1]::DOUBLE[]),
+    unnest([n / 2, n / 2, 2.0]::DOUBLE[]), unnest([2.0, n / 2 + 1, 2.0]::DOUBLE[]) FROM ring WHERE n > 8),
+cell AS (SELECT r::INTEGER AS r, c::INTEGER AS c FROM range(0, 60) a(r), range(0, 60) b(c)),
+hit AS (SELECT id, label, sign, r, c, count(*) FILTER ((y1 > r + 0.5) <> (y2 > r + 0.5) AND c + 0.5 < (x2 - x1) * (r + 0.5 - y1) / nullif(y2 - y1, 0) + x1) AS k
+  FROM edges, cell GROUP BY ALL HAVING k % 2 = 1)
+SELECT (id % 40)::INTEGER AS slide, r, c, arg_max(label, id) AS label FROM hit GROUP BY 1, 2, 3 HAVING NOT bool_or(sign = '-')"""
+)
+def rasterised_signed_regions(t):
+    n, k = F.col("p_size").cast("double"), F.col("p_partkey")
+    named = [(k % 40).cast("int").alias("slide"), k.alias("region_ix"), (k % 7).cast("int").alias("label"), F.when(k % 5 == 0, "-").otherwise("+").alias("sign")]
+    ring = lambda xs, ys: [F.array(*xs).alias("xs"), F.array(*ys).alias("ys")]
+    outer = t.part.select(*named, *ring((F.lit(0.0), n, n + 2, F.lit(1.0)), (F.lit(0.0), F.lit(1.0), n / 2 + 3, n)))
+    holes = t.part.where("p_size > 8").select(*named, *ring((F.lit(2.0), n / 2, n / 2), (F.lit(2.0), F.lit(2.0), n / 2 + 1)))
+    return grid.rasterise(outer.unionByName(holes))
+
+
 @query(
     f"""WITH {_SIDE}, n AS (SELECT a.slide, a.r, a.c, count(*) AS n FROM grid a JOIN sides b
   ON a.slide = b.slide AND b.label = 2 AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL)
@@ -175,13 +195,23 @@ def smoothed_response_class(t):
     return grid.smoothed_argmax(cells, "s", [0.25, 0.5, 0.25])
 
 
+#: Slides whose sizes come from a table: a nation's customers and suppliers.
+_SIZES = """sizes AS (SELECT c_nationkey AS slide, (20 + count(*))::INTEGER AS h, (15 + count(*) // 2)::INTEGER AS w FROM customer GROUP BY 1),
+n AS (SELECT *, greatest(ceil((h - 2) / 6), 1)::BIGINT AS n0, greatest(ceil((w - 3) / 9), 1)::BIGINT AS n1 FROM sizes)"""
+
+
+def _sizes(t):
+    half = F.call_function("div", F.count("*"), F.lit(2))
+    return t.customer.groupBy(F.col("c_nationkey").alias("slide")).agg((F.count("*") + 20).cast("int").alias("h"), (half + 15).cast("int").alias("w"))
+
+
 @query(
-    """SELECT i::BIGINT AS tile_id, (i // 3)::INTEGER AS p0, (i // 3 * 6)::INTEGER AS s0, (i // 3 * 6 + 8)::INTEGER AS e0, greatest(i // 3 * 6 + 8 - 25, 0)::INTEGER AS pad0,
-  (i % 3)::INTEGER AS p1, (i % 3 * 9)::INTEGER AS s1, (i % 3 * 9 + 12)::INTEGER AS e1, greatest(i % 3 * 9 + 12 - 30, 0)::INTEGER AS pad1, i // 5 AS batch
-FROM range(0, 12) r(i)"""
+    f"""WITH {_SIZES}, p AS (SELECT slide, h, w, n1, unnest(range(n0 * n1)) AS i FROM n)
+SELECT slide, i AS tile_id, (i // n1)::INTEGER AS p0, (i // n1 * 6)::INTEGER AS s0, (i // n1 * 6 + 8)::INTEGER AS e0, greatest(i // n1 * 6 + 8 - h, 0)::INTEGER AS pad0,
+  (i % n1)::INTEGER AS p1, (i % n1 * 9)::INTEGER AS s1, (i % n1 * 9 + 12)::INTEGER AS e1, greatest(i % n1 * 9 + 12 - w, 0)::INTEGER AS pad1, i // 5 AS batch FROM p"""
 )
 def tile_plan(t):
-    return tiling.tile_plan(t.spark, (25, 30), (8, 12), (2, 3), batch=5)
+    return tiling.slide_tiles(_sizes(t), ["slide"], ("h", "w"), (8, 12), (2, 3), batch=5)
 
 
 def _values(t):
@@ -254,22 +284,42 @@ def tile_merge_logits(t):
 
 
 @query(
-    """SELECT i::BIGINT AS tile_id, (i // 3)::INTEGER AS p1, (i // 3 * 6)::INTEGER AS s1, (i % 3)::INTEGER AS p2, 0 AS s0, 3 AS e0, i // 5 AS batch FROM range(0, 10) r(i)"""
+    f"""WITH {_SIZES}, p AS (SELECT slide, n1, unnest(range(n0 * n1 // 7 * 7)) AS i FROM n)
+SELECT slide, i AS tile_id, (i // n1)::INTEGER AS p0, (i % n1)::INTEGER AS p1, i // 7 AS batch FROM p"""
 )
 def tile_batches(t):
-    plan = tiling.tile_plan(t.spark, (3, 25, 30), (3, 8, 12), (2, 3), batch=5, channel=0, drop_last=True)
-    return plan.select("tile_id", "p1", "s1", "p2", "s0", "e0", "batch")
+    plan = tiling.slide_tiles(_sizes(t), ["slide"], ("h", "w"), (8, 12), (2, 3), batch=7, drop_last=True)
+    return plan.select("slide", "tile_id", "p0", "p1", "batch")
+
+
+def _cosines(*a: float) -> str:
+    return " + ".join(f"{(-1) ** k * x} * cos({2 * k} * pi() * i / 36)" for k, x in enumerate(a))
+
+
+_WINDOW_SQL = {
+    "bartlett": "1 - abs(2 * i / 36.0 - 1)",
+    "hann": _cosines(0.5, 0.5),
+    "hamming": _cosines(0.54, 0.46),
+    "blackman": _cosines(0.42, 0.5, 0.08),
+    "nuttall": _cosines(0.3635819, 0.4891775, 0.1365995, 0.0106411),
+    "blackmanharris": _cosines(0.35875, 0.48829, 0.14128, 0.01168),
+    "triang": "1 - abs(i - 18) * 2 / 38.0",
+    "barthann": "0.62 - 0.48 * abs(i / 36.0 - 0.5) + 0.38 * cos(2 * pi() * abs(i / 36.0 - 0.5))",
+    "bohman": "CASE WHEN i IN (0, 36) THEN 0 ELSE (1 - abs(i / 18.0 - 1)) * cos(pi() * abs(i / 18.0 - 1)) + sin(pi() * abs(i / 18.0 - 1)) / pi() END",
+    "parzen": "CASE WHEN abs(i - 18) <= 9 THEN 1 - 6 * (abs(i - 18) / 18.5) ** 2 + 6 * (abs(i - 18) / 18.5) ** 3 ELSE 2 * (1 - abs(i - 18) / 18.5) ** 3 END",
+    "boxcar": "1",
+}
 
 
 @query(
-    """SELECT i::INTEGER AS i, round(1 - abs(2 * i / 8.0 - 1), 6) AS bartlett, round(0.5 - 0.5 * cos(2 * pi() * i / 8), 6) AS hann,
-  round(0.42 - 0.5 * cos(2 * pi() * i / 8) + 0.08 * cos(4 * pi() * i / 8), 6) + 0.0 AS blackman, round(1 - abs(i - 4) * 2 / 10.0, 6) AS triang,
-  round(0.62 - 0.48 * abs(i / 8.0 - 0.5) + 0.38 * cos(2 * pi() * abs(i / 8.0 - 0.5)), 6) AS barthann FROM range(9) r(i)"""
+    "WITH v AS (SELECT (p_partkey // 37)::INTEGER AS run, (p_partkey % 37)::INTEGER AS i, p_retailprice AS v FROM part) SELECT run, "
+    + ", ".join(f"round(sum(v * ({e})), 4) AS {n}" for n, e in _WINDOW_SQL.items())
+    + " FROM v GROUP BY run"
 )
 def window_values(t):
-    i = F.col("id").cast("int")
-    names = ("bartlett", "hann", "blackman", "triang", "barthann")
-    return t.spark.range(9).select(i.alias("i"), *[F.round(tiling.window(n, i, 9), 6).alias(n) for n in names])
+    i = (F.col("p_partkey") % 37).cast("int")
+    rows = t.part.select(F.floor(F.col("p_partkey") / 37).cast("int").alias("run"), i.alias("i"), F.col("p_retailprice").alias("v"))
+    return rows.groupBy("run").agg(*[F.round(F.sum(F.col("v") * tiling.window(n, F.col("i"), 37)), 4).alias(n) for n in _WINDOW_SQL])
 
 
 @query(

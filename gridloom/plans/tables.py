@@ -54,9 +54,9 @@ def positional_keys_as_join(t):
     return rows.agg(F.round(F.sum(F.col("l_quantity") - F.col("before")), 6).alias("step"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) > 50)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 15)")
 def group_size_filter_strict(t):
-    return relational.group_size_filter(t.documents.select("doc_id", "source"), ["source"], 50, inclusive=False)
+    return relational.group_size_filter(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"], 15, inclusive=False)
 
 
 @query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 50)")
@@ -402,8 +402,12 @@ def paired_batch_sampler(t):
     f"""WITH g AS (SELECT vec_id // 100 AS slide, (vec_id % 100) // 10 AS r, vec_id % 10 AS c, vec_id, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1 AS k,
   count(*) OVER (PARTITION BY vec_id // 100) AS n FROM embeddings),
 t AS (SELECT a.slide, a.vec_id AS id, b.vec_id AS other, i FROM g a, range(6) x(i) JOIN g b ON b.slide = a.slide AND b.k = {_DRAW.format("'41|' || a.vec_id || '|' || i")} % a.n
-  WHERE (a.r - b.r) ** 2 + (a.c - b.c) ** 2 >= 25)
-SELECT slide::INTEGER AS slide, id, other, i::INTEGER AS attempt FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1"""
+  WHERE (a.r - b.r) ** 2 + (a.c - b.c) ** 2 >= 25),
+m AS (SELECT slide, id, other, i FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1),
+rest AS (SELECT a.slide, a.vec_id AS id, b.vec_id AS other FROM g a JOIN g b ON a.slide = b.slide
+  WHERE (a.r - b.r) ** 2 + (a.c - b.c) ** 2 >= 25 AND a.vec_id NOT IN (SELECT id FROM m)
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DRAW.format("'41|' || a.vec_id || '|' || b.vec_id || '|rest'")}, b.vec_id) = 1)
+SELECT slide::INTEGER AS slide, id, other, i::INTEGER AS attempt FROM m UNION ALL SELECT slide::INTEGER, id, other, NULL FROM rest"""
 )
 def distant_pair_draws(t):
     return sampling.distant_pairs(t.grid(), "vec_id", 5.0, 6, 41)
@@ -414,6 +418,21 @@ def sampler_shards(t):
     return t.embeddings.select("vec_id", sampling.shard(F.col("vec_id"), 3).alias("shard"))
 
 
+@query(
+    f"""WITH cells AS (SELECT (vec_id // 100)::INTEGER AS slide, label, ((vec_id % 100) // 10)::INTEGER AS r, (vec_id % 10)::INTEGER AS c FROM embeddings),
+inner_ AS (SELECT * FROM cells WHERE r BETWEEN 1 AND 8 AND c BETWEEN 1 AND 8),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY slide, label ORDER BY r, c) - 1 AS k, count(*) OVER (PARTITION BY slide, label) AS n FROM inner_),
+budget AS (SELECT slide, label, n, least(5, floor(n * 1.5 / 4))::INTEGER AS b FROM ranked GROUP BY ALL),
+picks AS (SELECT slide, label, n, unnest(range(b)) AS pick FROM budget WHERE b > 0)
+SELECT p.slide, p.label, pick::INTEGER AS pick, (r * 16 + {_DRAW.format("'47|' || p.slide || '|' || p.label || '|' || pick || '|y'")} % 8 - 8)::INTEGER AS y,
+  (c * 16 + {_DRAW.format("'47|' || p.slide || '|' || p.label || '|' || pick || '|x'")} % 8 - 8)::INTEGER AS x
+FROM picks p JOIN ranked ON ranked.slide = p.slide AND ranked.label = p.label AND ranked.k = {_DRAW.format("'47|' || p.slide || '|' || p.label || '|' || pick || '|cell'")} % p.n"""
+)
+def patch_centres(t):
+    cells = sampling.inner_cells(t.grid().select("slide", "label", "r", "c"), 10, 10, 2)
+    return sampling.patch_centres(cells, ["slide", "label"], 2, 5, 0.5, 16, 47)
+
+
 @query("SELECT p_partkey, least(200, floor(p_retailprice * 100 * 1.5 / (224 * 224)))::INTEGER AS n FROM part")
 def patch_budgets(t):
     return t.part.select("p_partkey", sampling.patch_budget(F.col("p_retailprice") * 100, 224, 200, 0.5).alias("n"))

@@ -25,12 +25,13 @@ def write_store(df: DataFrame, path: str, keys: list[str], properties: dict[str,
 
 
 def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first of the Parquet stores that can be read; an error if none can."""
+    """The first of the Parquet stores that is there; an error if none is, or if one is there and can't be read."""
     for path in paths[:-1]:
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     return spark.read.parquet(paths[-1])
 
 
@@ -69,7 +70,7 @@ def patches(
     if classes is None:
         names = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("_name")).distinct()
         ids = names.withColumn("label_id", (F.row_number().over(Window.orderBy("_name")) - 1).cast("int"))  # distinct labels only
-        return rows.join(F.broadcast(ids), F.col(label) == F.col("_name")).drop("_name")
+        return rows.join(ids, F.col(label) == F.col("_name")).drop("_name")
     known = F.array_position(F.lit(sorted(set(classes))), F.col(label))
     found: Column = F.when(known > 0, (known - 1).cast("int"))
     if strict:
@@ -85,8 +86,8 @@ def folds(spark: SparkSession, path: str, fold: int) -> dict[str, DataFrame]:
 
 
 def sample_patches(patches_: DataFrame, samples: DataFrame, slide: str = "slide", punch: str = "label") -> DataFrame:
-    """Patches with the metadata of their sample, where it was measured and isn't normal tissue."""
-    wanted = samples.where("rna_map_rate IS NOT NULL AND location <> 'Normal'")
+    """Patches with the metadata of their sample, where it was measured and isn't normal tissue; a null location isn't."""
+    wanted = samples.where(F.col("rna_map_rate").isNotNull() & ~F.col("location").eqNullSafe("Normal"))
     return patches_.join(wanted, (patches_[slide] == wanted["patient_id"]) & (patches_[punch] == wanted["punch_id"]))
 
 
