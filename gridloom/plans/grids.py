@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid, objects, ranking, relational, spatial, tiling
 from gridloom.plans.base import GRID, query
 from gridloom.plans.similarity import _DRAW
+from gridloom.sources import slides
 
 _SIDE = f"{GRID}, sides AS (SELECT slide, r, c, vec_id, CASE WHEN label < 5 THEN 2 ELSE 1 END AS label FROM grid)"
 
@@ -331,6 +333,20 @@ def tessellation_reassembly(t):
     return tiling.cropped(tiling.reassembled(rows, 3, 4), 1224, 800, 224, 100)
 
 
+@query(
+    f"""WITH {GRID}, px AS (SELECT slide, unnest(range(greatest(ceil((r - 3) / 4.0), 0)::INTEGER, least(r // 4, 2) + 1)) AS pr, r, c, label FROM grid),
+p AS (SELECT slide, pr, unnest(range(greatest(ceil((c - 3) / 4.0), 0)::INTEGER, least(c // 4, 2) + 1)) AS pc, label FROM px)
+SELECT slide, pr::INTEGER AS r, pc::INTEGER AS c, round(sum(label) / 16.0::DOUBLE, 4) AS mean, max(label)::DOUBLE AS most FROM p GROUP BY ALL"""
+)
+def tessellated_inference(t):
+    cells = t.grid().select("slide", F.col("r").alias("y"), F.col("c").alias("x"), F.col("label").alias("v"))
+    sizes = cells.groupBy("slide").agg(F.lit(10).alias("height"), F.lit(10).alias("width"))
+    model = lambda: lambda m: np.column_stack([m.mean(axis=1), m.max(axis=1)])
+    out = slides.tessellated_pixels(cells, sizes, 4, 4, model)
+    profile = F.transform("profile", lambda x: F.round(x.cast("double"), 4))
+    return out.select("slide", "r", "c", profile[0].alias("mean"), profile[1].alias("most"))
+
+
 _PIXELS = f"WITH {GRID}, px AS (SELECT slide, label, r, c, embedding[1] AS act, (vec_id % 3)::INTEGER AS kind FROM grid)"
 
 
