@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Sources whose rates may be broadcast at most; beyond that the join is shuffled and salted.
 BROADCAST_SOURCES = 10_000
-#: The largest mean rate whose distribution a double can hold from its lower end; larger ones are sums of draws. The
-#: most rows to aim at, as a multiple of those there are.
+#: The largest mean rate whose distribution a double can hold from its lower end; larger ones are sums of draws.
 MAX_RATE = 500.0
 SALTS = 64
+#: Copies of a row that are exploded at a time.
+CHUNK = 1 << 16
 SEED = 29
 #: Without weights, a source's weight is its number of rows to this power.
 POWER = 0.5
@@ -80,17 +83,13 @@ def mix(
     replaced. The draw is seeded by the id, so rows that repeat an id are drawn
     alike; a row with a null id is seeded by its other columns. Empty input gives no rows. A source
     may have any rate: one over MAX_RATE is drawn as the sum of equal parts, each
-    with a number of its own. A ``total`` over MAX_RATE times the rows, the mean
-    rate of all, raises an error.
+    with a number of its own, and copies come in runs of at most CHUNK, so any ``total`` can be aimed at.
     """
     rates = source_rates(docs, source_col, weights, total, power)
-    if total is not None:
-        mean = F.sum(F.col("n") * F.col("rate")) > MAX_RATE * F.sum("n")
-        if rates.agg(mean.alias("over")).first()["over"]:
-            raise ValueError(f"a mean rate is over {MAX_RATE:g}")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int")
     rates = rates.select(F.col("source").alias("__mix_source"), parts.alias("__mix_parts"), (F.col("rate") / parts).alias("__mix_rate"))
-    rates = rates.withColumn("__mix_steps", poisson_steps(F.col("__mix_rate"))).cache()
+    rates = rates.withColumn("__mix_steps", poisson_steps(F.col("__mix_rate")))
+    rates = staged(rates)  # a row a source
     docs = docs.drop("copy", "shuffle_key")
     content = F.concat(F.lit("row "), F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
     own = F.when(F.col(id_col).isNull(), content).otherwise(F.col(id_col).cast("string"))
@@ -107,7 +106,10 @@ def mix(
     further = F.when(F.col("__mix_parts") > 1, F.sequence(F.lit(2), F.col("__mix_parts"))).otherwise(F.array().cast("array<int>"))
     n = F.aggregate(further, draw(uniform(seed, own)), lambda acc, k: acc + draw(uniform(seed, own, F.lit("part"), k)))
     drawn = joined.withColumn("__mix_n", n).drop("__mix_steps", "__mix_parts", "__mix_rate", "__mix_source")
-    copies = drawn.where("__mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).drop("__mix_n")
+    runs = F.explode(F.sequence(F.lit(1), F.col("__mix_n"), F.lit(CHUNK)))
+    copies = drawn.where("__mix_n > 0").withColumn("__mix_run", runs)
+    one = F.sequence(F.col("__mix_run"), F.least(F.col("__mix_n"), F.col("__mix_run") + (CHUNK - 1)))
+    copies = copies.withColumn("copy", F.explode(one)).drop("__mix_n", "__mix_run")
     keyed = copies.withColumn("shuffle_key", uniform(seed + 1, own, F.col("copy")))
     # a hashed deal by a uniform key and a sort within each part: a global shuffle with one exchange
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

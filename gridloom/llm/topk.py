@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Vectors and queries of a cell at most, about, and vectors of a cell at least where there are more tasks than full cells.
 CELL_VECTORS = 1 << 16
 CELL_QUERIES = 1 << 14
+#: Bytes of a cell's vectors, and of its queries, at most, about: wide vectors make smaller cells.
+CELL_BYTES = 1 << 25
 LEAST_VECTORS = 1 << 12
 #: Queries that are scored together.
 BLOCK = 64
@@ -139,19 +141,21 @@ def top_k(
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max(F.size("v")).alias("d")).first()
     n, nq, dims = sizes["n"] or 0, sizes["q"] or 0, sizes["d"] or 0
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    height = max(1, -(-n // CELL_VECTORS), min(tasks, -(-n // LEAST_VECTORS)))
-    width = max(1, -(-nq // CELL_QUERIES))
+    held = max(1, CELL_BYTES // (8 * max(1, dims)))
+    height = max(1, -(-n // min(CELL_VECTORS, held)), min(tasks, -(-n // LEAST_VECTORS)))
+    width = max(1, -(-nq // min(CELL_QUERIES, held)))
     row, col = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(height)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(width))
     each = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
     of_vectors = rows.select(row.cast("int").alias("r"), each(width).alias("c"), "id", "v")
-    of_queries = rows.where("is_query").distinct().select(col.cast("int").alias("c"), each(height).alias("r"), "id", "v")
+    asked = rows.where("is_query").distinct().select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), col.cast("int").alias("qc"))
+    of_queries = asked.select("qc", each(height).alias("qr"), "q_id", "q_v")  # names of its own
 
     def cell(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         vectors = vectors.sort_values("id", kind="stable", ignore_index=True)
         queries = queries.reset_index(drop=True)
-        ids, qids, found = vectors["id"].to_numpy(), queries["id"].to_numpy(), []
+        ids, qids, found = vectors["id"].to_numpy(), queries["q_id"].to_numpy(), []
         if len(ids) and len(qids):
-            m = matrix(queries["v"], dims)
+            m = matrix(queries["q_v"], dims)
             which = pd.util.hash_array(np.array([x.tobytes() for x in m], dtype=object)).astype(np.int64)
             v, q = whole_numbers(matrix(vectors["v"], dims), m)
             index = Index(v)
@@ -165,7 +169,7 @@ def top_k(
 
     found = (
         of_vectors.groupBy("r", "c")
-        .cogroup(of_queries.groupBy("r", "c"))
+        .cogroup(of_queries.groupBy("qr", "qc"))
         .applyInPandas(cell, "query_id long, vec_id long, score long, qv long")
     )
     best = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")

@@ -145,8 +145,10 @@ def test_op5_shuffles_globally_and_takes_odd_cases(spark, monkeypatch):
     salted = mixing.mix(frame(spark, odd_rows()))
     assert out.exceptAll(salted).count() == salted.exceptAll(out).count() == 0
     assert mixing.mix(frame(spark, [])).count() == 0
-    with pytest.raises(Exception, match="mean rate"):
-        mixing.mix(frame(spark, rows), total=10**7).count()
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    many = mixing.mix(frame(spark, rows[:200]), total=3 * 10**5)  # mean rates over MAX_RATE, copies in several runs
+    n, ids, most = many.agg(F.count("*"), F.countDistinct("doc_id", "copy"), F.max("copy")).first()
+    assert n == ids == pytest.approx(3 * 10**5, rel=0.01) and most > 1000
 
 
 def test_op5_draws_rates_of_any_size(spark):
@@ -426,3 +428,14 @@ def test_op6_chains_of_edits(spark):
         classes[r["doc_id"] // 10].add((r["doc_id"], r["passage_doc"], r["passage_start"]))
     whole = [c for c in range(chains) if {d for d, *_ in classes[c]} == {10 * c + j for j in range(4)} and len({x[1:] for x in classes[c]}) == 1]
     assert len(whole) >= 0.95 * chains
+
+
+def test_op7_wide_vectors_make_smaller_cells(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda: topk.top_k(df, F.col("vec_id") % 20 == 0, 5)
+    want = sorted(map(tuple, ask().collect()))
+    monkeypatch.setattr(topk, "CELL_BYTES", 8 * 16 * 40)  # 40 vectors, and 40 queries, a cell
+    assert sorted(map(tuple, ask().collect())) == want
+    assert ask().count() == len(want) == len(ask().select("score").collect())
