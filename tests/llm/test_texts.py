@@ -307,3 +307,58 @@ def test_op10_odd_cases(spark):
     assert got[0]["lang_pred"] == got[1]["lang_pred"] == got[2]["lang_pred"] == "und"
     assert langid.fit_dictionaries(frame(spark, [])) == {}
     assert {r["lang_pred"] for r in langid.classify(frame(spark, rows), {}).collect()} == {"und"}
+
+
+def test_op8_recomputed_in_numpy(spark):
+    """The whole query again: statistics, features, ridge by least squares, and isotonic levels by their max-min formula."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/labels.parquet")
+    x = quality.statistics(docs.text.tolist())
+    part = docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4).to_numpy()
+    y = docs.doc_id.map(labels.groupby("doc_id").quality.min()).to_numpy(float)
+    learn, tune = (part < 2) & ~np.isnan(y), (part == 3) & ~np.isnan(y)
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(0, math.sqrt(2 * quality.GAMMA), (x.shape[1], quality.FEATURES))
+    phase = rng.uniform(0, 2 * math.pi, quality.FEATURES)
+    unit = (x - x[learn].mean(axis=0)) / np.maximum(x[learn].std(axis=0), 1e-3)
+    z = np.column_stack([np.cos(unit @ w + phase) * math.sqrt(2 / quality.FEATURES), np.ones(len(x))])
+    n, d = learn.sum(), z.shape[1]
+    lean = math.sqrt(quality.RIDGE * n / d)  # ridge as rows of its own
+    weights = np.linalg.lstsq(np.vstack([z[learn], lean * np.eye(d)]), np.r_[y[learn], np.zeros(d)], rcond=None)[0]
+    bins = np.floor(np.clip(z @ weights, -1, 2) * quality.BINS)
+    at = np.unique(bins[tune])
+    good, size = (np.array([f(y[tune & (bins == b)]) for b in at], float) for f in (np.sum, len))
+    mean = lambda a, b: good[a : b + 1].sum() / size[a : b + 1].sum()
+    level = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    want = np.array(level)[np.clip(np.searchsorted(at / quality.BINS, z @ weights, "right") - 1, 0, None)]
+    got = queries.op8_rff_quality(spark, sf).toPandas().set_index("doc_id").score.reindex(docs.doc_id).to_numpy()
+    assert np.mean(np.abs(got - want) < 1e-6) > 0.99  # a score next to a step may fall on its other side
+
+
+def test_op10_recomputed_with_zstandard(spark):
+    """Every document again, by compressing with each language's dictionary."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = langid.remainder("doc_id", 5) == 0
+    known = langid.fit_dictionaries(docs.where(~held))
+    learnt = {r["lang"]: "" for r in docs.where(~held).select("lang").distinct().collect() if r["lang"]}
+    for r in docs.where(~held).where("lang IS NOT NULL AND text IS NOT NULL").collect():
+        learnt[r["lang"]] += " " + re.sub(r"[\W\d_]+", " ", r["text"].lower())
+    for lang, d in known.items():  # a dictionary holds texts of its language only
+        assert len(d) <= langid.DICT_BYTES and all(p.decode("utf-8", "ignore")[5:40] in learnt[lang] for p in (d[i : i + 60] for i in range(300, 900, 300)))
+    params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    press = [(k, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)) for k, v in known.items()]
+    got = {r["doc_id"]: r for r in queries.op10_zstd_langid(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        if not any(map(str.isalpha, text or "")):
+            assert (got[doc]["lang_pred"], got[doc]["score"]) == ("und", 0.0)
+            continue
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = [(sum(len(c.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK)), j, k) for j, (k, c) in enumerate(press)]
+        (best, _, lang), (rest, *_) = sorted(sizes)[:2]
+        margin = (rest - best) / best
+        assert got[doc]["lang_pred"] == lang and got[doc]["score"] == pytest.approx(margin / (margin + 0.05))
