@@ -36,6 +36,40 @@ def moments(pixels: DataFrame) -> DataFrame:
     )
 
 
+def orientation(pixels: DataFrame) -> DataFrame:
+    """(slide, label, y_proj, x_proj, atan, orientation): the direction of the main axis, from exact whole-number moments.
+
+    The projections are 2 cov(r, c) and var(r) - var(c), over their length if that isn't 0; ``atan`` is their quotient's arc tangent, 0 if both are 0.
+    With equal variances the orientation is a quarter of pi, negative where the covariance is positive.
+    """
+    whole = lambda c: F.sum(c).cast("decimal(18,0)")
+    r, c = F.col("r").cast("long"), F.col("c").cast("long")
+    out = pixels.groupBy(*KEYS).agg(
+        whole(F.lit(1)).alias("n"), whole(r).alias("r"), whole(c).alias("c"), whole(r * r).alias("rr"), whole(c * c).alias("cc"), whole(r * c).alias("rc")
+    )
+    n = F.col("n")
+    square = F.pow(n.cast("double"), F.lit(2.0))
+    y = (2 * (n * F.col("rc") - F.col("r") * F.col("c"))).cast("double") / square
+    x = (n * F.col("rr") - F.col("r") * F.col("r") - n * F.col("cc") + F.col("c") * F.col("c")).cast("double") / square
+    out = out.select(*KEYS, y.alias("y"), x.alias("x")).withColumn("length", F.sqrt(F.col("y") * F.col("y") + F.col("x") * F.col("x")))
+    y, x = F.col("y"), F.col("x")
+    steep = F.when(y == 0, 0.0).otherwise(F.signum(y) * (math.pi / 2))
+    equal = F.when(y > 0, -math.pi / 4).otherwise(math.pi / 4)
+    return out.select(
+        *KEYS,
+        F.when(F.col("length") > 0, y / F.col("length")).otherwise(0.0).alias("y_proj"),
+        F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0).alias("x_proj"),
+        F.when(x == 0, steep).otherwise(F.atan(F.try_divide(y, x))).alias("atan"),
+        F.when(x == 0, equal).otherwise(F.atan2(y, x) / 2).alias("orientation"),
+    )
+
+
+def mask_overlap(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+    """(slide, label, overlap): the share of an object's pixels that are in ``mask`` (slide, r, c), whose repeated rows count once."""
+    places = mask.select("slide", "r", "c").distinct().withColumn("_in", F.lit(1.0))
+    return pixels.join(places, ["slide", "r", "c"], "left").groupBy(*KEYS).agg(F.avg(F.coalesce("_in", F.lit(0.0))).alias("overlap"))
+
+
 def activation(pixels: DataFrame, act: str, cuts: list[float]) -> DataFrame:
     """Mean activation and the share of pixels above each cut, named over_0, over_1, ..."""
     shares: list[Column] = [F.avg((F.col(act) > x).cast("double")).alias(f"over_{i}") for i, x in enumerate(cuts)]

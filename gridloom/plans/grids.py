@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import grid, objects, ranking, relational, spatial, tiling
+from gridloom.operators import grid, objects, ranking, relational, skeleton, spatial, texture, tiling
 from gridloom.plans.base import GRID, query
 from gridloom.plans.similarity import _DRAW
 from gridloom.sources import slides
@@ -388,6 +388,66 @@ def object_majority_label(t):
     return objects.majority(_pixels(t), "kind")
 
 
+@query(
+    f"""{_PIXELS}, m AS (SELECT slide, label, count(*)::HUGEINT AS n, sum(r)::HUGEINT AS r, sum(c)::HUGEINT AS c, sum(r * r)::HUGEINT AS rr, sum(c * c)::HUGEINT AS cc, sum(r * c)::HUGEINT AS rc FROM px GROUP BY ALL),
+p AS (SELECT slide, label, (2 * (n * rc - r * c))::DOUBLE / n ** 2 AS y, (n * rr - r * r - n * cc + c * c)::DOUBLE / n ** 2 AS x FROM m)
+SELECT slide, label, round(coalesce(y / nullif(sqrt(y * y + x * x), 0), 0), 6) AS y_proj, round(coalesce(x / nullif(sqrt(y * y + x * x), 0), 0), 6) AS x_proj,
+  round(CASE WHEN x = 0 THEN sign(y) * pi() / 2 ELSE atan(y / x) END, 6) AS atan,
+  round(CASE WHEN x <> 0 THEN atan2(y, x) / 2 WHEN y > 0 THEN -pi() / 4 ELSE pi() / 4 END, 6) AS orientation FROM p"""
+)
+def object_orientation(t):
+    out = objects.orientation(_pixels(t))
+    return out.withColumns({c: F.round(c, 6) for c in ("y_proj", "x_proj", "atan", "orientation")})
+
+
+@query(f"{_PIXELS} SELECT slide, label, round(avg((act > 0 AND (r + c) % 2 = 0)::INTEGER), 6) AS overlap FROM px GROUP BY ALL")
+def object_mask_overlap(t):
+    mask = _pixels(t).where("act > 0 AND (r + c) % 2 = 0").select("slide", "r", "c")
+    return objects.mask_overlap(_pixels(t), mask).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(
+    f"""{_PIXELS} SELECT slide, label, {", ".join(f"round(avg((act > {x / 10 - 0.5:.1f}::DOUBLE)::INTEGER), 6) AS over_{x - 1}" for x in range(1, 10))}, round(avg(act), 6) AS mean FROM px GROUP BY ALL"""
+)
+def object_activation_nine_bins(t):
+    out = objects.activation(_pixels(t), "act", [float(f"{x / 10 - 0.5:.1f}") for x in range(1, 10)])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", *[f"over_{i}" for i in range(9)])})
+
+
+_LEVELS = """, lv AS (SELECT slide, label, r, c, floor(least(greatest((act + 0.35::DOUBLE) / 0.7::DOUBLE, 0), 1) * 15)::INTEGER AS level
+  FROM (SELECT slide, r, c, embedding[1] AS act, CASE WHEN label < 5 THEN 2 ELSE 1 END AS label FROM grid)),
+pr AS (SELECT a.slide, a.label, d, unnest([{'i': a.level, 'j': b.level}, {'i': b.level, 'j': a.level}]) AS w
+  FROM lv a, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) o(d, dr, dc) JOIN lv b ON b.slide = a.slide AND b.label = a.label AND b.r = a.r + dr AND b.c = a.c + dc
+  WHERE a.level > 0 AND b.level > 0),
+n AS (SELECT slide, label, d, w.i AS i, w.j AS j, count(*) AS n FROM pr GROUP BY ALL),
+p AS (SELECT slide, label, d, i, j, n / sum(n) OVER (PARTITION BY slide, label, d) AS p FROM n),
+e AS (SELECT slide, label, d, i, sum(p) AS q FROM p GROUP BY ALL),
+m AS (SELECT slide, label, d, sum(i * q) AS mean, sum(i * i * q) - sum(i * q) ** 2 AS v, -sum(q * log2(q)) AS h FROM e GROUP BY ALL),
+w AS (SELECT slide, label, d, sum(p * p) AS asm, sum((i - j) ** 2 * p) AS con, sum(i * j * p) AS prod, sum(p / (1 + (i - j) ** 2)) AS idm, -sum(p * log2(p)) AS ent FROM p GROUP BY ALL),
+s AS (SELECT slide, label, d, sum(k * q) AS sa, sum(k * k * q) - sum(k * q) ** 2 AS sv, -sum(q * log2(q)) AS se FROM (SELECT slide, label, d, i + j AS k, sum(p) AS q FROM p GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT slide, label, d, sum(q * q) AS sq, -sum(q * log2(q)) AS de FROM (SELECT slide, label, d, abs(i - j) AS k, sum(p) AS q FROM p GROUP BY ALL) GROUP BY ALL),
+ob AS (SELECT slide, label, max(level) + 1 AS size FROM lv GROUP BY ALL),
+x AS (SELECT slide, label, d, asm, con, CASE WHEN v <= 1e-12 THEN 1 ELSE (prod - mean * mean) / v END AS cor, greatest(v, 0) AS v, idm, sa, greatest(sv, 0) AS sv, se, ent,
+  greatest(sq / size - 1.0::DOUBLE / (size * size), 0) AS dv, de, CASE WHEN h > 0 THEN (ent - 2 * h) / h ELSE 0 END AS i1, sqrt(greatest(1 - exp(-2 * (2 * h - ent)), 0)) AS i2
+  FROM w JOIN m USING (slide, label, d) JOIN s USING (slide, label, d) JOIN g USING (slide, label, d) JOIN ob USING (slide, label)),
+f AS (SELECT slide, label, avg(asm) a0, avg(con) a1, avg(cor) a2, avg(v) a3, avg(idm) a4, avg(sa) a5, avg(sv) a6, avg(se) a7, avg(ent) a8, avg(dv) a9, avg(de) a10, avg(i1) a11, avg(i2) a12
+  FROM x GROUP BY ALL HAVING count(*) = 4)"""
+
+
+@query(
+    f"""WITH {GRID}{_LEVELS} SELECT slide, label, {", ".join(f"round(coalesce(a{i}, 0), 5) AS {m}" for i, m in enumerate(texture.MEASURES))} FROM ob LEFT JOIN f USING (slide, label)"""
+)
+def object_texture(t):
+    cells = t.grid().select("slide", "r", "c", F.when(F.col("label") < 5, 2).otherwise(1).alias("label"), F.col("embedding")[0].cast("double").alias("act"))
+    out = texture.texture(cells.withColumn("level", texture.grey_level(F.col("act"), -0.35, 0.35, 16)))
+    return out.withColumns({m: F.round(m, 5) for m in texture.MEASURES})
+
+
+@query()
+def object_skeletons(t):
+    return skeleton.skeletons(sides(t), seed=43)
+
+
 @query()
 def object_convexity(t):
     return objects.hull(_pixels(t)).withColumn("solidity", F.round("solidity", 6))
