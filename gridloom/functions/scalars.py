@@ -129,8 +129,22 @@ def optical_density(intensity: Column) -> Column:
     return F.greatest(-F.ln(F.greatest(intensity, F.lit(1)) / 255.0), F.lit(1e-6))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions)
+def intensity(density: Column) -> Column:
+    """The whole intensity of an optical density, rounded down; densities are 1e-6 or more, so it is 254 at most."""
+    return F.when(density.isNotNull(), F.floor(255 * F.exp(-F.greatest(density, F.lit(1e-6)))).cast("int"))
+
+
+def inverted(m: Column) -> Column:
+    """The map from values to keys; of keys with one value the last stays, and null values have no entry."""
+    entries = F.map_entries(m)
+    values = F.map_values(m)
+    last = lambda e, i: e["value"].isNotNull() & ~F.exists(F.slice(values, i + 2, F.size(values)), lambda v: v.eqNullSafe(e["value"]))
+    return F.map_from_entries(F.transform(F.filter(entries, last), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
+
+
+def text_of(content: Column) -> Column:
+    """Text of UTF-8 bytes."""
+    return F.decode(content, "UTF-8")
 
 
 def first_preferred(items: Column, preferred: str) -> Column:

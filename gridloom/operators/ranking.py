@@ -88,6 +88,51 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     return ranked.select(group, fold.cast("int").alias("fold"))
 
 
+def fold_parts(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """(fold, group, part): each group's part in each fold, train, test or validation; the last group of a fold's own is its validation.
+
+    A row a group and fold, from the distinct groups only; a null group is one of its own, the first.
+    """
+    own = group_folds(df, group, folds)
+    last = own.withColumn("_last", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc(group))) == 1)
+    every = last.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    part = F.when(F.col("_own") != F.col("fold"), "train").when(F.col("_last"), "validation").otherwise("test")
+    return every.select("fold", group, part.alias("part"))
+
+
+def fit_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the smallest and largest value of each column, for ``apply_minmax``."""
+    return df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def apply_minmax(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` moved to 0 to 1 by the rows that were fitted; others may lie outside. A constant column only loses its value."""
+    def scaled(c: str) -> Column:
+        width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
+        return (F.col(c) - F.col(f"lo_{c}")) / F.when(width == 0, 1.0).otherwise(width)
+
+    rows = df.join(F.broadcast(fitted))  # one row
+    return rows.withColumns({c: scaled(c) for c in columns}).drop(*fitted.columns)
+
+
+def size_histogram(df: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """(bin, low, high, n): how many groups have so many rows, in ``bins`` equal parts of the range of sizes; the last one holds its end.
+
+    If all groups are of one size the range is half a row to both sides of it. Empty bins have a row, an empty table none.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").cast("double").alias("_s")).groupBy("_s").agg(F.count("*").alias("_c"))
+    ends = sizes.agg(F.min("_s").alias("a"), F.max("_s").alias("b")).where("a IS NOT NULL")
+    half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
+    ends = ends.select((F.col("a") - half).alias("a"), (F.col("b") + half).alias("b"))  # one row
+    width = (F.col("b") - F.col("a")) / bins
+    spot = F.least(F.floor((F.col("_s") - F.col("a")) / width), F.lit(bins - 1)).cast("int")
+    counts = sizes.join(F.broadcast(ends)).groupBy(spot.alias("bin")).agg(F.sum("_c").alias("n"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    edge = lambda k: F.col("a") + width * k
+    out = every.join(counts, "bin", "left")
+    return out.select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def first_members(df: DataFrame, keys: list[str], id_col: str, n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(id_col)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import running_sums
+
 
 def with_scalars(df: DataFrame, *aggregates: Column) -> DataFrame:
     """``df`` with global aggregates of itself as columns: a broadcast of one row."""
@@ -41,6 +43,42 @@ def containing_windows(points: DataFrame, y: str, x: str, size: int, stride: int
     return points.where((F.col(y) >= 0) & (F.col(x) >= 0)).withColumn("wr", F.explode(covering(y))).withColumn("wc", F.explode(covering(x)))
 
 
+def window_shares(marks: DataFrame, windows: DataFrame, sizes: DataFrame, size: int, stride: int) -> DataFrame:
+    """(slide, wr, wc, share): the share of marked places (slide, r, c) in each window, cut to its image; 0 where all places are alike.
+
+    ``windows`` (slide, wr, wc) begin every ``stride`` places and have sides of ``size``; ``sizes`` has (slide, height, width). A wholly marked
+    window has 0 as an empty one has: a share needs both kinds. Repeated marks count once; windows outside the image have null.
+    """
+    inside = containing_windows(marks.select("slide", "r", "c").distinct().join(sizes, "slide").where("r < height AND c < width"), "r", "c", size - 1, stride)
+    counts = inside.groupBy("slide", "wr", "wc").agg(F.count("*").alias("_n"))
+    along = lambda w, n: F.least(F.lit(size), F.col(n) - F.col(w) * stride)
+    area = F.greatest(along("wr", "height"), F.lit(0)) * F.greatest(along("wc", "width"), F.lit(0))
+    rows = windows.join(sizes, "slide").withColumn("_area", area).join(counts, ["slide", "wr", "wc"], "left")
+    share = F.when(F.col("_n") < F.col("_area"), F.col("_n") / F.col("_area")).when(F.col("_area") > 0, 0.0)
+    return rows.select("slide", "wr", "wc", share.alias("share"))
+
+
+def share_bands(df: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
+    """(keys, full, part, none): shares of rows with at least ``high``, from ``low`` up to it, and less than ``low``; nulls are in no band but count."""
+    v = F.col(value)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return df.groupBy(*keys).agg(share(v >= high).alias("full"), share((v >= low) & (v < high)).alias("part"), share(v < low).alias("none"))
+
+
+def side_by_side(a: DataFrame, b: DataFrame, order_a: tuple[str, str], order_b: tuple[str, str]) -> DataFrame:
+    """Columns of both tables in one row by their place (``place``, from 0) in their own order: by a number or date, and a second column on ties.
+
+    The longer table's last rows have nulls for the other. Rows whose first order column is null have no place and are left out.
+    Names must differ.
+    """
+    def placed(df: DataFrame, order: tuple[str, str]) -> DataFrame:
+        rows = running_sums(df.where(F.col(order[0]).isNotNull()).withColumn("_one", F.lit(1)), order[0], ["_one"])
+        tie = F.row_number().over(Window.partitionBy(order[0]).orderBy(order[1])) - 1
+        return rows.withColumn("place", (F.col("before__one") + tie).cast("long")).drop("_one", "before__one")
+
+    return placed(a, order_a).join(placed(b, order_b), "place", "full")
+
+
 def nearest_value(df: DataFrame, id_col: str, value: str) -> DataFrame:
     """(id, nearest, gap): the other row with the nearest value, ties to the smaller value and then the smaller id.
 

@@ -10,6 +10,69 @@ from pyspark.sql import functions as F
 from gridloom.operators.ranking import draw_key
 
 
+#: Parts in which the members of one label are numbered, so that no task holds a whole label.
+SALTS = 64
+
+
+def numbered(df: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
+    """(keys, id, _k): members of each group numbered from 0, in order of the part that a hash of the id deals them to and then of the id.
+
+    Groups are cut into SALTS parts whose counts are added up, so a group may be of any size. Repeated rows are members of their own;
+    rows with a null key or id take no part.
+    """
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, id_col)])
+    dealt = df.where(known).select(*keys, id_col, F.pmod(draw_key(seed, F.col(id_col)), F.lit(SALTS)).alias("_part"))
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most SALTS rows
+    base = counts.select(*keys, "_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(id_col)) - 1
+    return dealt.withColumn("_in", place).join(base, [*keys, "_part"]).select(*keys, id_col, (F.col("_base") + F.col("_in")).cast("long").alias("_k"))
+
+
+def partners(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
+    """(label, id, close, same): for every row a member of its label, drawn with replacement, and the row itself.
+
+    Training on near patches reads ``close``, on two views of one patch ``same``, on both together both columns.
+    """
+    ranked = numbered(df, [label], id_col, seed)
+    sizes = ranked.groupBy(label).agg(F.count("*").alias("_n"))  # a row a label
+    asks = ranked.drop("_k").join(sizes, label).withColumn("_k", F.pmod(draw_key(seed, F.col(id_col), F.lit("partner")), F.col("_n")))
+    return asks.drop("_n").join(ranked.withColumnRenamed(id_col, "close"), [label, "_k"]).select(label, id_col, "close", F.col(id_col).alias("same"))
+
+
+def label_batches(df: DataFrame, label: str, id_col: str, batches: int, size: int, seed: int) -> DataFrame:
+    """(batch, slot, label, id): in each batch ``size`` different labels, and one drawn member of each.
+
+    Twice as many labels as needed are drawn with replacement, and the first different ones taken. Batches that have too few (there
+    are hardly more labels than slots) put all labels in order by a key; fewer labels than ``size`` are in every batch.
+    """
+    ranked = numbered(df, [label], id_col, seed)
+    sizes = ranked.groupBy(label).agg(F.count("*").alias("_n"))
+    key = lambda *what: draw_key(seed, F.col("batch"), *what)
+    kinds = numbered(sizes.withColumn("_all", F.lit(1)), ["_all"], label, seed).select(label, F.col("_k").alias("_i")).join(sizes, label)
+    total = sizes.agg(F.count("*").alias("_m")).where("_m > 0")  # one row
+    every = df.sparkSession.range(batches).withColumnRenamed("id", "batch").join(F.broadcast(total))
+    tries = every.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(2 * size - 1))))
+    tries = tries.withColumn("_i", F.pmod(key(F.lit("label"), F.col("_try")), F.col("_m"))).groupBy("batch", "_i").agg(F.min("_try").alias("_try"))
+    slot = (F.row_number().over(Window.partitionBy("batch").orderBy("_try", "_i")) - 1).alias("slot")
+    drawn = tries.select("batch", "_i", slot).where(F.col("slot") < size)
+    short = every.join(drawn.where(F.col("slot") == size - 1).select("batch"), "batch", "left_anti")
+    listed = short.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).withColumn("_try", key(F.lit("order"), F.col("_i")))
+    listed = listed.select("batch", "_i", slot).where(F.col("slot") < size)
+    whole = drawn.join(short.select("batch"), "batch", "left_anti").unionByName(listed).join(kinds, "_i")
+    picked = whole.withColumn("_k", F.pmod(key(F.lit("member"), F.col("slot")), F.col("_n")))
+    return picked.join(ranked, [label, "_k"]).select("batch", "slot", label, id_col)
+
+
+def padded_shards(df: DataFrame, ix: str, shards: int) -> DataFrame:
+    """``df`` with (shard, place): row number ``ix`` (from 0, without gaps) goes to every so-manyth shard; the first rows come again at the end
+    until all shards have as many, several times if there are fewer rows than shards."""
+    rows = df.join(F.broadcast(df.agg(F.count(ix).alias("_n"))))
+    last = F.ceil(F.col("_n") / shards) * shards - 1
+    at = rows.where(F.col(ix).isNotNull()).withColumn("_at", F.explode(F.sequence(F.col(ix).cast("long"), last, F.col("_n"))))
+    return at.withColumns({"shard": shard(F.col("_at"), shards), "place": F.floor(F.col("_at") / shards)}).drop("_at", "_n")
+
+
 def paired_batches(df: DataFrame, label: str, id_col: str, batches: int, pairs: int, seed: int) -> DataFrame:
     """(batch, slot, label, a, b): in each slot two members, drawn with replacement, of one drawn label."""
     spark = df.sparkSession

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import base, details, grids, similarity, statistics, studies, tables
+from gridloom.plans import base, details, grids, similarity, statistics, studies, tables, training
 
 QUERIES = dict(base.QUERIES)
 ORACLES = dict(base.ORACLES)
-assert all((details, similarity, tables, grids, statistics, studies))  # importing them registers their queries
+assert all((details, similarity, tables, grids, statistics, studies, training))  # importing them registers their queries

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
+import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,71 @@ def csv_table(spark: SparkSession, path: str, schema: str, tab: bool = False) ->
     return spark.read.schema(SCHEMAS.get(schema, schema)).csv(path, header=True, sep="\t" if tab else ",")
 
 
+def parameters(path: str) -> dict:
+    """Nested parameters of a JSON file, or of a YAML file where a YAML reader is installed; a file of settings, read where the job starts."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError(f"{path}: no YAML reader is installed; write the parameters as JSON") from e
+        return yaml.safe_load(f)
+
+
+#: Fixed value: the namespace of cells in workbook files.
+_CELLS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """(path, row, cells) of the sheet with this number of ``.xlsx`` files: a row's cells as strings by column, null where blank; rows count from 1.
+
+    Files are read where Spark deals them, a row at a time; the first row is the header where there is one. Blank rows have none. Dates are numbers of days, as
+    stored. A file without the sheet has no rows.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def column(ref: str) -> int:
+        n = 0
+        for ch in ref.rstrip("0123456789"):
+            n = n * 26 + ord(ch) - 64
+        return n - 1
+
+    def rows_of(content: bytes):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names, shared = set(z.namelist()), []
+            if "xl/sharedStrings.xml" in names:
+                shared = ["".join(t.text or "" for t in s.iter(f"{_CELLS}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_CELLS}si")]
+            if f"xl/worksheets/sheet{sheet}.xml" not in names:
+                return
+            with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
+                for at, (_, row) in enumerate(((e, x) for e, x in ElementTree.iterparse(f) if x.tag == f"{_CELLS}row"), 1):
+                    found: dict[int, str] = {}
+                    for i, cell in enumerate(row.iter(f"{_CELLS}c")):
+                        value = cell.find(f"{_CELLS}v")
+                        kind, ref = cell.get("t"), cell.get("r")
+                        text = "".join(t.text or "" for t in cell.iter(f"{_CELLS}t")) if kind == "inlineStr" else None if value is None else value.text
+                        if text is not None:
+                            found[column(ref) if ref else i] = shared[int(text)] if kind == "s" else text
+                    if found:
+                        yield int(row.get("r") or at), [found.get(k) for k in range(max(found) + 1)]
+                    row.clear()
+
+    def read(batches):
+        for b in batches:
+            for p, content in zip(b["path"], b["content"], strict=True):
+                part: list = []
+                for r, cells in rows_of(content):
+                    part.append((p, r, cells))
+                    if len(part) == 1000:
+                        yield pd.DataFrame(part, columns=["path", "row", "cells"])
+                        part = []
+                if part:
+                    yield pd.DataFrame(part, columns=["path", "row", "cells"])
+
+    return files.mapInPandas(read, "path string, row int, cells array<string>")
+
+
 def square_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(a, b, d) of a CSV file whose header and first column name the rows and columns of a matrix."""
     wide = spark.read.csv(path, header=True)
