@@ -109,24 +109,55 @@ def chi2_p(out: DataFrame) -> DataFrame:
     return out.withColumn("p", tail("chi2"))
 
 
+#: Counts of a table are walked in blocks of so many.
+BLOCK = 1 << 16
+
+
+def _fisher_tails(x: int, y: int, z: int, w: int) -> tuple[float, float]:
+    """Two-sided and upper tail of the top left count of a 2 x 2 table with given margins.
+
+    Probabilities follow from their quotients, outwards from the likeliest count until they are nothing to a double: some
+    eighty standard deviations, in blocks, whatever the margins are.
+    """
+    row, col, n = x + y, x + z, x + y + z + w
+    low, high = max(0, row + col - n), min(row, col)
+    mode = min(max((row + 1) * (col + 1) // (n + 2), low), high)
+
+    def walk():
+        yield np.array([mode]), np.zeros(1)
+        for way in (1, -1):
+            at, log = mode, 0.0
+            while log > -745 and (at < high if way > 0 else at > low):
+                k = at + way * np.arange(1, min(BLOCK, high - at if way > 0 else at - low) + 1, dtype=np.float64)
+                if way > 0:  # from k - 1 to k
+                    step = np.log(col - k + 1) + np.log(row - k + 1) - np.log(k) - np.log(n - row - col + k)
+                else:  # from k + 1 to k
+                    step = np.log(k + 1) + np.log(n - row - col + k + 1) - np.log(col - k) - np.log(row - k)
+                logs = log + np.cumsum(step)
+                yield k, logs
+                at, log = int(k[-1]), float(logs[-1])
+
+    own = next((float(logs[k == x][0]) for k, logs in walk() if (k == x).any()), -np.inf)
+    total = two = upper = 0.0
+    for k, logs in walk():
+        p = np.exp(logs)
+        total += p.sum()
+        two += p[logs <= own + 1e-7].sum()
+        upper += p[k >= x].sum()
+    return min(1.0, two / total), min(1.0, upper / total)
+
+
 def fisher_exact(table: DataFrame) -> DataFrame:
-    """Add ``odds``, ``p_two`` and ``p_greater`` to rows (a, b, c, d) of 2 x 2 counts."""
+    """Add ``odds``, ``p_two`` and ``p_greater`` to rows (a, b, c, d) of 2 x 2 counts; a row with a null count has nulls."""
 
     @F.pandas_udf("p_two double, p_greater double")
     def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y, z, w in zip(a, b, c, d, strict=True):
-            row, col, n = x + y, x + z, x + y + z + w
-            k = np.arange(max(0, row + col - n), min(row, col) + 1)
-            lg = np.vectorize(math.lgamma)
-            pick = lambda m, r: math.lgamma(m + 1) - lg(r + 1.0) - lg(m - r + 1.0)
-            prob = np.exp(pick(col, k) + pick(n - col, row - k) - (math.lgamma(n + 1) - math.lgamma(row + 1) - math.lgamma(n - row + 1)))
-            own = prob[k == x][0]
-            out.append((min(1.0, prob[prob <= own * (1 + 1e-7)].sum()), min(1.0, prob[k >= x].sum())))
-        return pd.DataFrame(out, columns=["p_two", "p_greater"])
+        rows = zip(a, b, c, d, strict=True)
+        out = [(None, None) if any(pd.isna(v) for v in r) else _fisher_tails(*map(int, r)) for r in rows]
+        return pd.DataFrame(out, columns=["p_two", "p_greater"], dtype=float)
 
     got = table.withColumn("p", p("a", "b", "c", "d"))
-    odds = F.try_divide(F.col("a") * F.col("d").cast("double"), F.col("b") * F.col("c"))
+    odds = F.try_divide(F.col("a") * F.col("d").cast("double"), F.col("b").cast("double") * F.col("c"))
     return got.select(*table.columns, odds.alias("odds"), "p.p_two", "p.p_greater")
 
 

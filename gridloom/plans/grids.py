@@ -107,6 +107,14 @@ _COMPONENTS = f"""WITH RECURSIVE {_SIDE}, reach AS (
 parts AS (SELECT slide, r, c, min(component)::BIGINT AS component FROM reach GROUP BY slide, r, c)"""
 
 
+@query(
+    f"""{_COMPONENTS}, a AS (SELECT p.slide, component, count(*) AS area FROM parts p JOIN sides s ON s.slide = p.slide AND s.r = p.r AND s.c = p.c WHERE label = 2 GROUP BY ALL)
+SELECT slide, run::INTEGER AS run, count(*) AS cells, coalesce((SELECT sum(area) FROM a WHERE a.slide = s.slide AND area > 1), 0)::BIGINT AS taken FROM sides s, range(3) x(run) GROUP BY ALL"""
+)
+def contiguity_control_areas(t):
+    return contiguity_control_masks(t).groupBy("slide", "run").agg(F.count("*").alias("cells"), F.count_if(F.col("side") == 2).alias("taken"))
+
+
 @query(f"{_COMPONENTS} SELECT slide, r, c, component FROM parts")
 def connected_components(t):
     return grid.components(sides(t)).select("slide", "r", "c", "component")

@@ -28,7 +28,16 @@ def fisher_table(t):
     return _fisher(t)
 
 
-@query()
+@query(
+    """WITH f AS (SELECT o_totalprice >= 150000 AS h, o_orderstatus = 'F' AS e FROM orders),
+t AS (SELECT count(*) FILTER (h AND e) AS a, count(*) FILTER (h AND NOT e) AS b, count(*) FILTER (NOT h AND e) AS c, count(*) FILTER (NOT h AND NOT e) AS d FROM f),
+m AS (SELECT *, a + b AS r, a + c AS s, a + b + c + d AS n FROM t), k AS (SELECT *, unnest(range(greatest(0, r + s - n), least(r, s) + 1)) AS k FROM m),
+p AS (SELECT *, lgamma(s + 1) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END - lgamma(s - k + 1) + lgamma(n - s + 1) - lgamma(r - k + 1) - lgamma(n - s - r + k + 1)
+  - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) AS lp FROM k),
+o AS (SELECT *, max(lp) FILTER (k = a) OVER () AS own FROM p)
+SELECT a, b, c, d, round(any_value(a::DOUBLE * d / (b * c)), 6) AS odds, round(least(1, sum(exp(lp)) FILTER (lp <= own + 1e-7)), 6) AS p_two, round(least(1, sum(exp(lp)) FILTER (k >= a)), 6) AS p_greater
+FROM o GROUP BY a, b, c, d"""
+)
 def fisher_exact(t):
     return rounded(stats.fisher_exact(_fisher(t)), "odds", "p_two", "p_greater")
 

@@ -133,7 +133,7 @@ SELECT p_partkey, CASE WHEN ends_with(p_type, 'TIN') THEN left(p_type, length(p_
   array_to_string(list_slice(string_split(p_type, ' '), 1, 2), ' ') AS prefix,
   CASE WHEN p_size < 1 THEN '***' WHEN p_size < 10 THEN '**' WHEN p_size < 50 THEN '*' ELSE 'n.s.' END AS stars,
   printf('#%02x%02x%02x', least(p_size * 6, 255)::INTEGER, p_size::INTEGER, 255 - p_size::INTEGER) AS colour,
-  coalesce(list_position(list_transform(string_split(p_type, ' '), x -> contains(x, 'STEEL')), true), 1)::INTEGER - 1 AS first FROM p"""
+  coalesce(list_position(list_transform(string_split(p_type, ' '), lambda x: contains(x, 'STEEL')), true), 1)::INTEGER - 1 AS first FROM p"""
 )
 def text_scalars(t):
     kind, n = F.col("p_type"), F.col("p_size")

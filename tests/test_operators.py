@@ -269,6 +269,25 @@ def test_fisher_against_known_values(spark):
     assert two["p_two"] == pytest.approx(1.0)
 
 
+def test_fisher_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    small = [tuple(int(v) for v in rng.integers(0, 30, 4)) for _ in range(60)] + [(0, 0, 0, 0), (5, 0, 0, 0), (0, 7, 9, 0), (900, 1100, 1050, 950)]
+    rows = [*small, (10**11 + 400_000, 10**11, 10**11, 10**11 + 300_000), (10**9, 10**9, 10**9, 10**9), (10**12, 0, 0, 10**12), (None, 1, 2, 3)]
+    got = stats.fisher_exact(spark.createDataFrame(rows, "a long, b long, c long, d long").coalesce(1)).collect()
+    for r in got[: len(small)]:
+        a, b, c, d = (r[k] for k in "abcd")
+        row, col, n = a + b, a + c, a + b + c + d
+        ways = {k: math.comb(col, k) * math.comb(n - col, row - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        total = sum(ways.values())
+        assert r["p_two"] == pytest.approx(sum(v for v in ways.values() if v - ways[a] <= ways[a] // 10**7) / total)
+        assert r["p_greater"] == pytest.approx(sum(v for k, v in ways.items() if k >= a) / total)
+    large, even, far, none = got[len(small) :]
+    z = math.log(large["odds"]) / math.sqrt(sum(1 / large[k] for k in "abcd"))
+    assert large["p_greater"] == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-3)
+    assert even["p_two"] == pytest.approx(1.0) and 0.5 < even["p_greater"] < 0.50002
+    assert far["p_two"] == 0.0 and none["p_two"] is None and none["odds"] is None
+
+
 def test_kaplan_meier_and_concordance(spark):
     df = spark.createDataFrame([(1, True, 3), (2, False, 2), (3, True, 2), (3, True, 1), (5, True, 1)], "t int, e boolean, g int")
     one = stats.kaplan_meier(df.withColumn("k", F.lit(0)), "t", "e", "k").orderBy("t").collect()
