@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -311,11 +312,11 @@ def cox_fit(df: DataFrame, time: str, event: str, covariates: list[str], rounds:
     """Coefficients of a proportional-hazards model (Breslow's ties) by Newton's steps.
 
     A step is one aggregation: sums of risks for each distinct time, running sums from
-    the last time back over those, and totals. Rows with a null are left out.
+    the last time back over ranges of those, and totals. The columns it needs are kept on disk between steps. Rows with a null are left out.
     """
     p, beta = len(covariates), np.zeros(len(covariates))
     rows = df.select(F.col(time).alias("_t"), F.col(event).alias("_e"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]).dropna()
-    later = Window.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)  # distinct times only
+    rows = rows.persist(StorageLevel.DISK_ONLY)
     both = [(i, j) for i in range(p) for j in range(i, p)]
     for _ in range(rounds):
         risk = F.exp(sum((F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(beta)), F.lit(0.0)))
@@ -324,13 +325,13 @@ def cox_fit(df: DataFrame, time: str, event: str, covariates: list[str], rounds:
             F.count_if("_e").alias("d"), *[F.sum(F.when(F.col("_e"), F.col(f"_x{i}")).otherwise(0.0)).alias(f"o_{i}") for i in range(p)],
             *[F.sum(c).alias(n) for n, c in sums.items()],
         )
-        per = per.withColumns({n: F.sum(n).over(later) for n in sums}).where("d > 0")
+        per = running_sums(per, "_t", list(sums), descending=True).withColumns({n: F.col(f"before_{n}") + F.col(n) for n in sums}).where("d > 0")
         mean = lambda i: F.col(f"s1_{i}") / F.col("s0")
         slope = [F.sum(F.col(f"o_{i}") - F.col("d") * mean(i)) for i in range(p)]
         curve = [F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean(i) * mean(j))) for i, j in both]
         got = per.agg(*[c.alias(f"v{k}") for k, c in enumerate([*slope, *curve])]).first()
         if got[0] is None:
-            return dict.fromkeys(covariates, 0.0)
+            break
         h = np.zeros((p, p))
         for k, (i, j) in enumerate(both):
             h[i, j] = h[j, i] = got[p + k]
@@ -338,4 +339,5 @@ def cox_fit(df: DataFrame, time: str, event: str, covariates: list[str], rounds:
         beta = beta + move
         if np.abs(move).max() < 1e-9:
             break
+    rows.unpersist()
     return dict(zip(covariates, beta.tolist(), strict=True))
