@@ -456,7 +456,14 @@ def object_skeletons(t):
     return skeleton.skeletons(sides(t), seed=43)
 
 
-@query()
+@query(
+    f"""{_PIXELS}, pts AS (SELECT DISTINCT slide, label, r + i AS y, c + j AS x FROM px, range(2) a(i), range(2) b(j)),
+e AS (SELECT slide, label, p.y AS y1, p.x AS x1, q.y AS y2, q.x AS x2 FROM pts p JOIN pts q USING (slide, label) WHERE p.y <> q.y OR p.x <> q.x),
+s AS (SELECT e.*, (y2 - y1) * (o.x - x1) - (x2 - x1) * (o.y - y1) AS turn, (o.y - y1) * (o.y - y2) + (o.x - x1) * (o.x - x2) AS along FROM e JOIN pts o USING (slide, label)),
+h AS (SELECT slide, label, y1, x1, y2, x2 FROM s GROUP BY ALL HAVING min(turn) >= 0 AND bool_and(turn > 0 OR along <= 0)),
+a AS (SELECT slide, label, abs(sum(y1 * x2 - y2 * x1)) / 2 AS hull_area FROM h GROUP BY ALL), n AS (SELECT slide, label, count(*) AS n FROM px GROUP BY ALL)
+SELECT slide, label, hull_area::DOUBLE AS hull_area, round(n / hull_area, 6) AS solidity FROM a JOIN n USING (slide, label)"""
+)
 def object_convexity(t):
     return objects.hull(_pixels(t)).withColumn("solidity", F.round("solidity", 6))
 
