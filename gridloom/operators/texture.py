@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["slide", "label"]
@@ -39,42 +39,34 @@ def cooccurrence(pixels: DataFrame) -> DataFrame:
     return both.groupBy(*KEYS, "direction", "w.i", "w.j").agg(F.sum("n").alias("n"))
 
 
-def _bits(p: str) -> Column:
-    return -F.sum(F.col(p) * F.log2(F.col(p)))
-
-
 def texture(pixels: DataFrame) -> DataFrame:
     """(slide, label, MEASURES): means over the four directions, for every object with a pixel.
 
     Logarithms are binary. ``difference_variance`` is the variance of the differences' shares over the levels 0 to the object's highest.
     ``correlation`` is 1 where all levels are one. An object that has no pair in some direction has zeros everywhere.
     """
-    counts = cooccurrence(pixels)
     by = [*KEYS, "direction"]
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    p = counts.join(totals, by).withColumn("p", F.col("n") / F.col("total"))
-    edge = p.groupBy(*by, F.col("i")).agg(F.sum("p").alias("q"))
-    mean = edge.groupBy(*by).agg(F.sum(F.col("i") * F.col("q")).alias("mean"), F.sum(F.col("i") * F.col("i") * F.col("q")).alias("square"), _bits("q").alias("h"))
-    spread = F.col("square") - F.col("mean") * F.col("mean")
-    mean = mean.select(*by, "mean", "h", F.when(spread > 1e-12, spread).otherwise(0.0).alias("variance"))
-    gap = F.col("i") - F.col("j")
-    whole = p.groupBy(*by).agg(
-        F.sum(F.col("p") * F.col("p")).alias("second_moment"), F.sum(gap * gap * F.col("p")).alias("contrast"), F.sum(F.col("i") * F.col("j") * F.col("p")).alias("product"),
-        F.sum(F.col("p") / (1 + gap * gap)).alias("inverse_difference"), _bits("p").alias("entropy"),
+    i, j, p = F.col("i"), F.col("j"), F.col("p")
+    shared = lambda *of: F.sum("p").over(Window.partitionBy(*by, *of))
+    # at most levels x levels rows a direction, dealt once: all windows and the sums by direction keep to it
+    counts = cooccurrence(pixels).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+    rows = counts.withColumns({"level": shared("i"), "plus": shared(i + j), "minus": shared(F.abs(i - j))})
+    bits = lambda q: -F.sum(p * F.log2(q))  # noqa: E731  # of shares that rows have in common, each counts by its rows' own
+    sums = rows.groupBy(*by).agg(
+        F.sum(p * p).alias("second_moment"), F.sum((i - j) * (i - j) * p).alias("contrast"), F.sum(i * j * p).alias("product"),
+        F.sum(i * p).alias("mean"), F.sum(i * i * p).alias("square"), F.sum(p / (1 + (i - j) * (i - j))).alias("inverse_difference"),
+        F.sum((i + j) * p).alias("sum_average"), F.sum((i + j) * (i + j) * p).alias("sum_square"), F.sum(p * F.col("minus")).alias("minus_square"),
+        bits("p").alias("entropy"), bits("level").alias("h"), bits("plus").alias("sum_entropy"), bits("minus").alias("difference_entropy"),
     )
-    sums = p.groupBy(*by, (F.col("i") + F.col("j")).alias("k")).agg(F.sum("p").alias("q"))
-    sums = sums.groupBy(*by).agg(F.sum(F.col("k") * F.col("q")).alias("sum_average"), F.sum(F.col("k") * F.col("k") * F.col("q")).alias("square"), _bits("q").alias("sum_entropy"))
-    sums = sums.select(*by, "sum_average", "sum_entropy", F.greatest(F.col("square") - F.col("sum_average") * F.col("sum_average"), F.lit(0.0)).alias("sum_variance"))
-    gaps = p.groupBy(*by, F.abs(gap).alias("k")).agg(F.sum("p").alias("q"))
-    gaps = gaps.groupBy(*by).agg(F.sum(F.col("q") * F.col("q")).alias("square"), _bits("q").alias("difference_entropy"))
     objects = pixels.where("slide IS NOT NULL AND label IS NOT NULL").groupBy(*KEYS).agg(F.coalesce(F.max("level"), F.lit(0)).alias("top"))
-    rows = whole.join(mean, by).join(sums, by).join(gaps, by).join(objects, KEYS)
     size, h, v = (F.col("top") + 1).cast("double"), F.col("h"), F.col("variance")
-    measured = rows.select(
+    spread = F.col("square") - F.col("mean") * F.col("mean")
+    measured = sums.join(objects, KEYS).withColumn("variance", F.when(spread > 1e-12, spread).otherwise(0.0)).select(
         *by, "second_moment", "contrast",
         F.when(v == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("product") - F.col("mean") * F.col("mean"), v)).alias("correlation"),
-        "variance", "inverse_difference", "sum_average", "sum_variance", "sum_entropy", "entropy",
-        F.greatest(F.col("square") / size - 1 / (size * size), F.lit(0.0)).alias("difference_variance"), "difference_entropy",
+        "variance", "inverse_difference", "sum_average",
+        F.greatest(F.col("sum_square") - F.col("sum_average") * F.col("sum_average"), F.lit(0.0)).alias("sum_variance"), "sum_entropy", "entropy",
+        F.greatest(F.col("minus_square") / size - 1 / (size * size), F.lit(0.0)).alias("difference_variance"), "difference_entropy",
         F.when(h > 0, (F.col("entropy") - 2 * h) / h).otherwise(0.0).alias("information_1"),
         F.sqrt(F.greatest(1 - F.exp(-2 * (2 * h - F.col("entropy"))), F.lit(0.0))).alias("information_2"),
     )
