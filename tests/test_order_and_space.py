@@ -209,3 +209,16 @@ def test_pruned_neighbours(spark, clustered):
     assert sorted((r["query"], r["rank"], r["neighbour"]) for r in vectors.nearest(df, 5, rows=100).collect()) == want
     assert sorted((r["query"], r["rank"], r["neighbour"]) for r in vectors.nearest(df, 5).collect()) == want
     assert vectors.nearest(df.limit(0), 5).count() == 0 == vectors.pruned_search(df.limit(0), 5)[0].count()
+
+
+def test_pair_quantile_counts_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(g, i, x.astype(np.float32).tolist()) for g, n in ((0, 90), (1, 41), (2, 2), (3, 1)) for i, x in enumerate(rng.normal(size=(n, 6)))]
+    rows += [(4, i, [1.0, 2.0, 3.0, 0.5, 0.0, 0.0] if i % 3 else [2.0, -1.0, 0.1, 0.0, 0.0, float(i)]) for i in range(60)]
+    rows += [(0, 900, [0.0] * 6), (1, 901, None), (1, None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "g int, i long, v array<float>")
+    plain = order.quantiles(vectors.pairs_within(df, ["g"], "i", "v"), F.col("dist"), {"m": 0.3}, ["g"])
+    want = {r["g"]: (r["n"], r["m"]) for r in plain.collect()}
+    out = vectors.pair_quantile(df, ["g"], "i", "v", 0.3, blocks=3)
+    assert {r["g"]: (r["n"], r["m"]) for r in out.collect()} == want  # to the last bit
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[-1]
