@@ -405,3 +405,12 @@ def test_predict_hook_and_box_plan(spark):
     slides = spark.createDataFrame([("s", 900, 500)], "slide string, width int, height int")
     plan = tiling.box_plan(slides, 4, 224, 100).orderBy("box").collect()
     assert [(r["box"], r["x"], r["y"], r["size"]) for r in plan[:3]] == [(0, 0, 0, 524), (1, 0, 400, 524), (2, 400, 0, 524)] and len(plan) == 6
+
+
+def test_merged_logits_only_where_cells_are(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(i, [float(i % k) for k in range(2, 8)], i % 10) for i in range(130)]  # the second slide has 30 of 100 cells
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = __spark_entry__.queries()["tile_merge_logits"](spark, str(tmp_path)).collect()
+    assert len(got) == 130 and len({(r["slide"], r["i0"], r["i1"]) for r in got}) == 130
