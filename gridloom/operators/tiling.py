@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 MODES = ("constant", "drop", "irregular", "reflect", "edge", "wrap")
 
+#: Tiles that one row of a plan stands for while they are dealt to tasks.
+RUN = 1 << 14
+
 #: Coefficients of cosine-sum windows.
 COSINE_SUMS = {
     "hann": (0.5, 0.5),
@@ -92,6 +95,7 @@ def slide_tiles(slides: DataFrame, keys: list[str], shape: tuple[str, ...], tile
     """(keys, tile_id, p0.., s0.., e0.., pad0.., batch): ``tile_plan`` with padding, for each of ``slides``, whose columns ``shape`` are its sizes.
 
     Slides with a null or no size have no tiles. ``batch`` numbers a slide's full batches; ``drop_last`` leaves out the tiles of one that isn't.
+    A slide's tiles are dealt to tasks in runs of RUN, so neither a task nor an array holds a whole slide's.
     """
     if len(shape) != len(tile) or not shape or any(t <= 0 for t in tile) or batch < 0:
         raise ValueError("a tile must be positive and have the slides' axes, the batch not be negative")
@@ -100,7 +104,10 @@ def slide_tiles(slides: DataFrame, keys: list[str], shape: tuple[str, ...], tile
     rows = slides.where(reduce(Column.__and__, [F.col(n) > 0 for n in shape])).withColumns(counts)
     total = reduce(Column.__mul__, [F.col(n) for n in counts])
     last = F.floor(total / batch) * batch if batch and drop_last else total
-    rows = rows.where(last > 0).withColumn("tile_id", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    runs = rows.where(last > 0).withColumn("_last", last - 1).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / RUN))))
+    runs = runs.repartition(4 * slides.sparkSession.sparkContext.defaultParallelism, *keys, "_run")
+    begin = F.col("_run") * RUN
+    rows = runs.withColumn("tile_id", F.explode(F.sequence(begin, F.least(begin + (RUN - 1), F.col("_last")))))
     cols, below = [], F.lit(1).cast("long")
     for i in reversed(range(len(shape))):
         place = F.pmod(F.call_function("div", F.col("tile_id"), below), F.col(f"_n{i}")).cast("int")

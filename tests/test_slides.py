@@ -129,3 +129,14 @@ def test_slide_tiles_match_the_plan_of_one_shape(spark):
     assert {r["slide"] for r in got.collect()} == {"a", "b"}
     few = tiling.slide_tiles(sizes, ["slide"], ("h", "w"), (8, 12), (2, 3), batch=5, drop_last=True)
     assert few.groupBy("slide", "batch").count().where("count <> 5").count() == 0
+
+
+def test_tiles_of_a_large_slide_are_dealt_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "RUN", 7)
+    sizes = spark.createDataFrame([("a", 250, 300)], "slide string, h int, w int")
+    for last in (False, True):
+        got = tiling.slide_tiles(sizes, ["slide"], ("h", "w"), (8, 12), (2, 3), batch=10, drop_last=last)
+        want = tiling.tile_plan(spark, (250, 300), (8, 12), (2, 3), mode="reflect", batch=10, drop_last=last)
+        assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(map(tuple, want.collect()))
+    tasks = {r["p"] for r in got.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(tasks) > 4
