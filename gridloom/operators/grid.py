@@ -139,6 +139,7 @@ def rasterise(regions: DataFrame) -> DataFrame:
     ``region_ix`` are rings of one region, by the even-odd rule: a ring inside another is a hole. Regions whose sign is "-"
     come after all others and leave no label where they are; a null sign is "+". Rings with a null or under two corners have no cells.
 
+    Regions of a slide with the same rings, labels and signs have the same cells, so only the one with the largest ``region_ix`` is drawn.
     Each edge gives its crossing of every row of centres that it spans, and a row's sorted crossings bound the spans of cells between the
     first and second, third and fourth; so work grows with outlines and cells inside, not with bounding boxes.
     """
@@ -146,7 +147,10 @@ def rasterise(regions: DataFrame) -> DataFrame:
     edges = F.arrays_zip(F.col("xs").alias("x1"), F.col("ys").alias("y1"), turned(F.col("xs")).alias("x2"), turned(F.col("ys")).alias("y2"))
     sign = F.coalesce(F.col("sign"), F.lit("+")) if "sign" in regions.columns else F.lit("+")
     key = ["slide", "region_ix"]
-    rows = regions.where((F.size("xs") > 1) & (F.size("xs") == F.size("ys"))).select(*key, "label", sign.alias("sign"), F.explode(edges).alias("e")).select(*key, "label", "sign", "e.*")
+    rings = regions.where((F.size("xs") > 1) & (F.size("xs") == F.size("ys"))).select(*key, F.struct("xs", "ys", "label", sign.alias("sign")).alias("ring"))
+    whole = rings.groupBy(*key).agg(F.sort_array(F.collect_list("ring")).alias("rings"))
+    drawn = whole.groupBy("slide", "rings").agg(F.max("region_ix").alias("region_ix"))
+    rows = drawn.select(*key, F.explode("rings").alias("ring")).select(*key, "ring.*").select(*key, "label", "sign", F.explode(edges).alias("e")).select(*key, "label", "sign", "e.*")
     first = lambda v: F.ceil(v - 0.5).cast("int")  # noqa: E731  # the first whole number whose centre is v or more
     low, high = first(F.least("y1", "y2")), first(F.greatest("y1", "y2")) - 1
     rows = rows.where(low <= high).withColumn("r", F.explode(F.sequence(low, high)))

@@ -140,3 +140,11 @@ def test_tiles_of_a_large_slide_are_dealt_in_runs(spark, monkeypatch):
         assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(map(tuple, want.collect()))
     tasks = {r["p"] for r in got.select(F.spark_partition_id().alias("p")).distinct().collect()}
     assert len(tasks) > 4
+
+
+def test_equal_regions_are_drawn_once(spark):
+    square = ([0.0, 3.0, 3.0, 0.0], [0.0, 0.0, 3.0, 3.0])
+    rings = [(0, i, 5, "+", *square) for i in range(200)] + [(0, 300, 6, "+", [1.0, 2.0, 2.0, 1.0], [1.0, 1.0, 2.0, 2.0]), (0, 250, 7, "+", *square), (1, 3, 5, "-", *square)]
+    out = grid.rasterise(spark.createDataFrame(rings, "slide int, region_ix int, label int, sign string, xs array<double>, ys array<double>"))
+    assert {(r["r"], r["c"]): r["label"] for r in out.collect()} == {(r, c): 6 if r == c == 1 else 7 for r in range(3) for c in range(3)}
+    assert "rings" in out._jdf.queryExecution().optimizedPlan().toString()
