@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,27 +47,34 @@ def largest_loop(xs: Column, ys: Column) -> Column:
 
     A loop ends where its first corner comes again, which it includes; the next starts
     behind it, and corners that never close form the last one. Areas are those of closed
-    rings. Which corner opens a loop depends on all before it, so this runs over Arrow batches.
+    rings. One fold over the corners carries the open loop's first corner and twice its signed area.
     """
-
-    def best(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, most, first = (x[:0], y[:0]), -1.0, 0
-        while first < len(x):
-            again = np.flatnonzero((x[first + 1 :] == x[first]) & (y[first + 1 :] == y[first]))
-            end = first + 2 + int(again[0]) if len(again) else len(x)
-            u, v = x[first:end], y[first:end]
-            area = abs(u @ np.roll(v, -1) - v @ np.roll(u, -1)) / 2
-            if area > most:
-                found, most = (u, v), area
-            first = end
-        return found
-
-    @F.pandas_udf("xs array<double>, ys array<double>")
-    def loops(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        rows = [best(x, y) if x is not None and y is not None else (None, None) for x, y in zip(xs, ys, strict=True)]
-        return pd.DataFrame({"xs": pd.Series([r[0] for r in rows], dtype=object), "ys": pd.Series([r[1] for r in rows], dtype=object)})
-
-    return loops(xs, ys)
+    corners = F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y")))
+    nothing = F.struct(F.lit(-1.0).alias("area"), F.lit(0).alias("a"), F.lit(0).alias("n"))
+    no = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).alias("from"), *[no.alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(0.0).alias("twice"), nothing.alias("best"))
+
+    def larger(s: Column, twice: Column, n: Column) -> Column:
+        area = F.abs(twice) / 2
+        return F.when((area > s["best"]["area"]) & ~F.isnan(area), F.struct(area.alias("area"), s["from"].alias("a"), n.alias("n"))).otherwise(s["best"])
+
+    def step(s: Column, p: Column) -> Column:
+        opens, twice = p["i"] == s["from"], s["twice"] + (s["x1"] * p["y"] - p["x"] * s["y1"])
+        first = F.struct(s["from"].alias("from"), p["x"].alias("x0"), p["y"].alias("y0"), p["x"].alias("x1"), p["y"].alias("y1"), F.lit(0.0).alias("twice"), s["best"].alias("best"))
+        on = F.struct(s["from"].alias("from"), s["x0"].alias("x0"), s["y0"].alias("y0"), p["x"].alias("x1"), p["y"].alias("y1"), twice.alias("twice"), s["best"].alias("best"))
+        n = p["i"] - s["from"] + 1
+        closed = F.struct((p["i"] + 1).alias("from"), *[no.alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(0.0).alias("twice"), larger(s, twice, n).alias("best"))
+        same = (p["x"] == s["x0"]) & (p["y"] == s["y0"]) & ~F.isnan(p["x"]) & ~F.isnan(p["y"])
+        return F.when(opens, first).when(same, closed).otherwise(on)
+
+    def finish(s: Column) -> Column:
+        left = F.size(xs) - s["from"]
+        return F.when(left > 0, larger(s, s["twice"] + (s["x1"] * s["y0"] - s["x0"] * s["y1"]), left)).otherwise(s["best"])
+
+    known = xs.isNotNull() & ys.isNotNull()
+    part = lambda b, v: F.when(known, F.slice(v, b["a"] + 1, b["n"]))
+    best = F.array(F.aggregate(corners, start, step, finish))  # the fold runs once for both
+    return F.get(F.transform(best, lambda b: F.struct(part(b, xs).alias("xs"), part(b, ys).alias("ys"))), F.lit(0))
 
 
 def grade(text: Column) -> Column:

@@ -414,3 +414,10 @@ def test_merged_logits_only_where_cells_are(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = __spark_entry__.queries()["tile_merge_logits"](spark, str(tmp_path)).collect()
     assert len(got) == 130 and len({(r["slide"], r["i0"], r["i1"]) for r in got}) == 130
+
+
+def test_loops_are_folded_without_python(spark):
+    rows = spark.createDataFrame([([0.0, 2.0, 2.0, 0.0, 9.0, 9.0, 9.0], [0.0, 0.0, 2.0, 0.0, 1.0, 8.0, 3.0]), (None, [1.0])], "xs array<double>, ys array<double>")
+    out = rows.select(scalars.largest_loop(F.col("xs"), F.col("ys")).alias("l"))
+    assert [tuple(r.l) for r in out.collect()] == [([0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 0.0]), (None, None)]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
