@@ -222,3 +222,13 @@ def test_pair_quantile_counts_all_pairs(spark):
     out = vectors.pair_quantile(df, ["g"], "i", "v", 0.3, blocks=3)
     assert {r["g"]: (r["n"], r["m"]) for r in out.collect()} == want  # to the last bit
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[-1]
+
+
+def test_a_row_goes_to_a_bounded_number_of_blocks(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(1200)], "vec_id long, k int, embedding array<double>")
+    met = vectors.pruned_search(df, 4, rows=10)[1]
+    assert met.distinct().groupBy("asking").count().agg(F.max("count")).first()[0] <= 5 * vectors.SIDE
+    for n, blocks in ((1200, 8), (10**6, 8), (10**7, 39)):
+        assert -(-n // vectors._block_rows(n, 10)) == blocks
+    assert vectors._block_rows(1200, vectors.CELL_ROWS) == vectors.CELL_ROWS
