@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_text
 
 #: Bytes of distinct pre-tokens whose ids a task remembers; beyond that it starts anew.
-CACHE_BYTES = 1 << 20
+CACHE_BYTES = 4 << 20
 #: Code point of byte 0; byte b is FIRST + b.
 FIRST = 0x100
 

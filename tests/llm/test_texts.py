@@ -362,3 +362,12 @@ def test_op10_recomputed_with_zstandard(spark):
         (best, _, lang), (rest, *_) = sorted(sizes)[:2]
         margin = (rest - best) / best
         assert got[doc]["lang_pred"] == lang and got[doc]["score"] == pytest.approx(margin / (margin + 0.05))
+
+
+def test_pre_tokens_stay_known_beyond_a_megabyte():
+    from gridloom.llm.bpe import Codec
+
+    codec = Codec({bytes([b]): b for b in range(256)}, "[a-z0-9]+")
+    codec.learn({f"w{i:09d}" for i in range(120_000)})  # 1.2 MB
+    codec.learn({"more"})
+    assert len(codec.known) == 120_001 and codec.known["w000000007"] == tuple(b"w000000007")
