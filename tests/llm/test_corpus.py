@@ -75,6 +75,28 @@ def test_op4_against_brute_force(spark, n, percent):
     assert got == want and len({c for _, c in want.values()}) < len(want)
 
 
+def test_op4_near_copies_without_a_centre_meet_in_few_pairs(spark, monkeypatch):
+    """Copies of a text with one to five edits: two of them link with up to six edits in all, so few link with the first."""
+    rng = np.random.default_rng(29)
+    base, rows = prose(rng, 300, 10**6).split(), []
+    for i in range(240):
+        own = list(base)
+        for k in rng.choice(np.arange(5, 295, 10), 5 if i < 12 else 1 + i % 5, replace=False):
+            own[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    pairs, verified = [], ngram_join.verified
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    docs = frame(spark, [(i, t, *[None] * 6) for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert sum(pairs) <= 16 * len(rows)
+
+
 def test_op4_on_a_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op4_ngram_jaccard(spark, sf_dir).collect()}
