@@ -421,6 +421,34 @@ def test_op6_exact_passages_whatever_else_shares_their_phrase(spark, stock_words
     assert all(held[2 * i] == held[2 * i + 1] for i in range(60))
 
 
+@pytest.mark.parametrize("size,stock_words", [(50, 44), (60, 50), (80, 60)])
+def test_op6_near_copies_whatever_else_shares_their_phrase(spark, size, stock_words):
+    """Families of two near copies; most of their passage is a phrase that all families have, and one word of it differs."""
+    rng = np.random.default_rng(size)
+    stock, rows, families = prose(rng, stock_words, 10**6), [], 60
+    side = (size - stock_words) // 2
+    for i in range(families):
+        passage = f"{prose(rng, side, 10**6)} {stock} {prose(rng, size - stock_words - side, 10**6)}".split()
+        for j in range(2):
+            rows.append((2 * i + j, f"{prose(rng, 60, 10**6)} {' '.join(passage)} {prose(rng, 60, 10**6)}"))
+            passage[int(rng.integers(size // 2 - 5, size // 2 + 5))] = f"changed{i}"
+    got = passages.duplicate_passages(frame(spark, [(i, t, *[None] * 6) for i, t in rows])).collect()
+    held = {r["doc_id"]: (r["passage_doc"], r["passage_start"]) for r in got if r["start_word"] <= 60 and r["end_word"] >= 60 + size}
+    assert sum(2 * i in held and held.get(2 * i) == held.get(2 * i + 1) for i in range(families)) >= 0.97 * families
+
+
+def test_rarest_shingles_of_similar_stretches_meet():
+    """Stretches with up to five of 46 broken, all ranks at random: one that stands for the first also stands for the second."""
+    rng = np.random.default_rng(29)
+    for broken in range(6):
+        for _ in range(50):
+            order, hole = rng.permutation(46).astype(np.uint64), int(rng.integers(1, 45 - broken))
+            whole, rest = np.arange(46), np.r_[:hole, hole + broken : 46]
+            first = set(whole[passages.rarest(whole, order, 46, 41, 5)])
+            assert first == set(np.argsort(order)[:6])
+            assert first & set(rest[passages.rarest(rest, order[rest], 46, 41, 5)])
+
+
 def test_op6_matches_of_repeated_lines_stay_few(spark):
     rng = np.random.default_rng(17)
     line = prose(rng, 100, 10**6)
