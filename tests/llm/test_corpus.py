@@ -463,6 +463,23 @@ def test_op6_matches_of_repeated_lines_stay_few(spark):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in spans) == [(0, 0, 4000), (1, 0, 9000)]
 
 
+def test_op6_a_repeated_word_stands_for_its_stretch_twice(spark):
+    """A word that documents repeat 300 times gives each of them two places to be held against others, not 300."""
+    places = spark.createDataFrame([(i, place, 7) for i in range(3) for place in range(300)], "id long, place int, shingle long")
+    got = passages.rare_places(places, 5, 46, 80).collect()
+    assert sorted((r["id"], r["place"], r["nth"]) for r in got) == [(i, p, n) for i in range(3) for p, n in ((0, 1), (299, 2))]
+
+
+def test_op6_equal_texts_and_their_near_copy(spark):
+    rng = np.random.default_rng(31)
+    text = prose(rng, 70, 10**6)
+    near = text.split()
+    near[35] = "changed"
+    rows = [(i, text) for i in (4, 7, 9, 9)] + [(2, f"{prose(rng, 20, 10**6)} {' '.join(near)}"), (1, prose(rng, 70, 10**6))]
+    got = passages.duplicate_passages(frame(spark, [(i, t, *[None] * 6) for i, t in rows])).collect()
+    assert sorted(map(tuple, got)) == [(2, 20, 90, 2, 20), *((i, 0, 70, 2, 20) for i in (4, 7, 9))]
+
+
 def test_op6_chains_of_edits(spark):
     """Each document changes the one before a little; both neighbours of a link are found and share a class."""
     rng = np.random.default_rng(19)
