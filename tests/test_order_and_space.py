@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import order, ranking, spatial, stats, vectors
+from gridloom.registry import QUERIES
 
 
 def plan(df):
@@ -224,6 +225,40 @@ def test_pair_quantile_counts_all_pairs(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[-1]
 
 
+@pytest.mark.parametrize("blocks, most", [(1, 1000), (3, 7)])
+def test_pairs_below_counts_all_pairs(spark, blocks, most):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(150)] + [(i, [1.0, 1e-5 * i, 0.0]) for i in range(150, 190)]  # ties, and values that rounding decides
+    rows += [(3, [1.0, 1.0, 2.0]), (4, [2.0, 2.0, 4.0]), (None, [1.0, 0.0, 0.0]), (200, None), (201, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    dist = {}
+    for a, x in rows:
+        for b, y in rows:
+            if a is not None and b is not None and a < b:
+                size = np.linalg.norm(x) * np.linalg.norm(y) if x and y else 0
+                dist.setdefault((a, b), []).append(round(1 - float(np.dot(x, y)) / size, 9) if size else np.inf)
+    all_ = np.array([d for ds in dist.values() for d in ds])
+    asked = np.unique(np.r_[rng.choice(all_[np.isfinite(all_)], 60), 0.0, 1.0, 2.0, 1.5, -0.1, 3.0])
+    probes = spark.createDataFrame([(float(x),) for x in [*asked, asked[0]]] + [(None,)], "d double")
+    got = vectors.pairs_below(df, probes, "d", "i", "v", 9, blocks=blocks, most=most).collect()
+    assert sorted((r["d"], r["below"], r["pairs"]) for r in got) == [(x, int((all_ < x).sum()), len(all_)) for x in asked.tolist()]
+
+
+def test_ranks_of_distances_are_among_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(1300, 4))  # more rows than a sample of a thousand
+    df = spark.createDataFrame([(i, i % 5, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    dist = np.round(1 - unit @ unit.T, 9)
+    pairs = np.sort(dist[np.triu_indices(len(v), 1)])
+    np.fill_diagonal(dist, np.inf)
+    want = {i: round(np.searchsorted(pairs, d) / len(pairs), 6) for i, d in enumerate(dist.min(axis=1))}
+    rows = QUERIES["rank_of_distance_by_relation"](spark, str(tmp_path)).collect()
+    assert len(rows) == 4 * len(v)
+    assert {r["vec_id"]: r["rank"] for r in rows if r["relation"] == "nearest"} == want
+
+
 def test_a_row_goes_to_a_bounded_number_of_blocks(spark):
     rng = np.random.default_rng(12)
     df = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(1200)], "vec_id long, k int, embedding array<double>")
