@@ -506,3 +506,38 @@ def test_op7_wide_vectors_make_smaller_cells(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELL_BYTES", 8 * 16 * 40)  # 40 vectors, and 40 queries, a cell
     assert sorted(map(tuple, ask().collect())) == want
     assert ask().count() == len(want) == len(ask().select("score").collect())
+
+
+def test_op6_pairs_without_a_long_run_in_common_have_no_passage():
+    rng = np.random.default_rng(41)
+    told = 0
+    for trial in range(300):
+        s, t = rng.integers(0, 6 if trial % 2 else 60, (2, int(rng.integers(10, 70))))
+        if trial % 3 == 0:
+            t[5:40] = s[2 : 2 + len(t[5:40])] if len(s) >= 37 else t[5:40]
+        both = [(q - p, p, 0, 0, len(s) - 1, 0, len(t) - 1) for p in range(len(s)) for q in range(len(t)) if s[p] == t[q]]
+        found = passages.shared_passages(s, t, 20, 80, np.array(sorted(both), np.int64).reshape(-1, 7))
+        may = passages.may_share(passages.Places(s), passages.Places(t), 20)
+        assert may or not found
+        told += not may
+    assert told > 20
+    # texts that share a word repeated 30 times, as many do, have no 50 words in common
+    junk = shingles.Shingles(5).sequences([" ".join(["the"] * 30 + [w] * 30) for w in ("reen", "thly")])
+    assert not passages.may_share(*map(passages.Places, junk), 46)
+
+
+def test_op6_wide_jumps_are_cut_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(42)
+    pairs = []
+    for _ in range(150):
+        s = rng.permutation(900)[: int(rng.integers(60, 500))]
+        cuts = np.sort(rng.integers(0, len(s), int(rng.integers(0, 9))))
+        blocks = np.split(s, cuts)
+        t = np.concatenate([blocks[i] for i in rng.permutation(len(blocks))])
+        lost = rng.random(len(t)) < rng.choice([0, 0.05, 0.2])
+        pairs.append((passages.Places(s), passages.Places(np.where(lost, 1000 + np.arange(len(t)), t))))
+    got = [passages.whole_passages(*p, 46, 80) for p in pairs]
+    monkeypatch.setattr(passages._AlikeSingle, "jump", lambda *_: 0)
+    monkeypatch.setattr(passages._AlikeSingle, "enough", lambda *_: True)
+    assert got == [passages.whole_passages(*p, 46, 80) for p in pairs]
+    assert sum(map(bool, got)) > 50
