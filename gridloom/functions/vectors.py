nearest_off_both_axes: compute each pair's distance once, and before the sort

Symptom: 45.5 CPU seconds on 51,282 rows (0.021 GB), and sorts of pairs that carry two vectors each, so a task held 420 MB.
Evidence: the plan evaluated the distance, three sums over the vectors, inside the sorted aggregate, for both directions of each pair; both sides of the self-join were shuffled apart.
Fix: norms are computed per row, a pair once for both directions, its vectors end at the join, and both sides are the same columns, so one shuffle serves both.
Effect: at 1 GB of input CPU 492 -> 265 s, shuffle 0.07 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.04 GB, longest task 30 -> 9 s, most memory of a task 538 -> 135 MB; at 6 GB of input CPU 1948 -> 540 s, shuffle 0.43 -> 0.23 GB, spill 13.60 -> 0.00 GB, read 0.52 -> 0.26 GB, longest task 151 -> 31 s, most memory of a task 977 -> 508 MB; with hot keys, at 1 GB of input CPU 303 -> 192 s, shuffle 0.03 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.02 GB, longest task 16 -> 6 s, most memory of a task 319 -> 118 MB.

@@ -20,9 +20,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine similarity; null if either vector has length zero."""
-    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
+def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """1 - cosine similarity; null if either vector has length zero.
+
+    A row that many pairs share can bring its ``norm`` along, so that it isn't computed for each pair.
+    """
+    return F.lit(1.0) - F.try_divide(dot(a, b), (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.functions.vectors import cosine_distance
+from gridloom.functions.vectors import cosine_distance, norm
 from gridloom.operators import grid, ranking, relational
 from gridloom.plans.base import GRID, query
 
@@ -190,9 +190,14 @@ def largest_vertex_loop(t):
 SELECT q AS vec_id, arg_min(other, (dist, other)) AS other FROM d GROUP BY q"""
 )
 def nearest_off_both_axes(t):
-    g = t.grid()
-    q = g.select("slide", F.col("vec_id").alias("q"), F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("embedding").alias("qe"))
-    dr, dc = F.col("r") - F.col("qr"), F.col("c") - F.col("qc")
-    rows = g.join(q, "slide").where((dr != 0) & (dc != 0) & (F.sqrt(dr * dr + dc * dc) > 3))  # pairs inside a slide only
-    best = rows.groupBy("q").agg(F.min(F.struct(F.round(cosine_distance(F.col("qe"), F.col("embedding")), 12).alias("dist"), "vec_id")).alias("b"))
-    return best.select(F.col("q").alias("vec_id"), F.col("b.vec_id").alias("other"))
+    cells = t.grid().select("slide", "r", "c", "vec_id", "embedding", norm(F.col("embedding")).alias("norm"))
+    x, y = (lambda name, side=side: F.col(f"{side}.{name}") for side in "xy")
+    dr, dc = y("r") - x("r"), y("c") - x("c")
+    # pairs inside a slide only, each once, as it is as far in both directions; the two sides are the same rows, so they are shuffled once
+    off = (dr > 0) & (dc != 0) & (F.sqrt(dr * dr + dc * dc) > 3)
+    pairs = cells.alias("x").join(cells.alias("y"), (x("slide") == y("slide")) & off)
+    dist = F.round(cosine_distance(x("embedding"), y("embedding"), x("norm"), y("norm")), 12)
+    pairs = pairs.select(x("vec_id").alias("a"), y("vec_id").alias("b"), dist.alias("dist"))
+    both = F.explode(F.array(*[F.struct(F.col(q).alias("q"), F.col(other).alias("other")) for q, other in ("ab", "ba")])).alias("p")
+    best = pairs.select("dist", both).groupBy("p.q").agg(F.min(F.struct("dist", "p.other")).alias("b"))
+    return best.select(F.col("q").alias("vec_id"), F.col("b.other").alias("other"))

@@ -1,6 +1,11 @@
 """Partners by selection mode, on a small grid against brute force."""
 
+import math
+
+import numpy as np
+
 from gridloom.operators.selection import far_pairs, selection_study
+from gridloom.registry import QUERIES
 
 
 def _cells(spark, n=5):
@@ -35,3 +40,38 @@ def test_a_cell_without_a_feature_is_no_partner_by_it(spark):
     cells = spark.createDataFrame(rows, "slide int, r int, c int, id long, v array<double>, f double")
     got = selection_study(cells, "id", "v", ["f"], pairs=4, least=2, reference=20).collect()
     assert {r.mode for r in got} <= {"random", "vector", "f"} and any(r.percent is None for r in got)
+
+
+def test_nearest_off_both_axes_computes_a_pair_once(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(0, 260, 3)]
+    rows[5] = (15, rows[9][1])  # equal vectors, whose tie goes to the smaller id
+    rows += [(0, [1.0, 2.0, 3.0, 4.0]), (44, None), (144, [0.0] * 4), (146, [1.0, None, 2.0, 0.5]), (None, [1.0] * 4), (188, [2.0, 1.0])]
+    cells = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    cells.write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = QUERIES["nearest_off_both_axes"](spark, str(tmp_path))
+        got = {r.vec_id: r.other for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    best = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i is None or j is None or i // 100 != j // 100:
+                continue
+            dr, dc = i % 100 // 10 - j % 100 // 10, i % 10 - j % 10
+            if not dr or not dc or dr * dr + dc * dc <= 9:
+                continue
+            d = None
+            if v is not None and w is not None:
+                v32, w32 = ([None if x is None else float(np.float32(x)) for x in u] for u in (v, w))
+                dot = lambda a, b: sum(x * y for x, y in zip(a, b) if x is not None and y is not None)  # noqa: E731, B905
+                size = math.sqrt(dot(v32, v32)) * math.sqrt(dot(w32, w32))
+                d = round(1 - dot(v32, w32) / size, 12) if size else None
+            best.setdefault(i, []).append((d is not None, d or 0.0, j))  # a pair without a distance comes first
+    assert got == {i: min(x)[2] for i, x in best.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1  # one side is shuffled for both
+    assert not any("zip_with" in line for line in plan.splitlines() if "Aggregate" in line)  # vectors end before pairs are sorted
