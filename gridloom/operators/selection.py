@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.vectors import cosine_distance
+from gridloom.functions.vectors import cosine_distance, norm
 from gridloom.operators.ranking import draw_key, sample_with
 
 
@@ -50,11 +50,11 @@ def selection_study(
     slide that are smaller than the partner's, by the metrics ``vector`` (cosine distance) and each feature (absolute difference).
     Null features and vectors are near to nothing: they are no partner by that mode, and their metric's percent is null.
     """
-    cell = F.struct(F.col(id_col).alias("id"), "r", "c", F.col(vector_col).alias("vector"), *features)
-    of = cells.select("slide", cell.alias("o"))
+    cell = [F.col(id_col).alias("id"), "r", "c", F.col(vector_col).alias("vector"), norm(F.col(vector_col)).alias("norm"), *features]
+    of = cells.select("slide", F.struct(*cell).alias("o"))
     drawn = far_pairs(cells, id_col, pairs, least, attempts, seed)
     asked = drawn.join(of.select("slide", F.col("o.id").alias("a"), F.col("o").alias("x")), ["slide", "a"])
-    metrics = {"vector": F.abs(F.round(cosine_distance(F.col("x.vector"), F.col("o.vector")), 9))}
+    metrics = {"vector": F.abs(F.round(cosine_distance(*map(F.col, ("x.vector", "o.vector", "x.norm", "o.norm"))), 9))}
     metrics |= {f: F.abs(F.round(F.col(f"x.{f}") - F.col(f"o.{f}"), 6)).cast("double") for f in features}
     names = list(metrics)
 
@@ -70,14 +70,18 @@ def selection_study(
     long_form = lambda at: F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(at(k)).alias("v")) for k in names])).alias("w")
     chosen = chosen.select("slide", "pair", "e.mode", long_form(lambda k: f"e.m.{k}")).select("slide", "pair", "mode", "w.metric", "w.v")
 
-    some = sample_with(cells, ["slide"], id_col, reference, seed + 2).join(cells.select("slide", id_col, cell.alias("x")), ["slide", id_col])
-    some = some.select("slide", "draw", "x")
-    two = some.join(some.select("slide", F.col("draw").alias("other"), F.col("x").alias("o")), "slide").where("draw < other")
-    two = two.select("slide", *[v.alias(k) for k, v in metrics.items()]).select("slide", long_form(lambda k: k))
-    base = two.select("slide", "w.metric", "w.v").where("v IS NOT NULL")
+    # cells drawn several times meet once, with the number of their draws that meet; distances are as far in both directions
+    times = sample_with(cells, ["slide"], id_col, reference, seed + 2).groupBy("slide", id_col).agg(F.count("*").alias("times"))
+    some = cells.join(times, ["slide", id_col]).select("slide", "times", *cell)
+    two = some.alias("x").join(some.alias("o"), (F.col("x.slide") == F.col("o.slide")) & (F.col("x.id") <= F.col("o.id")))
+    n = F.col("x.times")
+    draws = F.when(F.col("x.id") == F.col("o.id"), F.shiftright(n * (n - 1), 1)).otherwise(n * F.col("o.times"))
+    two = two.where(draws > 0).select("x.slide", draws.alias("draws"), *[v.alias(k) for k, v in metrics.items()])
+    two = two.select("slide", "draws", long_form(lambda k: k))
+    base = two.select("slide", "w.metric", "w.v", F.col("draws").alias("base")).where("v IS NOT NULL")
 
     # asked values stand before equal ones of the distribution, so that only smaller ones count
-    rows = chosen.withColumn("base", F.lit(0)).unionByName(base.withColumn("base", F.lit(1)), allowMissingColumns=True)
+    rows = chosen.withColumn("base", F.lit(0).cast("long")).unionByName(base, allowMissingColumns=True)
     all_of = Window.partitionBy("slide", "metric")
     before = all_of.orderBy("v", "base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     percent = F.when(F.col("v").isNotNull(), 100.0 * F.sum("base").over(before) / F.sum("base").over(all_of))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 
+from gridloom.operators.ranking import sample_with
 from gridloom.operators.selection import far_pairs, selection_study
 from gridloom.registry import QUERIES
 
@@ -75,3 +76,41 @@ def test_nearest_off_both_axes_computes_a_pair_once(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange") == 1  # one side is shuffled for both
     assert not any("zip_with" in line for line in plan.splitlines() if "Aggregate" in line)  # vectors end before pairs are sorted
+
+
+def test_selection_study_sums_one_product_of_vectors_a_pair(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, i // 4, i % 4, 100 * s + i, rng.normal(size=3).tolist(), float(rng.integers(5))) for s in (0, 1) for i in range(16)]
+    rows += [(0, 1, 1, 5, [0.5, 1.0, 2.0], 9.0), (0, 5, 5, 50, None, 1.0), (0, 6, 6, 51, [0.0] * 3, None), (0, 7, 7, None, [1.0] * 3, 2.0), (None, 0, 0, 7, [1.0] * 3, 2.0)]
+    cells = spark.createDataFrame(rows, "slide int, r int, c int, id long, v array<double>, f double")
+    out = selection_study(cells, "id", "v", ["f"], pairs=5, least=2, reference=40)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+
+    def gaps(x, o):
+        size = math.sqrt(dot(x[4], x[4])) * math.sqrt(dot(o[4], o[4])) if x[4] and o[4] else 0
+        return abs(round(1 - dot(x[4], o[4]) / size, 9)) if size else None, abs(round(x[5] - o[5], 6)) if None not in (x[5], o[5]) else None
+
+    of = {}
+    for row in rows:
+        of.setdefault((row[0], row[3]), []).append(row)  # an id may be that of several rows
+    drawn = [(d.slide, d.draw, row) for d in sample_with(cells, ["slide"], "id", 40, 43).collect() if d.id is not None and d.slide is not None for row in of[d.slide, d.id]]
+    base = {s: [gaps(x, o) for t, d, x in drawn for u, e, o in drawn if s == t == u and d < e] for s in (0, 1)}
+    want = {}
+    for p in far_pairs(cells, "id", 5, 2, 16, 41).where("slide IS NOT NULL AND a IS NOT NULL").collect():
+        met = [(o, gaps(x, o), x) for x in of[p.slide, p.a] for k, some in of.items() if k[0] == p.slide and k[1] not in (None, p.a) for o in some]
+        modes = {"random": [((0.0, o[3], *map(_first, g)), g) for o, g, _ in met if o[3] == p.b]}
+        apart = lambda x, o: x[1] != o[1] and x[2] != o[2] and (x[1] - o[1]) ** 2 + (x[2] - o[2]) ** 2 > 4
+        modes["vector"] = [((g[0], o[3], *map(_first, g)), g) for o, g, x in met if g[0] is not None and apart(x, o)]
+        modes["f"] = [((g[1], o[3], *map(_first, g)), g) for o, g, _ in met if g[1] is not None]
+        for mode, found in modes.items():
+            for k, metric in enumerate(("vector", "f") if found else ()):
+                v, all_ = min(found)[1][k], [b[k] for b in base[p.slide] if b[k] is not None]
+                want[p.slide, p.pair, mode, metric] = None if v is None else round(100 * sum(b < v for b in all_) / len(all_), 9)
+    assert want and {(r.slide, r.pair, r["mode"], r.metric): r.percent if r.percent is None else round(r.percent, 9) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(line.count("zip_with") for line in plan) == 1  # lengths are summed for each cell, not for each pair
+
+
+def _first(v):
+    """A key by which null values come first."""
+    return v is not None, v or 0.0
