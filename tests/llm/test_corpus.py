@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, mixing, ngram_join, passages, queries, shingles, toolcalls, topk
+from gridloom.llm import common, components, mixing, ngram_join, passages, queries, shingles, toolcalls, topk
 from gridloom.llm.common import Stages
 from tests.llm.helpers import frame, odd_rows, prose
 from tests.oracle import assert_same
@@ -541,3 +541,38 @@ def test_op6_wide_jumps_are_cut_as_one_by_one(monkeypatch):
     monkeypatch.setattr(passages._AlikeSingle, "enough", lambda *_: True)
     assert got == [passages.whole_passages(*p, 46, 80) for p in pairs]
     assert sum(map(bool, got)) > 50
+
+
+def test_op6_rows_of_one_common_shingle_are_dealt_to_several_tasks(spark):
+    """Half the places have one shingle: no task reads them all, neither to count it nor to look for its classes."""
+    plans = []
+
+    def stage(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return spark.createDataFrame(rows, df.schema).repartition(8)
+
+    rows = spark.range(40000).selectExpr("id % 8000 AS id", "cast(id / 8000 AS int) AS place", "if(id % 2 = 0, 7L, id % 16000) AS shingle", "id % 3 AS c")
+    odd = spark.createDataFrame([(None, 0, 7, 1), (1, 9, None, 1), (2, 9, None, 2), (3, 9, 99991, None), (4, 9, 99991, 5), (4, 9, 99991, 6)], rows.schema)
+    rows = rows.union(odd).repartition(8).cache()
+    set_ = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    with common.settings(spark, set_):
+        got = passages.several_classes(rows, stage).select(rows.columns).collect()
+        assert "skew=true" in plans[-1]
+        picked = passages.rare_places(rows.where("id IS NOT NULL"), 5, 3, 80, stage)
+        picks = sorted(map(tuple, picked.collect()))
+        assert "skew=true" in picked._jdf.queryExecution().executedPlan().toString()
+        assert picks == sorted(map(tuple, passages.rare_places(rows.where("id IS NOT NULL"), 5, 3, 80).collect())) and picks
+    classes = {}
+    for r in (held := rows.collect()):
+        classes.setdefault(r.shingle, set()).add(r.c)
+    several = {s for s, c in classes.items() if s is not None and len(c - {None}) > 1}
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted((tuple(r) for r in held if r.shingle in several), key=key)
+    rows.unpersist()
